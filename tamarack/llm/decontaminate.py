@@ -76,18 +76,20 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> Words:
     return Words(data, offsets, inside_words(data), ascii_lower())
 
 
-def walk_keys(windows: np.ndarray, steps: np.ndarray, seed: int) -> np.ndarray:
-    """The table key of each window (a row of word hashes, 0 beyond its end): the words at ``steps`` of the walk."""
-    n, width = windows.shape
-    at, rows = np.zeros(n, np.int64), np.arange(n)
-    key = np.zeros(n, np.uint64)
-    want = set(steps.tolist())
+def walk_keys(windows: np.ndarray, steps: np.ndarray, first: int = 0) -> np.ndarray:
+    """Keys (table, window): the words at ``steps[table]`` of that table's walk over each window
+    (a row of word hashes, 0 beyond its end). ``first`` is the number of the first table."""
+    (n, width), tables = windows.shape, len(steps)
+    at = np.zeros((tables, n), np.int64)
+    base = np.arange(n) * width
+    flat = windows.ravel()
+    key = np.zeros((tables, n), np.uint64)
+    seeds = (np.arange(first, first + tables, dtype=np.uint64) << np.uint64(32))[:, None]
     for j in range(int(steps.max()) + 1):
-        word = windows[rows, np.minimum(at, width - 1)] * (at < width)
-        if j in want:
-            key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + word + np.uint64(j))
-        bit = _mix(word + np.uint64((seed << 32) + j * 0x9E3779B1 + 1)) & np.uint64(1)
-        at += bit.astype(np.int64)
+        word = np.where(at < width, flat[base + np.minimum(at, width - 1)], np.uint64(0))
+        for t in np.flatnonzero((steps == j).any(1)).tolist():
+            key[t] = _mix(key[t] * np.uint64(0x9E3779B97F4A7C15) + word[t] + np.uint64(j))
+        at += (_mix(word + seeds + np.uint64(j * 0x9E3779B1 + 1)) & np.uint64(1)).astype(np.int64)
     return key
 
 
@@ -112,6 +114,8 @@ class Class:
     ids: np.ndarray
     words: np.ndarray
     tables: list = field(default_factory=list)
+    steps: np.ndarray = None  # (table, sample)
+    own: np.ndarray = None  # which of the index's strings are of these items
 
     @property
     def width(self) -> int:
@@ -138,7 +142,8 @@ def plan_tables(c: Class, recall: float, most: int = 400) -> int:
         odd[r, : min(len(out), c.width)] = out[: c.width]
     plain = np.zeros((64, c.width), np.uint64)
     plain[:, : c.m] = base
-    hits = np.mean([walk_keys(plain, s, t) == walk_keys(odd, s, t) for t in range(24) for s in [_steps(c, t)]], axis=0)
+    steps = np.stack([_steps(c, t) for t in range(24)])
+    hits = (walk_keys(plain, steps) == walk_keys(odd, steps)).mean(0)
     missed = lambda n: float(np.mean((1 - np.maximum(hits, 1 / 48)) ** n))
     return next((n for n in range(1, most) if missed(n) <= 1 - recall), most)
 
@@ -150,7 +155,8 @@ def _steps(c: Class, table: int) -> np.ndarray:
 @dataclass
 class Index:
     classes: list[Class]
-    grams: np.ndarray
+    grams: np.ndarray  # sorted
+    seen: np.ndarray  # their low bits: a quick test
     bits: int
 
 
@@ -175,18 +181,23 @@ def build_index(items: list[tuple[int, str]], recall: float) -> Index:
         c = Class(m, edits_allowed(m), np.array([items[i][0] for i in own], np.int64), np.stack([w.hash[w.first[i] : w.first[i + 1]] for i in own]))
         full = np.zeros((len(own), c.width), np.uint64)
         full[:, :m] = c.words
-        for t in range(plan_tables(c, recall)):
-            steps = _steps(c, t)
-            keys = walk_keys(full, steps, t)
+        c.steps = np.stack([_steps(c, t) for t in range(plan_tables(c, recall))])
+        for keys in walk_keys(full, c.steps):
             order = np.argsort(keys)
-            c.tables.append((steps, keys[order], order))
+            c.tables.append((keys[order], order))
         classes.append(c)
-    grams = grams_of(w)
-    grams = np.unique(grams[(grams != 0) & (sizes[w.doc] >= MIN_WORDS)]) if len(grams) else grams
+    every = grams_of(w)
+    grams = np.unique(every[(every != 0) & (sizes[w.doc] >= MIN_WORDS)])
+    for c in classes:
+        c.own = np.isin(grams, every[sizes[w.doc] == c.m])
     bits = max(16, min(26, int(math.log2(len(grams) + 1)) + 7))
     seen = np.zeros(1 << bits, bool)
-    seen[(grams & np.uint64((1 << bits) - 1)).astype(np.int64)] = True
-    return Index(classes, seen, bits)
+    seen[_low(grams, bits)] = True
+    return Index(classes, grams, seen, bits)
+
+
+def _low(grams: np.ndarray, bits: int) -> np.ndarray:
+    return (grams & np.uint64((1 << bits) - 1)).astype(np.int64)
 
 
 def _verified(c: Class, windows: np.ndarray, starts: np.ndarray, picks: np.ndarray):
@@ -203,29 +214,40 @@ def find_matches(index: Index, w: Words) -> list[tuple[int, int, int, int, int]]
     if not len(w.hash) or not index.classes:
         return []
     grams = grams_of(w)
-    hits = index.grams[(grams & np.uint64((1 << index.bits) - 1)).astype(np.int64)] & (grams != 0)
+    hits = index.seen[_low(grams, index.bits)] & (grams != 0)
     total = np.concatenate([[0], np.cumsum(hits)])
     ends = w.first[1:][w.doc]  # one past the last word of each word's row
     least = min(grams_needed(c.m) for c in index.classes)
     widest = max(c.width for c in index.classes)
     reach = np.minimum(np.arange(len(w.hash)) + widest, ends)
     some = np.flatnonzero(total[reach] - total[:-1] >= least)
+    if not len(some):
+        return []
+    # where windows may match: each class counts its own strings there
+    step = np.zeros(len(w.hash) + 1, np.int64)
+    np.add.at(step, some, 1)
+    np.add.at(step, reach[some], -1)
+    region = np.flatnonzero(np.cumsum(step[:-1]) > 0)
+    place = np.searchsorted(region, some)
+    gram = np.minimum(np.searchsorted(index.grams, grams[region]), len(index.grams) - 1)
+    met = index.grams[gram] == grams[region]
     for c in index.classes:
-        z = np.minimum(some + c.width, ends[some])
-        at = some[(total[z] - total[some] >= grams_needed(c.m)) & (z - some >= c.m - c.d)]
-        for a in range(0, len(at), 1 << 16):
-            start = at[a : a + (1 << 16)]
+        own = np.concatenate([[0], np.cumsum(c.own[gram] & met)])
+        width = np.minimum(some + c.width, ends[some]) - some
+        at = some[(own[place + width] - own[place] >= grams_needed(c.m)) & (width >= c.m - c.d)]
+        most = max(1, (1 << 19) // max(1, len(c.tables)))
+        for a in range(0, len(at), most):
+            start = at[a : a + most]
             places = start[:, None] + np.arange(c.width)
             windows = np.where(places < ends[start, None], w.hash[np.minimum(places, len(w.hash) - 1)], np.uint64(0))
             pairs = []
-            for t, (steps, keys, order) in enumerate(c.tables):
-                key = walk_keys(windows, steps, t)
+            for key, (keys, order) in zip(walk_keys(windows, c.steps), c.tables, strict=True):
                 lo, hi = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
                 n = hi - lo
                 if n.any():
                     row = np.repeat(np.arange(len(start)), n)
-                    place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
-                    pairs.append(row * len(c.ids) + order[place])
+                    slot = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+                    pairs.append(row * len(c.ids) + order[slot])
             if pairs:
                 pairs = np.unique(np.concatenate(pairs))
                 row, pick = np.divmod(pairs, len(c.ids))
