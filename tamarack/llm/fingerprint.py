@@ -3,7 +3,8 @@
 A text's 5-word shingles (lower case, white-space separated words; fewer words: the whole
 sequence) are hashed once. The top bits of a hash pick one of 128 bins, the least hash of a
 bin stands for it. An empty bin takes the value of the first non-empty one on its own
-random sequence of bins (optimal densification), the same sequence for every text. Of each
+random sequence of 64 bins (optimal densification), the same sequence for every text; should all
+of those be empty, that of the first non-empty bin. Of each
 bin the low 4 bits are stored, packed 16 to a long, and shown as one hex digit a bin.
 Likeness corrects for bins that agree by chance: (share - 1/16) / (1 - 1/16), within 0 to 1.
 
@@ -17,6 +18,9 @@ more than one range; the first text of each range is joined to the range before.
 
 from __future__ import annotations
 
+import json
+import random
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,8 +30,8 @@ BINS = 128
 SHIFT = 57  # 64 - log2(BINS)
 LOW = 4
 SHINGLE = 5
-PROBES = 16
-MORE_PROBES = 256
+PROBES = 8
+MORE_PROBES = 56
 
 
 def _let(value: Column, body) -> Column:
@@ -36,11 +40,12 @@ def _let(value: Column, body) -> Column:
 
 
 def shingle_hashes(text: Column) -> Column:
-    words = F.array_remove(F.split(F.translate(F.lower(text), "\t\n\x0b\x0c\r", "     "), " "), "")
+    words = F.array_remove(F.split(F.lower(text), "[ \t\n\x0b\x0c\r]+"), "")
+    from_here = lambda w: F.transform(w, lambda x, i: F.xxhash64(x, *[F.get(w, i + k) for k in range(1, SHINGLE)]))
     return _let(
         words,
-        lambda w: F.when(F.size(w) >= SHINGLE, F.transform(F.sequence(F.lit(1), F.size(w) - (SHINGLE - 1)), lambda i: F.xxhash64(F.slice(w, i, SHINGLE))))
-        .when(F.size(w) > 0, F.array(F.xxhash64(w)))
+        lambda w: F.when(F.size(w) >= SHINGLE, F.slice(from_here(w), F.lit(1), F.size(w) - (SHINGLE - 1)))
+        .when(F.size(w) > 0, F.slice(from_here(w), 1, 1))  # hashing passes over the nulls beyond the end
         .otherwise(F.array().cast("array<bigint>")),
     )
 
@@ -51,16 +56,23 @@ def bin_minima(hashes: Column) -> Column:
     return _let(F.sort_array(hashes), lambda s: F.filter(s, lambda h, i: (i == 0) | (bin_of(h) != bin_of(F.get(s, i - 1)))))
 
 
+def _probe_sequences() -> list[list[int]]:
+    rng = random.Random(42)
+    return [[rng.randrange(BINS) for _ in range(PROBES + MORE_PROBES)] for _ in range(BINS)]
+
+
 def densified(minima: Column) -> Column:
     """A value for each bin; an empty array if no bin has one."""
     sparse = lambda m: F.map_from_arrays(F.transform(m, lambda h: (F.shiftright(h, SHIFT) + BINS // 2).cast("int")), m)
 
-    def probe(d: Column, b: Column, start: int, end: int) -> Column:
-        found = F.transform(F.sequence(F.lit(start), F.lit(end - 1)), lambda t: F.get(d, F.pmod(F.xxhash64(b, t), F.lit(BINS)).cast("int")))
-        return F.get(F.array_compact(found), F.lit(0))
+    sequences = F.from_json(F.lit(json.dumps(_probe_sequences())), "array<array<int>>")  # a constant
+
+    def probe(d: Column, bins: Column) -> Column:
+        return F.get(F.array_compact(F.transform(bins, lambda j: F.get(d, j))), F.lit(0))
 
     def fill(d: Column) -> Column:
-        return F.transform(d, lambda v, b: F.coalesce(v, probe(d, b, 0, PROBES), probe(d, b, PROBES, MORE_PROBES), F.get(F.array_compact(d), F.lit(0))))
+        own = lambda b: F.get(sequences, b)
+        return F.transform(d, lambda v, b: F.coalesce(v, probe(d, F.slice(own(b), 1, PROBES)), probe(d, F.slice(own(b), PROBES + 1, MORE_PROBES)), F.get(F.array_compact(d), F.lit(0))))
 
     dense = lambda m: _let(_let(sparse(m), lambda at: F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda b: F.try_element_at(at, b))), fill)
     return _let(minima, lambda m: F.when(F.size(m) > 0, dense(m)).otherwise(F.array().cast("array<bigint>")))
