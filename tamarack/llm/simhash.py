@@ -205,17 +205,18 @@ def components(links: DataFrame) -> DataFrame:
     return now.select("u", F.col("v").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, radius: int = 4, bucket_rows: int = 2048) -> DataFrame:
-    """(doc_id, fp, component_id) a row of docs: component_id is the smallest doc_id that links
+def near_duplicates(docs: DataFrame, keep: list[str] | None = None, radius: int = 4, bucket_rows: int = 2048) -> DataFrame:
+    """(doc_id, columns ``keep``, fp, component_id) a row of docs: component_id is the smallest doc_id that links
     reach, its own included. Null ids come last (a component of null ids only has a null id);
     repeated rows are linked like any others."""
-    fps = materialize(fingerprints(docs, ["doc_id"]), "fingerprints")
+    keep = keep or []
+    fps = materialize(fingerprints(docs, ["doc_id", *keep]), "fingerprints")
     distinct = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     roots = components(covering_links(distinct, radius, bucket_rows))
     rooted = distinct.join(roots, F.col("fp") == F.col("u"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     of_root = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     label = materialize(rooted.join(of_root, "root").select("fp", "component_id"), "components")
-    return fps.join(label, "fp").select("doc_id", "fp", "component_id")
+    return fps.join(label, "fp").select("doc_id", *keep, "fp", "component_id")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
