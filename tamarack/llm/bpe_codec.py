@@ -25,6 +25,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,7 +39,7 @@ _UNIT = re.compile(f"[{_LETTERS}]+|[{_MARKS}]+")
 #: str.split() also splits at these four, which are no white space to the tokenizer.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 _SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
-WORDS_SCHEMA = "word string, n long, h long, ids array<int>"
+WORDS_SCHEMA = "word string, n long, h long, ids binary"  # ids: two bytes each (four in large vocabularies)
 
 
 def chunks(text: str) -> list[str]:
@@ -69,7 +70,7 @@ def distinct_units(docs: DataFrame, text: str = "text") -> DataFrame:
             for batch in blocks(whole, "__text"):
                 for t in batch.column("__text").to_pylist():
                     seen.update(chunks(t))
-                if len(seen) > 400_000:
+                if len(seen) > 250_000:
                     yield from out()
         yield from out()
 
@@ -81,12 +82,12 @@ def encode_units(words: DataFrame, path: str) -> DataFrame:
     """(word, n, h, ids): each word's ids from one call of the library; h is its 64-bit key."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = load(path)
+        tokenizer, kind = load(path), id_type(path)
         for batch in batches:
             for a in range(0, batch.num_rows, 4096):
                 part = batch.slice(a, 4096)
-                ids = [e.ids for e in tokenizer.encode_batch(part.column("word").to_pylist(), add_special_tokens=False)]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("word", "n", "h")), pa.array(ids, pa.list_(pa.int32()))], names=["word", "n", "h", "ids"])
+                ids = [np.array(e.ids, kind).tobytes() for e in tokenizer.encode_batch(part.column("word").to_pylist(), add_special_tokens=False)]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("word", "n", "h")), pa.array(ids, pa.binary())], names=["word", "n", "h", "ids"])
 
     return words.select("word", "n", F.xxhash64("word").alias("h")).mapInArrow(encode, WORDS_SCHEMA)
 
@@ -100,13 +101,20 @@ def pieces_of(path: str) -> list[str]:
     return [table.get(i, "") for i in range(max(table) + 1)]
 
 
+def id_type(path: str) -> str:
+    return "<u2" if len(pieces_of(path)) <= 1 << 16 else "<u4"
+
+
 class _Table:
-    """The words that are looked up in place: sorted keys and ids end to end."""
+    """The words that are looked up in place: sorted keys, and ids end to end in their order."""
 
-    def __init__(self, h: np.ndarray, sizes: np.ndarray, ids: np.ndarray):
+    def __init__(self, h: np.ndarray, starts: np.ndarray, ids: np.ndarray):
+        """``starts`` has one more entry than h; word i has ids[starts[i] : starts[i + 1]]."""
         order = np.argsort(h, kind="stable")
-        ends = np.cumsum(sizes)
-        self.h, self.start, self.end, self.ids = h[order], (ends - sizes)[order].astype(np.int64), ends[order].astype(np.int64), ids
+        size = np.diff(starts)[order]
+        ends = np.cumsum(size, dtype=np.int64)
+        place = np.repeat(starts[:-1][order] - (ends - size), size) + np.arange(len(ids))
+        self.h, self.starts, self.ids = h[order], np.append(0, ends).astype(np.int32 if len(ids) < 1 << 31 else np.int64), ids[place]
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Row of each key, -1 for those that aren't here."""
@@ -127,7 +135,7 @@ def _chunk_entries(new: list[str], table: _Table, pieces: list[str], known: dict
     at = table.find(keys).tolist()
     entry, missing = {}, []
     for w, i in zip(words, at, strict=True):
-        ids = table.ids[table.start[i] : table.end[i]].tolist() if i >= 0 else own.get(w)
+        ids = table.ids[table.starts[i] : table.starts[i + 1]].tolist() if i >= 0 else own.get(w)
         if ids is None:
             missing.append(w)
         else:
@@ -139,13 +147,21 @@ def _chunk_entries(new: list[str], table: _Table, pieces: list[str], known: dict
     return missing
 
 
-def _collect_table(words: DataFrame, least: int) -> _Table:
+def _collect_table(words: DataFrame, least: int, kind: str) -> _Table:
     """Words that occur ``least`` times or more. The caller has checked how many there are."""
-    t = words.where(F.col("n") >= least).select("h", "ids").toArrow().combine_chunks()
+    t = words.where(F.col("n") >= least).select("h", "ids").toArrow()
     if not t.num_rows:
-        return _Table(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32))
-    ids = t.column("ids").combine_chunks()
-    return _Table(t.column("h").to_numpy(), np.diff(np.asarray(ids.offsets)).astype(np.int64), np.asarray(ids.flatten()))
+        return _Table(np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(0, kind))
+    h = t.column("h").to_numpy()
+    size = np.asarray(pc.binary_length(t.column("ids")), np.int64) // np.dtype(kind).itemsize
+    ids = np.concatenate([_bytes_of(c).view(kind) for c in t.column("ids").chunks])
+    return _Table(h, np.append(0, np.cumsum(size)), ids)
+
+
+def _bytes_of(column: pa.Array) -> np.ndarray:
+    offsets = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, column.offset * 4)
+    data = column.buffers()[2]
+    return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, np.uint8)
 
 
 def rare_words(docs: DataFrame, words: DataFrame, least: int, text: str = "text") -> DataFrame:
@@ -178,17 +194,17 @@ def encode_decode(docs: DataFrame, path: str, keep: list[str], text: str = "text
         own = rare_words(docs, words, least, text)
         rows = rows.withColumn("__key", F.unhex(F.sha2(F.col("__text").cast("binary"), 256))).join(own, F.col("__key") == F.col("k"), "left").select(*keep, "__text", F.map_entries("own").alias("__own"))
     else:
-        rows = rows.withColumn("__own", F.lit(None).cast("array<struct<key:string,value:array<int>>>"))
-    table = docs.sparkSession.sparkContext.broadcast(_collect_table(words, least))
+        rows = rows.withColumn("__own", F.lit(None).cast("array<struct<key:string,value:binary>>"))
+    table = docs.sparkSession.sparkContext.broadcast(_collect_table(words, least, id_type(path)))
     schema = rows.select(*keep).schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, held, known = pieces_of(path), table.value, {}
+        pieces, held, known, kind = pieces_of(path), table.value, {}, id_type(path)
         for whole in batches:
-            for batch in blocks(whole, "__text", 8 << 20):
+            for batch in blocks(whole, "__text"):
                 cut = [chunks(t) if t else [] for t in batch.column("__text").to_pylist()]
-                own = {e["key"]: e["value"] for r in batch.column("__own").to_pylist() if r for e in r}
-                if len(known) > 150_000:
+                own = {e["key"]: np.frombuffer(e["value"], kind).tolist() for r in batch.column("__own").to_pylist() if r for e in r}
+                if len(known) > 100_000:
                     known.clear()
                 new = list({c for cs in cut for c in cs} - known.keys())
                 if missing := _chunk_entries(new, held, pieces, known, own):
