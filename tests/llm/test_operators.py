@@ -1,0 +1,314 @@
+"""Each operator against a brute-force version on small tables: nulls, empty and long texts,
+ties, repeated rows, empty tables and clashing extra columns included."""
+
+import hashlib
+import random
+from base64 import b32encode
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+from tamarack.llm import bpe_codec, common, decontaminate, fingerprint, language_id, license_scan, quality, secrets, simhash, token_counts, warc
+
+KIND = "doc_id long, text string, lang string, source string, n_chars long, score double, fp string"
+WORDS = "the of and river stone light paper window garden under over quick slow winter summer orange".split()
+
+
+def prose(seed, n):
+    rng = random.Random(seed)
+    return " ".join(rng.choice(WORDS) + rng.choice(["", "", "er", "ing", "ly"]) for _ in range(n))
+
+
+TEXTS = [
+    None, "", "   ", "a", "12 34 !!", prose(1, 40), prose(1, 40), prose(2, 6000), "Ünïcödé straße ŁÓDŹ — “quotes” 中文字 😀 x", "it's  two\tspaces\n\nlines \x1c odd <|endoftext|> end ",
+    "Released under the MIT License.\nmit\nlicense MIT license", prose(3, 60), "x" * 3000, "İstanbul ΑΣ ǅ é é", prose(4, 5),
+]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, "en" if i % 3 else "de", f"src{i}", None, 9.9, "clash") for i, t in enumerate(TEXTS)]
+    rows += [(5, TEXTS[5], "en", None, 1, None, None), (None, TEXTS[11], None, None, None, None, None)]
+    return spark.createDataFrame(rows, KIND).repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def none(docs):
+    return docs.limit(0)
+
+
+def test_words_match_a_plain_split():
+    import re
+
+    texts = [t or "" for t in TEXTS]
+    raw = [t.encode() for t in texts]
+    data = np.frombuffer(b"".join(raw), np.uint8)
+    offsets = np.concatenate([[0], np.cumsum([len(b) for b in raw])]).astype(np.int64)
+    w = license_scan.words_of(data, offsets)
+    for i, b in enumerate(raw):
+        plain = re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", b.lower())
+        assert [w.text(k).lower() for k in range(w.first[i], w.first[i + 1])] == plain
+        assert [int(h) for h in w.hash[w.first[i] : w.first[i + 1]]] == [common.word_hash(p) for p in plain]
+
+
+def test_language_code_lengths(docs, none):
+    model = language_id.train(docs, order=2, per_language=10)
+    text = TEXTS[5].encode()
+    data = np.frombuffer(text * 2, np.uint8)
+    got = language_id.code_lengths(model, data, np.array([0, len(text), len(text), 2 * len(text)]))
+    assert np.allclose(got[0], got[2]) and (got[1] == 0).all()
+    p = np.exp2(-model.cost)
+    assert np.allclose(p.sum(1), 1, atol=1e-3)  # every context is a distribution under every language
+    state, plain = 0, np.zeros(len(model.languages))
+    for b in text:
+        plain += model.cost[state, b]
+        state = model.step[state, b]
+    assert np.allclose(got[0], plain, rtol=1e-4)
+    rows = {r.doc_id: r for r in language_id.identify(docs, model, ["doc_id"]).where("doc_id is not null").collect()}
+    assert rows[0].lang_pred == rows[1].lang_pred == rows[4].lang_pred == "und" and rows[0].score == 0
+    assert all(0 <= r.score <= 1 for r in rows.values()) and rows[5].lang_pred in ("de", "en")
+    assert language_id.train(none) is None
+    assert {r.lang_pred for r in language_id.identify(docs, None, ["doc_id"]).collect()} == {"und"}
+
+
+def test_language_held_out_accuracy(spark, sf_dir):
+    got = language_id.op1_language_id(spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id").where("held_out")
+    assert got.count() > 20 and got.where("lang = lang_pred").count() >= 0.97 * got.count()
+
+
+def test_warc_round_trip(spark, tmp_path):
+    pages = [(1, "http://a/x y\n", "<p>é\r\n\r\nWARC/1.1\r\n</p>"), (2, None, None), (3, "u", ""), (4, "u", "same"), (5, "v", "same"), (6, "w", "same"), (None, "n", "same"), (7, "z", "y" * 200_000), (6, "w", "same")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)
+    arc, out = str(tmp_path / "arc"), str(tmp_path / "warc")
+    warc.write_arc(df, arc)
+    read = warc.read_arc(spark, arc)
+    assert {r.arc_version for r in read.collect()} == {1, 2}
+    warc.to_warc(read, out, records_per_file=2)
+    got = warc.read_warc(spark, out).collect()
+    assert sorted((r.page_id or 0, r.payload_bytes, r.payload_digest) for r in got) == sorted((p or 0, len((h or "").encode()), b32encode(hashlib.sha1((h or "").encode()).digest()).decode()) for p, _, h in pages)
+    kinds = sorted((r.page_id or 0, r.record_type, r.refers_to) for r in got)
+    assert kinds == [(0, "revisit", 6), (1, "response", None), (2, "revisit", 3), (3, "response", None), (4, "revisit", 6), (5, "revisit", 6), (6, "response", None), (6, "response", None), (7, "response", None)]
+    ids = {r.page_id: r.record_id for r in got if r.record_type == "response"}
+    assert all(r.refers_to_id == ids[r.refers_to] for r in got if r.record_type == "revisit") and all(r.digest_ok for r in got)
+
+
+def test_warc_of_no_pages_and_broken_archives(spark, tmp_path):
+    import io
+
+    warc.write_arc(spark.createDataFrame([], "page_id long, url string, html string"), str(tmp_path / "a"))
+    warc.to_warc(warc.read_arc(spark, str(tmp_path / "a")), str(tmp_path / "w"))
+    with pytest.raises(ValueError):
+        list(warc.parse_arc(io.BytesIO(b"filedesc://x 0.0.0.0 2024 text/plain 4\n1 0\nu 0.0.0.0 2024 text/html 50\nshort")))
+    with pytest.raises(ValueError):
+        list(warc.parse_warc(io.BytesIO(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nx")))
+
+
+def planted(item, edits, seed):
+    rng = random.Random(seed)
+    words = item.split()
+    for _ in range(edits):
+        words[rng.randrange(len(words))] = f"zz{rng.randrange(999)}"
+    return f"{prose(seed, 50)} {' '.join(words)} {prose(seed + 1, 30)}"
+
+
+def test_decontamination_against_brute_force(spark):
+    rng = random.Random(3)
+    items = [(i, " ".join(f"w{rng.randrange(4000)}" for _ in range(rng.choice([6, 12, 30, 45])))) for i in range(25)]
+    rows = [(n, planted(items[n % 25][1], e, n)) for n in range(75) for e in [n // 25 * 2 if len(items[n % 25][1].split()) >= 30 else 0]] + [(100 + n, prose(n, 100)) for n in range(20)] + [(200, None), (201, ""), (202, items[0][1].upper()), (0, planted(items[0][1], 0, 0))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([*items, (90, None), (91, "two words")], "item_id long, text string")
+    found = {(r.doc_id, r.item_id): r.edits for r in decontaminate.matches(docs, bench).collect()}
+
+    def best(text, item):
+        d, t = item.split(), (text or "").lower().split()
+        row = [0] * (len(t) + 1)  # a window may begin anywhere
+        for i, x in enumerate(d, 1):
+            new = [i]
+            for j, y in enumerate(t, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return min(row)
+
+    true = {(n, i): e for n, t in rows for i, it in items if (e := best(t, it)) <= decontaminate.edits_allowed(len(it.split()))}
+    assert set(found) <= set(true) and all(found[k] == true[k] for k in found)
+    assert len(found) >= 0.95 * len(true) and all(k in found for k, e in true.items() if e == 0)
+    kept = {r.doc_id for r in decontaminate.decontaminate(docs, bench).collect()}
+    assert kept == {n for n, _ in rows} - {n for n, _ in found}
+    blocks = {(r.doc_id, r.item_id) for r in decontaminate.matches(docs, bench, block_words=100).collect()}
+    assert blocks == set(found)
+    assert decontaminate.matches(docs, bench.limit(0)).count() == 0
+
+
+def test_token_counts_are_the_librarys(docs, none):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tok = token_counts.load(path)
+    got = token_counts.count_tokens(docs, path, ["doc_id", "score"], batch_bytes=200)
+    rows = {r.doc_id: r for r in got.where("doc_id is not null").collect()}
+    for i, t in enumerate(TEXTS):
+        n = len(tok.encode(t or "", add_special_tokens=False))
+        assert (rows[i].n_tokens, rows[i].n_bytes, rows[i].over_limit) == (n, len((t or "").encode()), n > 512)
+        assert "".join(token_counts.pieces(t or "")) == (t or "")
+    assert token_counts.count_tokens(none, path, ["doc_id"]).count() == 0
+
+
+@pytest.mark.parametrize("table_rows", [1000, 20, 0])
+def test_bpe_codec_is_the_librarys(docs, none, table_rows):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tok = token_counts.load(path)
+    rows = {r.doc_id: r for r in bpe_codec.encode_decode(docs, path, ["doc_id"], table_rows=table_rows).where("doc_id is not null").collect()}
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    for i, t in enumerate(TEXTS):
+        ids = tok.encode(t or "", add_special_tokens=False).ids
+        assert (rows[i].n_tokens, rows[i].ids_sha256, rows[i].decoded_sha256) == (len(ids), sha(" ".join(map(str, ids))), sha(tok.decode(ids, skip_special_tokens=False)))
+    assert bpe_codec.encode_decode(none, path, ["doc_id"]).count() == 0
+
+
+def test_covering_masks_hide_any_four_bits():
+    masks = simhash.covering_masks(list(range(64)), 4)
+    rng = random.Random(1)
+    for _ in range(3000):
+        d = sum(1 << p for p in rng.sample(range(64), 4))
+        assert any(not m & d for m in masks)
+
+
+@pytest.mark.parametrize("bucket_rows", [2048, 3])
+def test_simhash_components_against_brute_force(spark, bucket_rows):
+    rng = random.Random(bucket_rows)
+    fps = [rng.getrandbits(64) for _ in range(40)]
+    for _ in range(160):
+        x = rng.choice(fps)
+        fps.append(x ^ sum(1 << p for p in rng.sample(range(64), rng.randrange(1, 6))))
+    fps = sorted(set(fps))
+    root = {f: f for f in fps}
+
+    def find(f):
+        while root[f] != f:
+            f = root[f]
+        return f
+
+    for a in fps:
+        for b in fps:
+            if (a ^ b).bit_count() <= 4:
+                root[find(a)] = find(b)
+    signed = lambda f: f - (1 << 64) if f >> 63 else f
+    links = simhash.covering_links(spark.createDataFrame([(signed(f),) for f in fps], "fp long"), 4, bucket_rows)
+    roots = {r.u: r.root for r in simhash.components(links).collect()}
+    groups, got = {}, {}
+    for f in fps:
+        groups.setdefault(find(f), set()).add(signed(f))
+        got.setdefault(roots.get(signed(f), signed(f)), set()).add(signed(f))
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, got.values()))
+
+
+def test_simhash_fingerprints(docs, none):
+    from xxhash import xxh64_intdigest
+
+    def plain(t):
+        words = (t or "").encode().lower().split()
+        shingles = [b" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))] if words else []
+        hs = [xxh64_intdigest(s, 42) for s in shingles]
+        return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
+
+    rows = simhash.near_duplicates(docs).select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fp"), "component_id").collect()
+    for r in rows:
+        assert r.fp == f"{plain(TEXTS[11 if r.doc_id is None else r.doc_id]):016x}"
+    group = {r.doc_id: r.component_id for r in rows}
+    assert group[0] == group[1] == group[2] == 0 and group[5] == group[6] == 5 and group[None] == 11
+    assert simhash.near_duplicates(none).count() == 0
+
+
+def test_secrets(spark, none):
+    rng = random.Random(5)
+    hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    clean = [prose(n, 80) + f" call 555-0{n:03d}-123456 or mail a{n}123456789012@example.com einheitverkeitungschendungen" for n in range(40)]
+    dirty = [prose(n, 40) + (f' token = "{hexes(40)}" ' if n % 2 else f" password={hexes(18)} ") + prose(n, 9) for n in range(100, 140)]
+    docs = spark.createDataFrame([*[(n, t, "s", 1) for n, t in enumerate(clean + dirty)], (900, None, None, None), (901, "", None, None)], "doc_id long, text string, source string, n_chars long")
+    model = secrets.fit(docs)
+    found = secrets.scan(docs, model).collect()
+    assert {r.doc_id for r in found} == set(range(40, 80))
+    text = dict(enumerate(clean + dirty))
+    assert all(hashlib.sha256(text[r.doc_id].encode()[r.start_byte : r.start_byte + r.n_bytes]).hexdigest() == r.secret_sha256 for r in found)
+    after = {r.doc_id: r for r in secrets.redact(docs, model).collect()}
+    assert len(after) == 82 and all(after[n].text == t for n, t in enumerate(clean)) and after[900].text is None
+    assert all(secrets.REDACTED in after[n].text and after[n].n_chars == len(after[n].text) for n in range(40, 80))
+    assert secrets.scan(none, secrets.fit(none)).count() == 0
+
+
+def test_forest_export_votes_as_spark_does(spark):
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.functions import array_to_vector
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(300, 3))
+    df = spark.createDataFrame([(a.tolist(), float(a[0] + a[1] > 0)) for a in x], "x array<double>, label double").select(array_to_vector("x").alias("features"), "label")
+    model = RandomForestClassifier(numTrees=9, maxDepth=4, seed=1).fit(df)
+    votes = secrets._parsed(model.toDebugString).votes(x)
+    trees = np.mean([[t.predict(r.features) for r in df.collect()] for t in model.trees], axis=0)
+    assert np.allclose(votes, trees)
+
+
+def test_quality(spark, docs, none):
+    sf_dir = "/root/testdata/sf0.01"  # some eighty held-out rows
+    got = quality.op8_quality(spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id").where("held_out")
+    assert got.where((F.col("quality") == F.col("predicted"))).count() >= 0.9 * got.count() > 0
+    rows = quality.features(docs, ["doc_id"])
+    assert all(0 <= r.score <= 1 for r in quality.score(rows, 0.5, ["doc_id"]).collect())
+    assert quality.train(quality.features(none, ["doc_id"]).withColumn("label", F.lit(1))) == 0.5
+
+
+def test_quality_density_is_gaussian():
+    rng = np.random.default_rng(0)
+    p = len(quality.FEATURES)
+    factors = np.stack([np.tril(rng.normal(size=(p, p))) + 4 * np.eye(p) for _ in (0, 1)])
+    means, x = rng.normal(size=(2, p)), rng.normal(size=(5, p))
+    m = quality.Model(means, factors, np.array([-np.log(np.diag(f)).sum() for f in factors]))
+    logs = [-0.5 * np.einsum("ij,jk,ik->i", x - mu, np.linalg.inv(f @ f.T), x - mu) - 0.5 * np.linalg.slogdet(f @ f.T)[1] for mu, f in zip(means, factors, strict=True)]
+    assert np.allclose(m.score(x), 1 / (1 + np.exp(logs[0] - logs[1])))
+
+
+def test_license_scan_against_brute_force(docs, none):
+    import re
+
+    plan = license_scan.make_plan(license_scan.word_frequencies(docs, license_scan._vocabulary(license_scan.TEMPLATES)))
+    extra = docs.sparkSession.createDataFrame([(50, "permission is hereby granted free of charge to any person obtaining a copy of this software and associated files"), (51, "Licensed under the Apache License, Version 2.0.\nGNU general public\nlicense; mit licensee"), (52, "under the mit")], "doc_id long, text string")
+    table = docs.select("doc_id", "text").union(extra)
+    for r in table.join(license_scan.scan(table, ["doc_id"], plan), "doc_id").collect():
+        split = lambda s: [w.decode() for w in re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", s.encode().lower())]
+        words = split(r.text or "")
+        hits = sorted((i, label) for p, label in license_scan.PHRASES for i in range(len(words)) if words[i : i + len(p.split())] == p.split())
+        more = {label for line in (r.text or "").split("\n") for label, t in license_scan.TEMPLATES if len(set(t.split()) & set(split(line))) >= 0.8 * len(set(t.split()))}
+        base = {label for _, label in hits}
+        assert (r.n_words, r.n_base, r.base_labels, r.labels) == (len(words), len(hits), ",".join(sorted(base)), ",".join(sorted(base | more)))
+        assert (r.first_word, r.last_word) == ((hits[0][0], hits[-1][0]) if hits else (None, None))
+        assert (r.score > 0) == bool(base | more)
+    assert license_scan.scan(none, ["doc_id"], plan).count() == 0
+
+
+def test_fingerprints(spark, docs, none):
+    rows = fingerprint.with_next(docs, rows_per_range=4).select("doc_id", F.coalesce("lead", "head").alias("next"), "text").collect()
+    order = sorted(((-1 if r.doc_id is None else r.doc_id), r.text, r.next) for r in rows)
+    for (_, _, n), (_, t, _) in zip(order, order[1:] + order[:1], strict=True):
+        assert n == t
+    a, b = prose(1, 400), prose(9, 400)
+    pairs = spark.createDataFrame([(a, a), (a, a[: len(a) // 2] + b[: len(b) // 2]), (a, b), ("", ""), ("", "x"), ("one two", "one two")], "a string, b string")
+    fp = [fingerprint.fingerprint(F.col(c)) for c in "ab"]
+    near = [r[0] for r in pairs.select(*[f.alias(c) for f, c in zip(fp, "ab", strict=True)]).select(fingerprint.likeness(F.col("a"), F.col("b"))).collect()]
+    assert near[0] == 1 and abs(near[1] - 1 / 3) < 0.15 and near[2] < 0.1 and near[3:] == [1, 0, 1]
+    assert "Python" not in fingerprint.with_next(docs).select(fingerprint.fingerprint(F.col("text")))._jdf.queryExecution().executedPlan().toString()
+    assert fingerprint.with_next(none).count() == 0
+
+
+def test_pipeline_against_its_parts(spark, sf_dir):
+    import corpus_pipeline
+
+    assert len(corpus_pipeline.STAGES) == 5 and corpus_pipeline.ORACLE_SQL is None
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    kept = {r.doc_id for r in simhash.near_duplicates(docs).where("doc_id = component_id").collect()}
+    dirty = {r.doc_id for r in decontaminate.op3_decontaminate(spark, sf_dir).collect()}
+    und = {r.doc_id for r in language_id.op1_language_id(spark, sf_dir).where("lang_pred = 'und'").collect()}
+    got = corpus_pipeline.run(spark, sf_dir)
+    assert {r.doc_id for r in got.collect()} == kept - dirty - und
+    twice = docs.limit(3).union(docs.limit(3)).union(docs.limit(1).withColumn("doc_id", F.lit(None).cast("long")))
+    assert corpus_pipeline.dedup_stage(spark, twice, sf_dir).count() == docs.limit(3).select("text").distinct().count()
