@@ -90,10 +90,10 @@ def build(grams, languages: list[str], order: int, max_states: int) -> Model:
     cost = np.empty((n, 256, len(languages)), np.float32)
     for j, lang in enumerate(languages):
         own = cut[cut.lang == lang]
-        seen = np.zeros((n, 256))
+        seen = np.zeros((n, 256), np.float32)
         rows = [at[(k, g >> 8)] for k, g in zip(own.k.tolist(), own.gram.tolist(), strict=True)]
         seen[rows, own.gram.to_numpy() & 255] = own.n.to_numpy()
-        p = np.empty((n, 256))
+        p = np.empty((n, 256), np.float32)
         for d in range(order + 1):
             here = np.flatnonzero(depth == d)
             lower = p[shorter[here]] if d else np.full((len(here), 256), 1 / 256)
@@ -108,7 +108,7 @@ def build(grams, languages: list[str], order: int, max_states: int) -> Model:
     return Model(languages, order, step, cost)
 
 
-def train(docs: DataFrame, order: int = 3, per_language: int = 300, max_bytes: int = 30_000, max_cells: int = 24_000) -> Model | None:
+def train(docs: DataFrame, order: int = 3, per_language: int = 300, max_bytes: int = 30_000, max_cells: int = 16_000) -> Model | None:
     """Fit on rows of (text, lang); rows without text or lang are passed over. None: nothing to learn from."""
     usable = docs.select("text", "lang").where("lang is not null and octet_length(text) between 1 and %d" % max_bytes)
     counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}  # a row a language
