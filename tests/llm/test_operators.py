@@ -312,3 +312,20 @@ def test_pipeline_against_its_parts(spark, sf_dir):
     assert {r.doc_id for r in got.collect()} == kept - dirty - und
     twice = docs.limit(3).union(docs.limit(3)).union(docs.limit(1).withColumn("doc_id", F.lit(None).cast("long")))
     assert corpus_pipeline.dedup_stage(spark, twice, sf_dir).count() == docs.limit(3).select("text").distinct().count()
+
+
+@pytest.mark.parametrize("name", ["op2_warc", "op9_license_scan"])
+def test_query_matches_sql(spark, sf_dir, name):
+    import duckdb
+
+    from tamarack.llm import queries
+
+    df = queries.queries()[name](spark, sf_dir)
+    columns = sorted(df.columns)
+    con = duckdb.connect()
+    for t in ("documents", "pages"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+    cursor = con.execute(queries.oracle_sql()[name])
+    names = [d[0] for d in cursor.description]
+    rows = sorted(str(tuple(r)) for r in df.select(*columns).collect())
+    assert sorted(names) == columns and rows == sorted(str(tuple(r[names.index(c)] for c in columns)) for r in cursor.fetchall())
