@@ -124,15 +124,19 @@ class _Table:
         return np.where(self.h[at] == keys, at, -1)
 
 
+def _keys(words: list[str]) -> np.ndarray:
+    """The words' 64-bit keys, as Spark's xxhash64 gives them."""
+    from xxhash import xxh64_intdigest as xxh64
+
+    return np.array([xxh64(w.encode(), 42) for w in words], np.uint64).view(np.int64)
+
+
 def _chunk_entries(new: list[str], table: _Table, pieces: list[str], known: dict, own: dict) -> list[str]:
     """Put (ids text, n, decoded text) of each chunk into known; returns units that the table lacks.
     ``own``: ids of units that came with the text."""
-    from xxhash import xxh64_intdigest as xxh64
-
     cut = [units(c) for c in new]
     words = list({u for us in cut for u in us})
-    keys = np.array([xxh64(w.encode(), 42) for w in words], np.uint64).view(np.int64)
-    at = table.find(keys).tolist()
+    at = table.find(_keys(words)).tolist()
     entry, missing = {}, []
     for w, i in zip(words, at, strict=True):
         ids = table.ids[table.starts[i] : table.starts[i + 1]].tolist() if i >= 0 else own.get(w)
@@ -164,20 +168,35 @@ def _bytes_of(column: pa.Array) -> np.ndarray:
     return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, np.uint8)
 
 
-def rare_words(docs: DataFrame, words: DataFrame, least: int, text: str = "text") -> DataFrame:
-    """(text, word, ids) for each distinct text and each of its words that occurs fewer than ``least`` times."""
+def rare_pairs(docs: DataFrame, table, text: str = "text") -> DataFrame:
+    """(k, word): each text's distinct words that the (broadcast) table lacks. Frequent words are
+    left out before the shuffle, so no word is a hot key. Texts with an equal key k share their
+    words, which is harmless: a word's ids don't depend on its text."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in blocks(whole, "__text"):
-                for k, t in zip(batch.column("__key").to_pylist(), batch.column("__text").to_pylist(), strict=True):
-                    own = list({u for c in set(chunks(t)) for u in units(c)})
-                    yield pa.RecordBatch.from_pydict({"k": pa.array([k] * len(own), pa.binary()), "word": pa.array(own, pa.string())})
-
-    texts = docs.where(F.col(text).isNotNull()).select(F.col(text).alias("__text"), F.unhex(F.sha2(F.col(text).cast("binary"), 256)).alias("__key"))
-    pairs = texts.mapInArrow(split, "k binary, word string")
+                cut = [set(chunks(t)) for t in batch.column("__text").to_pylist()]
+                parts = {c: units(c) for c in set().union(*cut)}
+                words = list({u for us in parts.values() for u in us})
+                lacked = table.value.find(_keys(words)) < 0
+                rare = {w for w, x in zip(words, lacked.tolist(), strict=True) if x}
+                k, own = [], []
+                for key, cs in zip(batch.column("k").to_pylist(), cut, strict=True):
+                    mine = {u for c in cs for u in parts[c]} & rare
+                    k += [key] * len(mine)
+                    own += mine
+                yield pa.RecordBatch.from_pydict({"k": pa.array(k, pa.int64()), "word": pa.array(own, pa.string())})
+
+    texts = docs.where(F.col(text).isNotNull()).select(F.xxhash64(text).alias("k"), F.col(text).alias("__text"))
+    return texts.mapInArrow(split, "k long, word string")
+
+
+def rare_words(docs: DataFrame, words: DataFrame, least: int, table, text: str = "text") -> DataFrame:
+    """(k, own): the ids of each text's words that occur fewer than ``least`` times."""
     few = words.where(F.col("n") < least).select("word", "ids")
-    return pairs.join(few, "word").groupBy("k").agg(F.map_from_entries(F.collect_set(F.struct("word", "ids"))).alias("own"))
+    met = rare_pairs(docs, table, text).join(few, "word")
+    return met.groupBy("k").agg(F.map_from_entries(F.collect_set(F.struct("word", "ids"))).alias("own"))
 
 
 def encode_decode(docs: DataFrame, path: str, keep: list[str], text: str = "text", table_rows: int = 6_000_000) -> DataFrame:
@@ -190,12 +209,12 @@ def encode_decode(docs: DataFrame, path: str, keep: list[str], text: str = "text
     while total > table_rows:  # the most frequent words stay in the table, as many as fit
         least = max(2, 2 * least)
         total = words.where(F.col("n") >= least).count()
+    table = docs.sparkSession.sparkContext.broadcast(_collect_table(words, least, id_type(path)))
     if least:
-        own = rare_words(docs, words, least, text)
-        rows = rows.withColumn("__key", F.unhex(F.sha2(F.col("__text").cast("binary"), 256))).join(own, F.col("__key") == F.col("k"), "left").select(*keep, "__text", F.map_entries("own").alias("__own"))
+        own = rare_words(docs, words, least, table, text)
+        rows = rows.withColumn("__key", F.xxhash64("__text")).join(own, F.col("__key") == F.col("k"), "left").select(*keep, "__text", F.map_entries("own").alias("__own"))
     else:
         rows = rows.withColumn("__own", F.lit(None).cast("array<struct<key:string,value:binary>>"))
-    table = docs.sparkSession.sparkContext.broadcast(_collect_table(words, least, id_type(path)))
     schema = rows.select(*keep).schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
