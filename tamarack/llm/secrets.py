@@ -19,6 +19,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -80,7 +81,7 @@ def describe(token: bytes, before: bytes, after: bytes, path: str | None, dictio
     beside = re.findall(rb"[a-z]+", (before[-40:] + b" " + after[:40]).lower())
     return [
         float(np.log1p(len(b))), float((kinds == 0).mean()), float((kinds == 1).mean()), float((kinds[1:] != kinds[:-1]).mean()) if len(b) > 1 else 0.0,
-        float(-(share * np.log2(share)).sum()), _coverage(token[:256], dictionary), float(re.fullmatch(rb"[0-9a-f]+|[0-9A-F]+", token) is not None), float(KNOWN.fullmatch(token) is not None),
+        float(-(share * np.log2(share)).sum()), _coverage(token, dictionary), float(re.fullmatch(rb"[0-9a-f]+|[0-9A-F]+", token) is not None), float(KNOWN.fullmatch(token) is not None),
         float(KEYWORD.search(before) is not None), float(ASSIGNED.search(before) is not None), float(before[-1:] in (b'"', b"'") and after[:1] == before[-1:]),
         float(LINKED.search(before) is not None or after[:1] in (b"@", b".")), sum(x in dictionary for x in beside) / max(1, len(beside)),
         (sum(map(ord, path)) % 16 if path else 0) / 16,
@@ -266,9 +267,12 @@ def redact(docs: DataFrame, model: tuple[frozenset, Forest | None]) -> DataFrame
                 columns = {c: batch.column(c) for c in names}
                 if found:
                     texts, chars = columns["text"].to_pylist(), columns["n_chars"].to_pylist() if "n_chars" in names else None
-                    for row, start, token, _, _ in reversed(found):
-                        b = texts[row].encode()
-                        texts[row] = (b[:start] + REDACTED.encode() + b[start + len(token) :]).decode()
+                    for row, own in groupby(found, key=lambda f: f[0]):
+                        b, parts, last = texts[row].encode(), [], 0
+                        for _, start, token, _, _ in own:
+                            parts += [b[last:start], REDACTED.encode()]
+                            last = start + len(token)
+                        texts[row] = b"".join([*parts, b[last:]]).decode()
                         if chars is not None:
                             chars[row] = len(texts[row])
                     columns["text"] = pa.array(texts, columns["text"].type)
