@@ -6,7 +6,8 @@
 3. Ids go back to their texts by position. The word table is looked up where the texts are
    if it has at most ``table_rows`` rows (the size is checked). If it has more, only the
    most frequent words are looked up there, and a text's other words meet the table in a
-   join: a row for each text and distinct rare word, no hot keys.
+   join: a row for each text and distinct rare word, so no word is a hot key. Texts meet
+   their words by hash; large groups of equal texts are left to adaptive execution.
 
 A unit is a run of letters or of punctuation of a white-space separated chunk, if the
 chunk has plain characters only (ASCII letters, letters of U+00C0-U+024F, some
