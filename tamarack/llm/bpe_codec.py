@@ -113,9 +113,14 @@ class _Table:
         """``starts`` has one more entry than h; word i has ids[starts[i] : starts[i + 1]]."""
         order = np.argsort(h, kind="stable")
         size = np.diff(starts)[order]
-        ends = np.cumsum(size, dtype=np.int64)
-        place = np.repeat(starts[:-1][order] - (ends - size), size) + np.arange(len(ids))
-        self.h, self.starts, self.ids = h[order], np.append(0, ends).astype(np.int32 if len(ids) < 1 << 31 else np.int64), ids[place]
+        self.h = h[order]
+        self.starts = np.append(0, np.cumsum(size)).astype(np.int32 if len(ids) < 1 << 31 else np.int64)
+        self.ids = np.empty_like(ids)
+        for a in range(0, len(order), 1 << 17):  # in parts: the places of all ids would take several times the table
+            own, first = size[a : a + (1 << 17)], starts[:-1][order[a : a + (1 << 17)]]
+            total = int(own.sum())
+            at = int(self.starts[a])
+            self.ids[at : at + total] = ids[np.repeat(first - (np.cumsum(own) - own), own) + np.arange(total)]
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Row of each key, -1 for those that aren't here."""
@@ -158,9 +163,10 @@ def _collect_table(words: DataFrame, least: int, kind: str) -> _Table:
     if not t.num_rows:
         return _Table(np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(0, kind))
     h = t.column("h").to_numpy()
-    size = np.asarray(pc.binary_length(t.column("ids")), np.int64) // np.dtype(kind).itemsize
+    size = np.asarray(pc.binary_length(t.column("ids"))) // np.dtype(kind).itemsize
     ids = np.concatenate([_bytes_of(c).view(kind) for c in t.column("ids").chunks])
-    return _Table(h, np.append(0, np.cumsum(size)), ids)
+    del t
+    return _Table(h, np.append(0, np.cumsum(size, dtype=np.int64)), ids)
 
 
 def _bytes_of(column: pa.Array) -> np.ndarray:
