@@ -71,9 +71,10 @@ def build(grams, languages: list[str], order: int, max_states: int) -> Model:
     while True:  # rarer strings go until the contexts fit; those of order 0 and 1 stay
         least += 1
         cut = grams[(grams.k < 2) | (grams.n >= least)]
-        contexts = sorted(set(zip(cut.k.tolist(), (cut.gram.to_numpy() >> 8).tolist(), strict=True)) | {(0, 0)})
-        if len(contexts) <= max_states or (cut.k < 2).all():
+        packed = np.unique(np.append(cut.k.to_numpy(np.int64) << 56 | cut.gram.to_numpy() >> 8, 0))
+        if len(packed) <= max_states or (cut.k < 2).all():
             break
+    contexts = [(c >> 56, c & ((1 << 56) - 1)) for c in packed.tolist()]
     at = {c: i for i, c in enumerate(contexts)}
     n = len(contexts)
     shorter = np.array([at[(k - 1, c & ((1 << 8 * (k - 1)) - 1))] if k else 0 for k, c in contexts])
