@@ -1,7 +1,9 @@
 """Operator 7: secret scans with a random forest for false-positive removal.
 
-Candidates are maximal runs of ``[A-Za-z0-9_/+-]`` in whole texts that are long or carry
-digits. A candidate's features are its length, character transitions and entropy, its
+Candidates in whole texts are (1) the values assigned to a word that names a secret, quoted
+or up to white space, and the passwords of ``scheme://user:password@host``, whatever their
+length or characters (``named``), and (2) anywhere else maximal runs of ``[A-Za-z0-9_/+-]``
+of 24 bytes or more, or of 12 or more with two digits. A candidate's features are its length, character transitions and entropy, its
 coverage by dictionary words, its document's path (``source``) and the words beside it. The
 dictionary is the ``dictionary_words`` most frequent words of 3 to 8 ASCII letters, counted
 over all texts. A random forest, trained from labelled findings, votes; candidates with
@@ -33,6 +35,11 @@ FEATURES = ["length", "digits", "upper", "transitions", "entropy", "dictionary",
 KNOWN = re.compile(rb"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|(?:sk|rk)_live_[A-Za-z0-9]{16,}|sk-[A-Za-z0-9]{20,}|AIza[A-Za-z0-9_-]{35}")
 KEYWORD = re.compile(rb"(?:password|passwd|pwd|token|secret|api[_-]?key|auth|credential|private[_-]?key|access[_-]?key)\W{0,5}$", re.I)
 ASSIGNED = re.compile(rb"[=:]\s{0,2}[\"']?$")
+ASSIGNMENT = re.compile(rb"(?:password|passwd|pwd|token|secret|api[_-]?key|auth|credential|private[_-]?key|access[_-]?key)[\"'\])]{0,3}[ \t]{0,40}(?::=|=>|==|=|:)[ \t]{0,40}", re.I)
+QUOTED = re.compile(rb"\"((?:[^\"\\\n]|\\.)+)\"|'((?:[^'\\\n]|\\.)+)'")
+BARE = re.compile(rb"[^\s\"'][^\s]*")
+BARE_END = b".,;&)]}>\"'"
+USERINFO = re.compile(rb"(?<=[A-Za-z0-9+.-])://[^\s:/@\"'<>?#]*:([^\s/\"'<>?#]+)@")
 LINKED = re.compile(rb"(?:://|@|www\.)[^\s]*$")
 REDACTED = "[SECRET]"
 FINDINGS = "doc_id long, start_byte long, n_bytes int, kind string, secret_sha256 string, score double"
@@ -62,6 +69,40 @@ def candidates(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return w.doc[keep], w.start[keep], w.end[keep]
 
 
+def named(data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int]]:
+    """(row, start, end) of assigned values and of passwords in addresses, whole. Where a bare value holds
+    further assignments, its parts between them are listed too, so no value hides another."""
+    text, out, bare_end = data.tobytes(), set(), 0
+
+    def place(at: int) -> tuple[int, int]:
+        row = int(np.searchsorted(offsets, at, "right")) - 1
+        return row, int(offsets[row + 1])
+
+    def bare(row: int, a: int, z: int) -> None:
+        if size := len(text[a:z].rstrip(BARE_END)):
+            out.add((row, a, a + size))
+
+    heads = [(m.start(), *place(m.start())) for m in ASSIGNMENT.finditer(text)]
+    for k, (at, row, end) in enumerate(heads):
+        if not (m := ASSIGNMENT.match(text, at, end)):  # it would span two rows
+            continue
+        a = m.end()
+        if v := QUOTED.match(text, a, end):
+            out.add((row, *v.span(1 if v[1] else 2)))
+        elif a < bare_end:  # inside the value before
+            bare(row, a, max(a, min(bare_end, heads[k + 1][0] if k + 1 < len(heads) else bare_end)))
+        elif v := BARE.match(text, a, end):
+            bare_end = v.end()
+            bare(row, a, bare_end)
+            if k + 1 < len(heads) and a < heads[k + 1][0] < bare_end:
+                bare(row, a, heads[k + 1][0])
+    for m in USERINFO.finditer(text):
+        row, end = place(m.start())
+        if m.end() <= end:
+            out.add((row, *m.span(1)))
+    return sorted(out)
+
+
 def _coverage(token: bytes, dictionary: frozenset) -> float:
     low, covered = token.lower(), np.zeros(len(token), bool)
     for i in range(len(low) - 2):
@@ -72,8 +113,9 @@ def _coverage(token: bytes, dictionary: frozenset) -> float:
     return float(covered.mean())
 
 
-def describe(token: bytes, before: bytes, after: bytes, path: str | None, dictionary: frozenset) -> list[float]:
-    """FEATURES of one candidate; ``before`` and ``after`` are its neighbouring bytes."""
+def describe(token: bytes, before: bytes, after: bytes, path: str | None, dictionary: frozenset, is_named: bool = False) -> list[float]:
+    """FEATURES of one candidate; ``before`` and ``after`` are its neighbouring bytes. A value in
+    ``named`` has a keyword and is assigned, and is not part of an address."""
     b = np.frombuffer(token, np.uint8)
     kinds = _KIND[b]
     share = np.bincount(b) / len(b)
@@ -82,17 +124,20 @@ def describe(token: bytes, before: bytes, after: bytes, path: str | None, dictio
     return [
         float(np.log1p(len(b))), float((kinds == 0).mean()), float((kinds == 1).mean()), float((kinds[1:] != kinds[:-1]).mean()) if len(b) > 1 else 0.0,
         float(-(share * np.log2(share)).sum()), _coverage(token, dictionary), float(re.fullmatch(rb"[0-9a-f]+|[0-9A-F]+", token) is not None), float(KNOWN.fullmatch(token) is not None),
-        float(KEYWORD.search(before) is not None), float(ASSIGNED.search(before) is not None), float(before[-1:] in (b'"', b"'") and after[:1] == before[-1:]),
-        float(LINKED.search(before) is not None or after[:1] in (b"@", b".")), sum(x in dictionary for x in beside) / max(1, len(beside)),
+        float(is_named or KEYWORD.search(before) is not None), float(is_named or ASSIGNED.search(before) is not None), float(before[-1:] in (b'"', b"'") and after[:1] == before[-1:]),
+        float(not is_named and (LINKED.search(before) is not None or after[:1] in (b"@", b"."))), sum(x in dictionary for x in beside) / max(1, len(beside)),
         (sum(map(ord, path)) % 16 if path else 0) / 16,
     ]
 
 
 def weak_label(token: bytes, x: list[float]) -> int:
-    """1: a known format, or assigned to a word that names a secret. 0: no digits, digits only, or in an address. -1: undecided."""
+    """1: a known format, or assigned to a word that names a secret (letters alone that are dictionary words throughout are
+    undecided there). 0: no digits, digits only, or in an address. -1: undecided."""
     f = dict(zip(FEATURES, x, strict=True))
-    if f["known"] or (f["keyword"] and f["assigned"] and 0 < f["digits"]):
+    if f["known"] or (f["keyword"] and f["assigned"] and (0 < f["digits"] or f["dictionary"] < 1)):
         return 1
+    if f["keyword"] and f["assigned"]:
+        return -1
     return 0 if f["digits"] in (0, 1) or f["linked"] or not re.search(rb"[A-Za-z]", token) else -1
 
 
@@ -173,10 +218,11 @@ def _found(batch: pa.RecordBatch, dictionary: frozenset):
     """(row, start in the row, token, features) of the candidates of a batch with __text and __path."""
     data, offsets = utf8(batch.column("__text"))
     paths = batch.column("__path").to_pylist()
-    for row, a, z in zip(*(v.tolist() for v in candidates(data, offsets)), strict=True):
+    own = set(named(data, offsets))
+    for row, a, z in sorted(own.union(zip(*(v.tolist() for v in candidates(data, offsets)), strict=True))):
         lo, hi = int(offsets[row]), int(offsets[row + 1])
         token = data[a:z].tobytes()
-        yield row, a - lo, token, describe(token, data[max(lo, a - 64) : a].tobytes(), data[z : min(hi, z + 64)].tobytes(), paths[row], dictionary)
+        yield row, a - lo, token, describe(token, data[max(lo, a - 64) : a].tobytes(), data[z : min(hi, z + 64)].tobytes(), paths[row], dictionary, (row, a, z) in own)
 
 
 def _inputs(docs: DataFrame, keep: list[str]) -> DataFrame:
@@ -224,12 +270,18 @@ def fit(docs: DataFrame, labelled: DataFrame | None = None) -> tuple[frozenset,
 
 
 def _judged(batch: pa.RecordBatch, dictionary: frozenset, forest: Forest | None):
-    """(row, start, token, features, score) of the findings of a batch. Without a forest the rules alone decide."""
+    """(row, start, token, features, score) of the findings of a batch, in order; none lies within another.
+    Without a forest the rules alone decide."""
     found = list(_found(batch, dictionary))
     if not found:
         return []
     scores = forest.votes(np.array([f[3] for f in found])) if forest else [float(weak_label(f[2], f[3]) == 1) for f in found]
-    return [(*f, float(s)) for f, s in zip(found, scores, strict=True) if s >= 0.5]
+    kept, end = [], {}
+    for f, s in sorted(zip(found, scores, strict=True), key=lambda p: (p[0][0], p[0][1], -len(p[0][2]))):
+        if s >= 0.5 and f[1] + len(f[2]) > end.get(f[0], 0):
+            end[f[0]] = f[1] + len(f[2])
+            kept.append((*f, float(s)))
+    return kept
 
 
 def scan(docs: DataFrame, model: tuple[frozenset, Forest | None]) -> DataFrame:
@@ -270,7 +322,8 @@ def redact(docs: DataFrame, model: tuple[frozenset, Forest | None]) -> DataFrame
                     for row, own in groupby(found, key=lambda f: f[0]):
                         b, parts, last = texts[row].encode(), [], 0
                         for _, start, token, _, _ in own:
-                            parts += [b[last:start], REDACTED.encode()]
+                            if start >= last:  # else it goes with the finding that it overlaps
+                                parts += [b[last:start], REDACTED.encode()]
                             last = start + len(token)
                         texts[row] = b"".join([*parts, b[last:]]).decode()
                         if chars is not None:

@@ -236,6 +236,28 @@ def test_secrets(spark, none):
     assert secrets.scan(none, secrets.fit(none)).count() == 0
 
 
+def test_secrets_of_any_length_and_characters(spark):
+    rng = random.Random(6)
+    hexes = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40))
+    forms = [
+        ("password=hunter22 ", "hunter22"), ("pwd=correcthorsebatt", "correcthorsebatt"), ("password=Winter!2024x, ", "Winter!2024x"), ('"password": "p w \\"é" ', 'p w \\"é'),
+        ("see https://bob:s3cr.t@host/x ", "s3cr.t"), ("redis://:abc@h ", "abc"), ("f?user=a&password=Q!7&token=ab$9", "Q!7&token=ab$9"), ("token : x", "x"),
+    ]
+    texts = [prose(n, 60) + " mail a123456789012@example.com or https://host:8080/a@b einheitverkeitungschendungen" for n in range(40)]
+    texts += [f'{prose(n, 30)} token = "{hexes()}" {prose(n, 9)}' for n in range(100, 140)]
+    texts += [f"{prose(n, 20)} {form}" for n, (form, _) in enumerate(forms, 200)] + ["password", "=hunter22"]
+    docs = spark.createDataFrame([(n, t) for n, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    model = secrets.fit(docs)
+    got = {}
+    for r in secrets.scan(docs, model).collect():
+        got.setdefault(r.doc_id, []).append(texts[r.doc_id].encode()[r.start_byte : r.start_byte + r.n_bytes].decode())
+    assert set(got) == set(range(40, 80 + len(forms)))
+    assert [got[80 + n] for n in range(len(forms))] == [[secret] for _, secret in forms]
+    after = {r.doc_id: r.text for r in secrets.redact(docs, model).collect()}
+    assert [after[80 + n] for n in range(len(forms))] == [texts[80 + n].replace(secret, secrets.REDACTED) if secret != "x" else texts[80 + n][:-1] + secrets.REDACTED for n, (_, secret) in enumerate(forms)]
+    assert after[80 + len(forms)] == "password"
+
+
 def test_forest_export_votes_as_spark_does(spark):
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.functions import array_to_vector
