@@ -1,12 +1,14 @@
 """Operator 9: license scans as an exact set-similarity join of text blocks and templates.
 
-A block is a line of a text (between line feeds). It meets a template if it has at least
+A block is a line of a text (between line feeds) or, since license texts are hard-wrapped, a
+window of a text's consecutive words: one at every start, with as many words as the template
+has / ``containment``, across line feeds. It meets a template if it has at least
 ``containment`` of the template's distinct words. Words have one global order, by their
 number of occurrences in all texts (rarest first, ties by the word). With t words in a
 template and o = ceil(containment * t) of them needed: prefix filter - a block that meets
 it has one of the t - o + 1 rarest; length filter - it has at least o words of templates;
 positional filter - o can still be reached with what follows its first prefix word in
-either order. Survivors are counted exactly, so the join misses nothing.
+either order (lines only). Survivors are counted exactly, so the join misses nothing.
 
 Templates are few and fixed (a parameter); texts never leave their task.
 """
@@ -57,7 +59,7 @@ class Plan:
 
     hashes: np.ndarray
     ranks: np.ndarray
-    templates: list[tuple[str, np.ndarray, int, int]]  # label, sorted ranks, words needed, prefix
+    templates: list[tuple[str, np.ndarray, int, int, int]]  # label, sorted ranks, words needed, prefix, words of a window
     phrases: list[tuple[list[int], str]]
     words: list[bytes]
 
@@ -97,10 +99,32 @@ def make_plan(frequency: dict[str, int], templates=TEMPLATES, containment: float
     for label, t in templates:
         own = np.array(sorted({rank[w] for w in t.split()}), np.int64)
         need = -int(-containment * len(own) // 1)
-        made.append((label, own, need, len(own) - need + 1))
+        made.append((label, own, need, len(own) - need + 1, -int(-len(t.split()) / containment // 1)))
     return Plan(hashes[order], order, made, [([rank[w] for w in p.split()], label) for p, label in PHRASES], [w.encode() for w in vocabulary])
 
 
+def best_windows(rank: np.ndarray, doc: np.ndarray, own: np.ndarray, need: int, prefix: int, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, distinct words of the template ``own``) of each window of ``span`` words with ``need`` or more.
+    A window begins at a word of the template: an earlier start adds none."""
+    at = np.flatnonzero(np.isin(rank, own))
+    place = at + doc[at] * span  # no window spans two rows
+    end = np.searchsorted(place, place + span)
+    lead = np.concatenate([[0], np.cumsum(np.isin(rank[at], own[:prefix]))])
+    i = np.arange(len(at))
+    start = np.flatnonzero((end - i >= need) & (lead[end] > lead[i]))  # length and prefix filters
+    order = np.argsort(rank[at], kind="stable")
+    same = np.flatnonzero(np.diff(rank[at][order]) == 0)
+    before = np.full(len(at), -1, np.int64)  # where the word was last
+    before[order[same + 1]] = order[same]
+    met = np.zeros(len(start), np.int64)
+    for a in range(0, len(start), 1 << 14):
+        s = start[a : a + (1 << 14), None]
+        j = s + np.arange(span)
+        met[a : a + (1 << 14)] = ((j < end[s]) & (before[np.minimum(j, len(at) - 1)] < s)).sum(1)
+    ok = met >= need
+    return doc[at[start[ok]]], met[ok]
+
+
 def scan_words(plan: Plan, w: Words, lines: np.ndarray):
     """Per row: (n_base, first, last, base labels, labels, score). ``lines``: the block number of each word."""
     rank = np.full(len(w.hash), -1, np.int64)
@@ -133,7 +157,10 @@ def scan_words(plan: Plan, w: Words, lines: np.ndarray):
     size = np.diff(np.append(begin, len(line)))
     row_of_line = np.zeros(int(lines.max()) + 1 if len(lines) else 0, np.int64)
     row_of_line[lines] = w.doc
-    for label, own, need, prefix in plan.templates:
+    for label, own, need, prefix, span in plan.templates:
+        for doc, met in zip(*(v.tolist() for v in best_windows(rank, w.doc, own, need, prefix, span)), strict=True):
+            more[doc].add(label)
+            score[doc] = max(score[doc], met / len(own))
         lead = np.flatnonzero(np.isin(r, own[:prefix]))  # prefix filter
         if not len(lead):
             continue

@@ -308,6 +308,40 @@ def test_license_scan_against_brute_force(docs, none):
     assert license_scan.scan(none, ["doc_id"], plan).count() == 0
 
 
+def test_license_scan_of_hard_wrapped_headers(spark):
+    mit = """ * Permission is hereby granted, free of charge, to any person obtaining a copy
+ * of this software and associated documentation files (the "Software"), to deal
+ * in the Software without restriction, including without limitation the rights
+ *
+ * THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+ * IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+ * FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."""
+    gpl = """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License"""
+    bsd = "Redistribution and use in source and binary\nforms, with or without modification, are\n\npermitted provided that the following\nconditions are met"
+    far = "\n".join(f"{word} {prose(n, 12)}" for n, word in enumerate(license_scan.TEMPLATES[7][1].split()))
+    texts = [f"{prose(1, 300)}\n{mit}\n{prose(2, 30)}", gpl, bsd, far, gpl[: len(gpl) // 3], gpl[len(gpl) // 3 :], "the license " * 5000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    plan = license_scan.make_plan(license_scan.word_frequencies(docs, license_scan._vocabulary(license_scan.TEMPLATES)))
+    got = {r.doc_id: r for r in license_scan.scan(docs, ["doc_id"], plan).collect()}
+    assert [got[n].labels for n in range(7)] == ["mit-grant,mit-warranty", "gpl,gpl-header", "bsd-redistribution", "", "", "gpl", ""]
+    assert got[0].score == got[2].score == 1 and got[3].score == 0
+    rng = random.Random(8)
+    for _ in range(200):
+        rank, doc = np.array([rng.randrange(-1, 9) for _ in range(60)]), np.sort([rng.randrange(3) for _ in range(60)])
+        own, need, span = np.array(sorted(rng.sample(range(9), 5))), rng.choice([3, 4]), rng.choice([5, 6, 7])
+        true = {}
+        for s in range(60):
+            n = len({int(r) for r, d in zip(rank[s : s + span], doc[s : s + span], strict=True) if d == doc[s]} & set(own.tolist()))
+            if n >= need:
+                true[int(doc[s])] = max(n, true.get(int(doc[s]), 0))
+        found = {}
+        for d, n in zip(*license_scan.best_windows(rank, doc, own, need, len(own) - need + 1, span), strict=True):
+            found[int(d)] = max(int(n), found.get(int(d), 0))
+        assert found == true
+
+
 def test_fingerprints(spark, docs, none):
     rows = fingerprint.with_next(docs, rows_per_range=4).select("doc_id", F.coalesce("lead", "head").alias("next"), "text").collect()
     order = sorted(((-1 if r.doc_id is None else r.doc_id), r.text, r.next) for r in rows)
