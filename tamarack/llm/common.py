@@ -65,16 +65,19 @@ class Words:
 
     ``start`` and ``end`` are byte positions in the block, ``doc`` the row, ``first`` the
     index of each row's first word (one more entry than rows), ``hash`` a 64-bit
-    polynomial hash of the word's bytes after ``fold`` (a 256-entry byte map).
+    polynomial hash of the word's bytes after ``fold`` (a 256-entry byte map). A word also
+    ends before the bytes at ``cuts``.
     """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, inside: np.ndarray, fold: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, inside: np.ndarray, fold: np.ndarray, cuts: np.ndarray | None = None):
         self.data, self.offsets = data, offsets
         mark = inside.astype(np.int8)
         step = np.diff(mark, prepend=np.int8(0))
         edges = offsets[1:-1][offsets[1:-1] < len(data)]
         begins = step == 1
         begins[edges] |= inside[edges]  # a word never spans two rows
+        if cuts is not None:
+            begins[cuts] |= inside[cuts]
         self.start = np.flatnonzero(begins)
         word_bytes = np.flatnonzero(inside)
         if len(self.start):

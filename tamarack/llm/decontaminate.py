@@ -1,9 +1,11 @@
 """Operator 3: benchmark decontamination by CGK embedding and bit-sampling LSH.
 
-Texts and items are sequences of words (lower case; runs of letters and digits). A text
+Texts and items are sequences of words (lower case; runs of letters and digits, and each
+character of the scripts without spaces in ``UNSPACED``). A text
 window matches an item of m words within d = floor(0.2 m) word edits (similarity 0.8 or
-more); items of under ``EXACT_WORDS`` words have to occur word for word, items of under
-``MIN_WORDS`` words are no evidence and are passed over.
+more); items of under ``EXACT_WORDS`` words have to occur word for word. Items of under
+``MIN_WORDS`` words are looked up by all their words at once, items without a word (punctuation)
+as strings; only blank items are passed over.
 
 Random walk: at step j the walk emits the word it stands on and moves on if a random bit
 of (j, word) is 1. Walks of two sequences with few edits differ in few steps, so an edit
@@ -37,6 +39,10 @@ SHARE = 0.2
 MIN_WORDS = 5
 EXACT_WORDS = 8
 SAMPLED = 2
+#: Thai and Lao, Myanmar, Khmer, kana and bopomofo, ideographs, half-width kana, further ideographs.
+UNSPACED = [(0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3005, 0x3007), (0x3021, 0x3029), (0x3031, 0x3035), (0x3040, 0x312F), (0x31A0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x20000, 0x3FFFF)]
+#: CJK marks, vertical forms and full-width forms that are punctuation.
+MARKS = [(0x3000, 0x3004), (0x3008, 0x3020), (0x3030, 0x3030), (0x30FB, 0x30FB), (0xFE10, 0xFE1F), (0xFE30, 0xFE6F), (0xFF01, 0xFF0F), (0xFF1A, 0xFF20), (0xFF3B, 0xFF40), (0xFF5B, 0xFF65)]
 GRAM = 3
 MATCHES = "doc_id long, item_id long, edits int, item_words int, start_word int"
 
@@ -51,21 +57,50 @@ def grams_needed(m: int) -> int:
 
 def inside_words(data: np.ndarray) -> np.ndarray:
     """Which bytes of UTF-8 text belong to words: ASCII letters and digits and all other
-    characters but Latin-1 punctuation (C2 xx), general punctuation (E2 80/81 xx) and
-    ideographic punctuation (E3 80 xx)."""
+    characters but Latin-1 punctuation (C2 xx), general punctuation (E2 80/81 xx) and ``MARKS``."""
     table = np.zeros(256, bool)
     for a, b in ((48, 58), (65, 91), (97, 123), (128, 256)):
         table[a:b] = True
     table[0xC2] = False
     inside = table[data]
-    for lead, seconds in ((0xC2, range(0x80, 0xC0)), (0xE2, (0x80, 0x81)), (0xE3, (0x80,))):
+    for lead, seconds in ((0xC2, range(0x80, 0xC0)), (0xE2, (0x80, 0x81))):
         at = np.flatnonzero(data[:-1] == lead) if len(data) > 1 else np.zeros(0, np.int64)
         at = at[np.isin(data[at + 1], list(seconds))]
         for k in range(2 if lead == 0xC2 else 3):
             inside[np.minimum(at + k, len(data) - 1)] = False
+    at = np.flatnonzero((data == 0xE3) | (data == 0xEF))
+    at = at[_among(_code_points(data, at, 3), MARKS)]
+    for k in range(3):
+        inside[at + k] = False
     return inside
 
 
+def _code_points(data: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """The characters of ``size`` bytes that begin ``at``."""
+    code = (data[at] & (0xFF >> (size + 1))).astype(np.int64)
+    for k in range(1, size):
+        code = code << 6 | (data[at + k] & 63)
+    return code
+
+
+def _among(code: np.ndarray, ranges: list[tuple[int, int]]) -> np.ndarray:
+    out = np.zeros(len(code), bool)
+    for a, b in ranges:
+        out |= (code >= a) & (code <= b)
+    return out
+
+
+def unspaced(data: np.ndarray) -> np.ndarray:
+    """Where characters of scripts without spaces begin and end: each is a word."""
+    cuts = []
+    for size, lead in ((3, (data >= 0xE0) & (data < 0xF0)), (4, data >= 0xF0)):
+        at = np.flatnonzero(lead)
+        at = at[_among(_code_points(data, at, size), UNSPACED)]
+        cuts += [at, at + size]
+    cuts = np.concatenate(cuts)
+    return cuts[cuts < len(data)]
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -73,7 +108,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def words_of(data: np.ndarray, offsets: np.ndarray) -> Words:
-    return Words(data, offsets, inside_words(data), ascii_lower())
+    return Words(data, offsets, inside_words(data), ascii_lower(), unspaced(data))
 
 
 def walk_keys(windows: np.ndarray, steps: np.ndarray, first: int = 0) -> np.ndarray:
@@ -158,6 +193,8 @@ class Index:
     grams: np.ndarray  # sorted
     seen: np.ndarray  # their low bits: a quick test
     bits: int
+    short: list[Class]  # of under MIN_WORDS words; one table with the keys of all their words
+    marks: list[tuple[int, bytes]]  # items without a word
 
 
 def grams_of(w: Words) -> np.ndarray:
@@ -175,7 +212,15 @@ def build_index(items: list[tuple[int, str]], recall: float) -> Index:
     data = np.frombuffer(b"".join(texts), np.uint8)
     w = words_of(data, np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64))
     sizes = np.diff(w.first)
-    classes = []
+    classes, short = [], []
+    for m in sorted(set(sizes[(sizes > 0) & (sizes < MIN_WORDS)].tolist())):
+        own = np.flatnonzero(sizes == m)
+        c = Class(m, 0, np.array([items[i][0] for i in own], np.int64), np.stack([w.hash[w.first[i] : w.first[i + 1]] for i in own]))
+        keys = _whole_keys(c.words.T)
+        order = np.argsort(keys, kind="stable")
+        c.tables.append((keys[order], order))
+        short.append(c)
+    marks = [(items[i][0], t) for i in np.flatnonzero(sizes == 0).tolist() if (t := items[i][1].lower().strip().encode())]
     for m in sorted(set(sizes[sizes >= MIN_WORDS].tolist())):
         own = np.flatnonzero(sizes == m)
         c = Class(m, edits_allowed(m), np.array([items[i][0] for i in own], np.int64), np.stack([w.hash[w.first[i] : w.first[i + 1]] for i in own]))
@@ -193,7 +238,15 @@ def build_index(items: list[tuple[int, str]], recall: float) -> Index:
     bits = max(16, min(26, int(math.log2(len(grams) + 1)) + 7))
     seen = np.zeros(1 << bits, bool)
     seen[_low(grams, bits)] = True
-    return Index(classes, grams, seen, bits)
+    return Index(classes, grams, seen, bits, short, marks)
+
+
+def _whole_keys(words) -> np.ndarray:
+    """A key of each column of word hashes."""
+    key = np.zeros(len(words[0]), np.uint64)
+    for word in words:
+        key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + word)
+    return key
 
 
 def _low(grams: np.ndarray, bits: int) -> np.ndarray:
@@ -208,11 +261,46 @@ def _verified(c: Class, windows: np.ndarray, starts: np.ndarray, picks: np.ndarr
         yield starts[cut][ok], c.ids[picks[cut][ok]], d[ok]
 
 
+def _short_matches(index: Index, w: Words) -> Iterator[tuple[int, int, int, int]]:
+    """(row, item_id, start word, item words) of the short items: their first place in each row."""
+    for c in index.short:
+        n = len(w.hash) - c.m + 1
+        if n <= 0:
+            continue
+        keys, order = c.tables[0]
+        key = _whole_keys([w.hash[k : k + n] for k in range(c.m)])
+        lo, hi = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
+        at = np.flatnonzero((hi > lo) & (w.doc[:n] == w.doc[c.m - 1 :]))
+        count = (hi - lo)[at]
+        start = np.repeat(at, count)
+        pick = order[np.arange(len(start)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo[at], count)]
+        same = (w.hash[start[:, None] + np.arange(c.m)] == c.words[pick]).all(1)
+        start, pick = start[same], pick[same]
+        _, first = np.unique(w.doc[start] * len(c.ids) + pick, return_index=True)
+        for s, i in zip(start[first].tolist(), c.ids[pick[first]].tolist(), strict=True):
+            yield int(w.doc[s]), i, s - int(w.first[w.doc[s]]), c.m
+    text = w.data.tobytes() if index.marks else b""
+    for i, mark in index.marks:
+        at = text.find(mark)
+        while at >= 0:
+            row = int(np.searchsorted(w.offsets, at, "right")) - 1
+            end = int(w.offsets[row + 1])
+            if at + len(mark) <= end:
+                yield row, i, int(np.searchsorted(w.start, at)) - int(w.first[row]), 0
+            at = text.find(mark, end if at + len(mark) <= end else at + 1)
+
+
 def find_matches(index: Index, w: Words) -> list[tuple[int, int, int, int, int]]:
     """(row, item_id, edits, item words, start word): the best place of each item in each row."""
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
-    if not len(w.hash) or not index.classes:
-        return []
+    for doc, i, s, m in _short_matches(index, w):
+        best[doc, i] = min((0, s, m), best.get((doc, i), (1 << 30, 0, 0)))
+    if len(w.hash) and index.classes:
+        _long_matches(index, w, best)
+    return [(doc, i, e, m, s) for (doc, i), (e, s, m) in sorted(best.items())]
+
+
+def _long_matches(index: Index, w: Words, best: dict[tuple[int, int], tuple[int, int, int]]) -> None:
     grams = grams_of(w)
     hits = index.seen[_low(grams, index.bits)] & (grams != 0)
     total = np.concatenate([[0], np.cumsum(hits)])
@@ -222,7 +310,7 @@ def find_matches(index: Index, w: Words) -> list[tuple[int, int, int, int, int]]
     reach = np.minimum(np.arange(len(w.hash)) + widest, ends)
     some = np.flatnonzero(total[reach] - total[:-1] >= least)
     if not len(some):
-        return []
+        return
     # where windows may match: each class counts its own strings there
     step = np.zeros(len(w.hash) + 1, np.int64)
     np.add.at(step, some, 1)
@@ -257,7 +345,6 @@ def find_matches(index: Index, w: Words) -> list[tuple[int, int, int, int, int]]
                         found = (e, s - int(w.first[doc]), c.m)
                         if found < best.get((doc, i), (1 << 30, 0, 0)):
                             best[doc, i] = found
-    return [(doc, i, e, m, s) for (doc, i), (e, s, m) in sorted(best.items())]
 
 
 def item_blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[int, str]]]:
@@ -265,7 +352,8 @@ def item_blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[i
     block, size = [], 0
     for r in benchmark.where("item_id is not null and text is not null").select("item_id", "text").toLocalIterator():
         block.append((r[0], r[1]))
-        size += len(r[1].split())
+        text = r[1].lower().encode()
+        size += max(1, len(words_of(np.frombuffer(text, np.uint8), np.array([0, len(text)])).hash))
         if size >= block_words:
             yield block
             block, size = [], 0

@@ -141,6 +141,22 @@ def test_decontamination_against_brute_force(spark):
     assert decontaminate.matches(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_of_short_items_and_unspaced_scripts(spark):
+    zh, th = "今天天气很好，我们一起去公园散步吧。明天也许会下雨。", "วันนี้อากาศดีมากเราไปเดินเล่นกัน"
+    items = [(1, zh), (2, th), (3, "Who wrote Hamlet?"), (4, "Paris"), (5, "two words"), (6, "東京は日本"), (7, "?!?"), (8, "  "), (9, ""), (10, "what is GPT模型"), (11, "?!?")]
+    texts = [
+        f"{prose(1, 30)} {zh} {prose(2, 5)}", f"昨天{zh.replace('很好', '不好').replace('，', ',')}所以", f"ก{th}ข", "and who wrote hamlet, again: who wrote hamlet", "who wrote", "Hamlet", "parisian", "in Paris.", "two", "words two",
+        "我在東京は日本の首都", "oh ?!? what is gpt模型吗", "公园散步", "", None,
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = sorted((r.doc_id, r.item_id, r.edits, r.item_words, r.start_word) for r in decontaminate.matches(docs, bench).collect())
+    long = len(zh) - 3, len(th)
+    assert found == [(0, 1, 0, long[0], 30), (1, 1, 1, long[0], 2), (2, 2, 0, long[1], 1), (3, 3, 0, 3, 1), (7, 4, 0, 1, 1), (10, 6, 0, 5, 2), (11, 7, 0, 0, 1), (11, 10, 0, 5, 1), (11, 11, 0, 0, 1)]
+    kept = sorted(r.doc_id for r in decontaminate.decontaminate(docs, bench, block_words=20).collect())
+    assert kept == sorted(set(range(len(texts))) - {f[0] for f in found})
+
+
 def test_token_counts_are_the_librarys(docs, none):
     path = public_tokenizers.path("byte_bpe_50k.json")
     tok = token_counts.load(path)
