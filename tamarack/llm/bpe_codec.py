@@ -4,8 +4,8 @@
 2. Each distinct unit is encoded once, by the tokenizers library (``encode_units``), and
    decoded by joining its ids with the id-to-piece table.
 3. Ids go back to their texts by position. The word table is looked up where the texts are
-   if it has at most ``table_rows`` rows (the size is checked). If it has more, only the
-   most frequent words are looked up there, and a text's other words meet the table in a
+   if it has at most ``table_rows`` rows and ``table_bytes`` bytes (both are checked). If it
+   has more, only the most frequent words without long ones are looked up there, and a text's other words meet the table in a
    join: a row for each text and distinct rare word, so no word is a hot key. Texts meet
    their words by hash; large groups of equal texts are left to adaptive execution.
 
@@ -33,6 +33,8 @@ from pyspark.sql import functions as F
 from .common import blocks, materialize, read_table
 from .token_counts import load
 
+#: Bytes of ids from which a word is long.
+LONG_IDS = 1024
 _LETTERS = r"A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f"
 _MARKS = r'.,;:!?"()\[\]#&%*$+=@/_-'
 _PLAIN = re.compile(f"[{_LETTERS}{_MARKS}]+")
@@ -157,9 +159,20 @@ def _chunk_entries(new: list[str], table: _Table, pieces: list[str], known: dict
     return missing
 
 
+def in_table(least: int):
+    """Whether a word is looked up in place: all are if ``least`` is 0, else those that occur so often and aren't long."""
+    return (F.col("n") >= least) & (F.octet_length("ids") <= LONG_IDS) if least else F.lit(True)
+
+
+def table_size(words: DataFrame, least: int) -> tuple[int, int]:
+    """Rows and bytes of the table of these words, as ``_collect_table`` holds it: ids, an 8-byte key and a place."""
+    r = words.where(in_table(least)).agg(F.count("*"), F.coalesce(F.sum(F.octet_length("ids").cast("long") + 12), F.lit(0))).first()
+    return r[0], r[1]
+
+
 def _collect_table(words: DataFrame, least: int, kind: str) -> _Table:
-    """Words that occur ``least`` times or more. The caller has checked how many there are."""
-    t = words.where(F.col("n") >= least).select("h", "ids").toArrow()
+    """The words of ``in_table``. The caller has checked their size."""
+    t = words.where(in_table(least)).select("h", "ids").toArrow()
     if not t.num_rows:
         return _Table(np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(0, kind))
     h = t.column("h").to_numpy()
@@ -200,22 +213,20 @@ def rare_pairs(docs: DataFrame, table, text: str = "text") -> DataFrame:
 
 
 def rare_words(docs: DataFrame, words: DataFrame, least: int, table, text: str = "text") -> DataFrame:
-    """(k, own): the ids of each text's words that occur fewer than ``least`` times."""
-    few = words.where(F.col("n") < least).select("word", "ids")
+    """(k, own): the ids of each text's words that aren't ``in_table``."""
+    few = words.where(~in_table(least)).select("word", "ids")
     met = rare_pairs(docs, table, text).join(few, "word")
     return met.groupBy("k").agg(F.map_from_entries(F.collect_set(F.struct("word", "ids"))).alias("own"))
 
 
-def encode_decode(docs: DataFrame, path: str, keep: list[str], text: str = "text", table_rows: int = 6_000_000) -> DataFrame:
+def encode_decode(docs: DataFrame, path: str, keep: list[str], text: str = "text", table_rows: int = 6_000_000, table_bytes: int = 128 << 20) -> DataFrame:
     """Columns ``keep`` of docs with n_tokens, ids_sha256 and decoded_sha256. Null text counts
     as empty: no tokens, digests of the empty string. Equal texts have equal rows."""
     words = materialize(encode_units(distinct_units(docs, text), path), "bpe-words")
     rows = docs.select(*keep, F.col(text).alias("__text"))
-    total = words.count()
     least = 0
-    while total > table_rows:  # the most frequent words stay in the table, as many as fit
+    while (size := table_size(words, least))[0] > table_rows or size[1] > table_bytes:  # the most frequent words stay in the table, as many as fit
         least = max(2, 2 * least)
-        total = words.where(F.col("n") >= least).count()
     table = docs.sparkSession.sparkContext.broadcast(_collect_table(words, least, id_type(path)))
     if least:
         own = rare_words(docs, words, least, table, text)

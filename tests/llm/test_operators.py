@@ -181,6 +181,23 @@ def test_bpe_codec_is_the_librarys(docs, none, table_rows):
     assert bpe_codec.encode_decode(none, path, ["doc_id"]).count() == 0
 
 
+def test_bpe_table_is_bounded_in_bytes(spark, monkeypatch):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tok = token_counts.load(path)
+    rng = random.Random(4)
+    sentence = lambda: "".join(chr(rng.randrange(0x4E00, 0x9FA0)) for _ in range(400))
+    often = sentence() * 4
+    texts = [f"{sentence()} {prose(n, 30)} {often}" for n in range(30)]
+    sizes, collect = [], bpe_codec._collect_table
+    monkeypatch.setattr(bpe_codec, "_collect_table", lambda *a: sizes.append(t := collect(*a)) or t)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r.doc_id: r for r in bpe_codec.encode_decode(docs, path, ["doc_id"], table_bytes=4000).collect()}
+    assert 0 < len(sizes[0].h) and sizes[0].h.nbytes + sizes[0].ids.nbytes + sizes[0].starts.nbytes <= 4004
+    for n, t in enumerate(texts):
+        ids = tok.encode(t, add_special_tokens=False).ids
+        assert (rows[n].n_tokens, rows[n].ids_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+
+
 def test_covering_masks_hide_any_four_bits():
     masks = simhash.covering_masks(list(range(64)), 4)
     rng = random.Random(1)
