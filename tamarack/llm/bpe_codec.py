@@ -1,18 +1,26 @@
 """Operator 5: BPE encoding and decoding through a table of distinct words.
 
+One plan at every size:
+
 1. Texts are split into units and the distinct units are counted (``distinct_units``).
-2. Each distinct unit is encoded once, by the tokenizers library (``encode_units``), and
-   decoded by joining its ids with the id-to-piece table.
-3. Ids go back to their texts by position. The word table is looked up where the texts are
-   if it has at most ``table_rows`` rows and ``table_bytes`` bytes (both are checked). If it
-   has more, only the most frequent words without long ones are looked up there, and a text's other words meet the table in a
-   join: a row for each text and distinct rare word, so no word is a hot key. Texts meet
-   their words by hash; large groups of equal texts are left to adaptive execution.
-
-A unit is a run of letters or of punctuation of a white-space separated chunk, if the
-chunk has plain characters only (ASCII letters, letters of U+00C0-U+024F, some
-punctuation); any other chunk is a unit whole. The tokenizer drops white space and splits
-plain chunks at just these places, so the ids of a text are those of its units in order.
+2. Each distinct unit is encoded once by the tokenizers library, and its ids are decoded by
+   a join with the id-to-piece table (``word_table``).
+3. Ids go back to their texts by position (``encode_decode``). The most frequent units are
+   broadcast, as many as fit ``table_bytes`` (``frequent``); the size of the corpus doesn't
+   change that bound. Every other unit meets the word table in a join on the unit, as one
+   row for each distinct text that has it: frequent units are left out before the shuffle,
+   so no unit is a hot key. A text is sent, compressed, to where its units are, once a
+   task however often the task reads it, and its result is joined to all its documents.
+
+A unit is a run of letters or of marks of a white-space separated chunk, if the chunk has
+plain characters only (``_LETTERS``, ``_MARKS``); any other chunk is a unit whole. The
+tokenizer drops white space and splits plain chunks at just these places, so the ids of a
+text are those of its units in order.
+
+Null text counts as empty: no tokens, digests of the empty string. Equal texts and repeated
+rows have equal results, a row each. An empty table gives no rows. Units of any length are
+whole, so a long text without white space, letters only, is one unit: it takes memory in
+proportion to itself. A kept column with the name of a result goes; the result stays.
 """
 
 from __future__ import annotations
@@ -24,25 +32,27 @@ from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
-import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+import zstandard
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, materialize, read_table
+from .common import blocks, kept, materialize, read_table
 from .token_counts import load
 
-#: Bytes of ids from which a word is long.
-LONG_IDS = 1024
-_LETTERS = r"A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f"
-_MARKS = r'.,;:!?"()\[\]#&%*$+=@/_-'
+#: A unit of more characters is neither remembered nor broadcast.
+LONG = 256
+#: Chunks that a worker remembers at most (of up to LONG characters each).
+REMEMBER = 250_000
+#: Latin, Cyrillic, kana, Han and Hangul letters that stay as they are under the tokenizer's normaliser, but for case.
+_LETTERS = r"A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f\u0400-\u045f\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3"
+_MARKS = r'.,;:!?"()\[\]#&%*$+=@/_\-\u3001\u3002\u300c\u300d\uff01\uff08\uff09\uff0c\uff1a\uff1b\uff1f'
 _PLAIN = re.compile(f"[{_LETTERS}{_MARKS}]+")
 _UNIT = re.compile(f"[{_LETTERS}]+|[{_MARKS}]+")
 #: str.split() also splits at these four, which are no white space to the tokenizer.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 _SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
-WORDS_SCHEMA = "word string, n long, h long, ids binary"  # ids: two bytes each (four in large vocabularies)
+RESULTS = ("n_tokens", "ids_sha256", "decoded_sha256")
 
 
 def chunks(text: str) -> list[str]:
@@ -53,8 +63,14 @@ def units(chunk: str) -> list[str]:
     return [u.lower() for u in _UNIT.findall(chunk)] if _PLAIN.fullmatch(chunk) else [chunk]
 
 
-def distinct_units(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(word, n): every distinct unit of all texts and how often it occurs."""
+def text_key(text: str) -> Column:
+    """128 bits: no two texts of any corpus are taken for equal."""
+    return F.unhex(F.md5(F.col(text)))
+
+
+def distinct_units(docs: DataFrame, text: str = "text", long: bool = False) -> DataFrame:
+    """(word, n): every distinct unit of all texts and how often it occurs; of chunks of up to LONG
+    characters, or of the longer ones, which aren't remembered."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
@@ -72,27 +88,20 @@ def distinct_units(docs: DataFrame, text: str = "text") -> DataFrame:
         for whole in batches:
             for batch in blocks(whole, "__text"):
                 for t in batch.column("__text").to_pylist():
-                    seen.update(chunks(t))
-                if len(seen) > 250_000:
+                    cs = chunks(t)
+                    if long or (len(t) > LONG and max(map(len, cs), default=0) > LONG):
+                        cs = [c for c in cs if (len(c) > LONG) is long]
+                    seen.update(cs)
+                    if long:
+                        yield from out()
+                if len(seen) > REMEMBER:
                     yield from out()
         yield from out()
 
-    rows = docs.where(F.col(text).isNotNull()).select(F.col(text).alias("__text")).mapInArrow(count, "word string, n long")
-    return rows.groupBy("word").agg(F.sum("n").alias("n"))
-
-
-def encode_units(words: DataFrame, path: str) -> DataFrame:
-    """(word, n, h, ids): each word's ids from one call of the library; h is its 64-bit key."""
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, kind = load(path), id_type(path)
-        for batch in batches:
-            for a in range(0, batch.num_rows, 4096):
-                part = batch.slice(a, 4096)
-                ids = [np.array(e.ids, kind).tobytes() for e in tokenizer.encode_batch(part.column("word").to_pylist(), add_special_tokens=False)]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("word", "n", "h")), pa.array(ids, pa.binary())], names=["word", "n", "h", "ids"])
-
-    return words.select("word", "n", F.xxhash64("word").alias("h")).mapInArrow(encode, WORDS_SCHEMA)
+    rows = docs.where(F.col(text).isNotNull()).select(F.col(text).alias("__text"))
+    if long:
+        rows = rows.where(F.col("__text").rlike(rf"\S{{{LONG + 1}}}"))
+    return rows.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 @lru_cache(maxsize=2)
@@ -104,157 +113,145 @@ def pieces_of(path: str) -> list[str]:
     return [table.get(i, "") for i in range(max(table) + 1)]
 
 
-def id_type(path: str) -> str:
-    return "<u2" if len(pieces_of(path)) <= 1 << 16 else "<u4"
-
-
-class _Table:
-    """The words that are looked up in place: sorted keys, and ids end to end in their order."""
-
-    def __init__(self, h: np.ndarray, starts: np.ndarray, ids: np.ndarray):
-        """``starts`` has one more entry than h; word i has ids[starts[i] : starts[i + 1]]."""
-        order = np.argsort(h, kind="stable")
-        size = np.diff(starts)[order]
-        self.h = h[order]
-        self.starts = np.append(0, np.cumsum(size)).astype(np.int32 if len(ids) < 1 << 31 else np.int64)
-        self.ids = np.empty_like(ids)
-        for a in range(0, len(order), 1 << 17):  # in parts: the places of all ids would take several times the table
-            own, first = size[a : a + (1 << 17)], starts[:-1][order[a : a + (1 << 17)]]
-            total = int(own.sum())
-            at = int(self.starts[a])
-            self.ids[at : at + total] = ids[np.repeat(first - (np.cumsum(own) - own), own) + np.arange(total)]
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """Row of each key, -1 for those that aren't here."""
-        if not len(self.h):
-            return np.full(len(keys), -1)
-        at = np.minimum(np.searchsorted(self.h, keys), len(self.h) - 1)
-        return np.where(self.h[at] == keys, at, -1)
-
-
-def _keys(words: list[str]) -> np.ndarray:
-    """The words' 64-bit keys, as Spark's xxhash64 gives them."""
-    from xxhash import xxh64_intdigest as xxh64
-
-    return np.array([xxh64(w.encode(), 42) for w in words], np.uint64).view(np.int64)
-
-
-def _chunk_entries(new: list[str], table: _Table, pieces: list[str], known: dict, own: dict) -> list[str]:
-    """Put (ids text, n, decoded text) of each chunk into known; returns units that the table lacks.
-    ``own``: ids of units that came with the text."""
-    cut = [units(c) for c in new]
-    words = list({u for us in cut for u in us})
-    at = table.find(_keys(words)).tolist()
-    entry, missing = {}, []
-    for w, i in zip(words, at, strict=True):
-        ids = table.ids[table.starts[i] : table.starts[i + 1]].tolist() if i >= 0 else own.get(w)
-        if ids is None:
-            missing.append(w)
-        else:
-            entry[w] = (" ".join(map(str, ids)), len(ids), " ".join([pieces[k] for k in ids]))
-    if not missing:
-        for c, us in zip(new, cut, strict=True):
-            es = [entry[u] for u in us if entry[u][1]]
-            known[c] = (" ".join([e[0] for e in es]), sum(e[1] for e in es), " ".join([e[2] for e in es]))
-    return missing
-
-
-def in_table(least: int):
-    """Whether a word is looked up in place: all are if ``least`` is 0, else those that occur so often and aren't long."""
-    return (F.col("n") >= least) & (F.octet_length("ids") <= LONG_IDS) if least else F.lit(True)
-
-
-def table_size(words: DataFrame, least: int) -> tuple[int, int]:
-    """Rows and bytes of the table of these words, as ``_collect_table`` holds it: ids, an 8-byte key and a place."""
-    r = words.where(in_table(least)).agg(F.count("*"), F.coalesce(F.sum(F.octet_length("ids").cast("long") + 12), F.lit(0))).first()
-    return r[0], r[1]
-
-
-def _collect_table(words: DataFrame, least: int, kind: str) -> _Table:
-    """The words of ``in_table``. The caller has checked their size."""
-    t = words.where(in_table(least)).select("h", "ids").toArrow()
-    if not t.num_rows:
-        return _Table(np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(0, kind))
-    h = t.column("h").to_numpy()
-    size = np.asarray(pc.binary_length(t.column("ids"))) // np.dtype(kind).itemsize
-    ids = np.concatenate([_bytes_of(c).view(kind) for c in t.column("ids").chunks])
-    del t
-    return _Table(h, np.append(0, np.cumsum(size, dtype=np.int64)), ids)
-
-
-def _bytes_of(column: pa.Array) -> np.ndarray:
-    offsets = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, column.offset * 4)
-    data = column.buffers()[2]
-    return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, np.uint8)
-
-
-def rare_pairs(docs: DataFrame, table, text: str = "text") -> DataFrame:
-    """(k, word): each text's distinct words that the (broadcast) table lacks. Frequent words are
-    left out before the shuffle, so no word is a hot key. Texts with an equal key k share their
-    words, which is harmless: a word's ids don't depend on its text."""
+def _coded(words: DataFrame, key: str, path: str) -> DataFrame:
+    """(key, n, coded, plain): each word's ids from one call of the library, joined by a space, and
+    its decoded text, by a join of its ids with the id-to-piece table (as large as the vocabulary,
+    so it is broadcast)."""
+
+    @F.arrow_udf("array<int>")
+    def encode(word: pa.Array) -> pa.Array:
+        tokenizer, ids = load(path), []
+        for a in range(0, len(word), 4096):
+            ids += [e.ids for e in tokenizer.encode_batch(word.slice(a, 4096).to_pylist(), add_special_tokens=False)]
+        return pa.array(ids, pa.list_(pa.int32()))
+
+    pieces = words.sparkSession.createDataFrame(list(enumerate(pieces_of(path))), "id int, piece string")
+    placed = words.withColumn("ids", encode("word")).select(key, "n", F.posexplode_outer("ids").alias("at", "id"))
+    entry = F.array_sort(F.collect_list(F.when(F.col("id").isNotNull(), F.struct("at", "id", "piece"))))
+    rows = placed.join(F.broadcast(pieces), "id", "left").groupBy(key).agg(F.max("n").alias("n"), entry.alias("ids"))
+    return rows.select(key, "n", F.array_join(F.transform("ids", lambda e: e["id"].cast("string")), " ").alias("coded"), F.array_join("ids.piece", " ").alias("plain"))
+
+
+def word_table(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
+    """(word, n, coded, plain) of all distinct units. Those of up to LONG characters stay where
+    ``distinct_units`` has dealt them; a longer one isn't repeated beside each of its ids."""
+    short = _coded(distinct_units(docs, text), "word", path)
+    rest = distinct_units(docs, text, long=True).withColumn("key", F.md5("word"))
+    return short.unionByName(rest.select("key", "word").join(_coded(rest, "key", path), "key").drop("key"))
+
+
+def frequent(words: DataFrame, table_bytes: int) -> dict[str, tuple[str, str]]:
+    """(coded, plain) of the most frequent words, down to the count from which they fit ``table_bytes``."""
+    level = F.floor(F.log2("n") * 8).cast("int")  # at most some hundred
+    fit = words.where(F.length("word") <= LONG).withColumn("level", level)
+    sizes = fit.groupBy("level").agg(F.sum(F.octet_length("word") + F.octet_length("coded") + F.octet_length("plain") + 200).alias("size"))
+    least, total = None, 0
+    for r in sizes.orderBy(F.desc("level")).collect():
+        if (total := total + r["size"]) > table_bytes:
+            break
+        least = r["level"]
+    if least is None:
+        return {}
+    t = fit.where(F.col("level") >= least).select("word", "coded", "plain").toArrow()
+    return dict(zip(t.column("word").to_pylist(), zip(t.column("coded").to_pylist(), t.column("plain").to_pylist(), strict=True), strict=True))
+
+
+def _each_once(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], list[str]]]:
+    """Keys and texts of a task in blocks, equal texts (nearly always) once."""
+    seen: set[bytes] = set()
+    for whole in batches:
+        for batch in blocks(whole, "__text"):
+            keys, texts = batch.column("__k").to_pylist(), batch.column("__text").to_pylist()
+            new = dict(zip(keys, texts, strict=True))
+            mine = [k for k in new if k not in seen]
+            if len(seen) > 1_000_000:
+                seen.clear()
+            seen.update(mine)
+            yield mine, [new[k] for k in mine]
+
+
+def rare_pairs(texts: DataFrame, table) -> DataFrame:
+    """(__k, word): each distinct text's distinct units that the (broadcast) table lacks."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in blocks(whole, "__text"):
-                cut = [set(chunks(t)) for t in batch.column("__text").to_pylist()]
-                parts = {c: units(c) for c in set().union(*cut)}
-                words = list({u for us in parts.values() for u in us})
-                lacked = table.value.find(_keys(words)) < 0
-                rare = {w for w, x in zip(words, lacked.tolist(), strict=True) if x}
-                k, own = [], []
-                for key, cs in zip(batch.column("k").to_pylist(), cut, strict=True):
-                    mine = {u for c in cs for u in parts[c]} & rare
-                    k += [key] * len(mine)
-                    own += mine
-                yield pa.RecordBatch.from_pydict({"k": pa.array(k, pa.int64()), "word": pa.array(own, pa.string())})
-
-    texts = docs.where(F.col(text).isNotNull()).select(F.xxhash64(text).alias("k"), F.col(text).alias("__text"))
-    return texts.mapInArrow(split, "k long, word string")
-
-
-def rare_words(docs: DataFrame, words: DataFrame, least: int, table, text: str = "text") -> DataFrame:
-    """(k, own): the ids of each text's words that aren't ``in_table``."""
-    few = words.where(~in_table(least)).select("word", "ids")
-    met = rare_pairs(docs, table, text).join(few, "word")
-    return met.groupBy("k").agg(F.map_from_entries(F.collect_set(F.struct("word", "ids"))).alias("own"))
-
-
-def encode_decode(docs: DataFrame, path: str, keep: list[str], text: str = "text", table_rows: int = 6_000_000, table_bytes: int = 128 << 20) -> DataFrame:
-    """Columns ``keep`` of docs with n_tokens, ids_sha256 and decoded_sha256. Null text counts
-    as empty: no tokens, digests of the empty string. Equal texts have equal rows."""
-    words = materialize(encode_units(distinct_units(docs, text), path), "bpe-words")
-    rows = docs.select(*keep, F.col(text).alias("__text"))
-    least = 0
-    while (size := table_size(words, least))[0] > table_rows or size[1] > table_bytes:  # the most frequent words stay in the table, as many as fit
-        least = max(2, 2 * least)
-    table = docs.sparkSession.sparkContext.broadcast(_collect_table(words, least, id_type(path)))
-    if least:
-        own = rare_words(docs, words, least, table, text)
-        rows = rows.withColumn("__key", F.xxhash64("__text")).join(own, F.col("__key") == F.col("k"), "left").select(*keep, "__text", F.map_entries("own").alias("__own"))
-    else:
-        rows = rows.withColumn("__own", F.lit(None).cast("array<struct<key:string,value:binary>>"))
-    schema = rows.select(*keep).schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
+        held, common = table.value, set()
+        for keys, block in _each_once(batches):
+            k, own = [], []
+            for key, t in zip(keys, block, strict=True):
+                rare = set()
+                for c in set(chunks(t)) - common:
+                    us = [u for u in units(c) if u not in held]
+                    if us:
+                        rare.update(us)
+                    elif len(c) <= LONG:
+                        common.add(c)
+                k += [key] * len(rare)
+                own += rare
+            if len(common) > REMEMBER:
+                common.clear()
+            yield pa.RecordBatch.from_pydict({"__k": pa.array(k, pa.binary()), "word": pa.array(own, pa.string())})
+
+    return texts.mapInArrow(split, "__k binary, word string")
+
+
+def packed(texts: DataFrame) -> DataFrame:
+    """(__k, z): the distinct texts of each task, compressed."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        z = zstandard.ZstdCompressor(level=1)
+        for keys, block in _each_once(batches):
+            yield pa.RecordBatch.from_pydict({"__k": pa.array(keys, pa.binary()), "z": pa.array([z.compress(t.encode()) for t in block], pa.binary())})
+
+    return texts.mapInArrow(pack, "__k binary, z binary")
+
+
+class _Entries(dict):
+    """(coded, plain) by chunk, made from its units' at first sight. ``own``: units that came with the text."""
+
+    def __init__(self, table: dict):
+        self.table, self.own = table, {}
+
+    def __missing__(self, chunk: str) -> tuple[str, str]:
+        es = [self.table.get(u) or self.own.get(u) for u in units(chunk)]
+        if None in es:
+            raise ValueError(f"the word table lacks a part of {chunk[:99]!r}; the texts have changed between its two passes")
+        e = es[0] if len(es) == 1 else (" ".join([e[0] for e in es if e[0]]), " ".join([e[1] for e in es if e[0]]))
+        if len(chunk) <= LONG:
+            self[chunk] = e
+        return e
+
+
+def encode_decode(docs: DataFrame, path: str, keep: list[str], text: str = "text", table_bytes: int = 64 << 20) -> DataFrame:
+    """Columns ``keep`` of docs with n_tokens, ids_sha256 and decoded_sha256. ``table_bytes``
+    bounds the broadcast words, counted as a worker holds them."""
+    keep = kept(keep, RESULTS)
+    words = materialize(word_table(docs, path, text), "bpe-words")
+    table = docs.sparkSession.sparkContext.broadcast(frequent(words, table_bytes))
+    texts = docs.where(F.col(text).isNotNull()).select(text_key(text).alias("__k"), F.col(text).alias("__text"))
+    met = rare_pairs(texts, table).join(words.select("word", "coded", "plain"), "word")
+    own = met.groupBy("__k").agg(F.collect_set(F.struct("word", "coded", "plain")).alias("own"))
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, held, known, kind = pieces_of(path), table.value, {}, id_type(path)
+        known, z = _Entries(table.value), zstandard.ZstdDecompressor()
         for whole in batches:
-            for batch in blocks(whole, "__text"):
-                cut = [chunks(t) if t else [] for t in batch.column("__text").to_pylist()]
-                own = {e["key"]: np.frombuffer(e["value"], kind).tolist() for r in batch.column("__own").to_pylist() if r for e in r}
-                if len(known) > 100_000:
-                    known.clear()
-                new = list({c for cs in cut for c in cs} - known.keys())
-                if missing := _chunk_entries(new, held, pieces, known, own):
-                    raise ValueError(f"the word table lacks {missing[:3]}; the texts have changed between its two passes")
+            for batch in blocks(whole, "z"):
                 n, coded, plain = [], [], []
-                for cs in cut:
-                    es = [known[c] for c in cs]
-                    n.append(sum([e[1] for e in es]))
-                    coded.append(hashlib.sha256(" ".join([e[0] for e in es if e[1]]).encode()).hexdigest())
-                    plain.append(hashlib.sha256(" ".join([e[2] for e in es if e[1]]).encode()).hexdigest())
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(n, pa.int64()), pa.array(coded, pa.string()), pa.array(plain, pa.string())], names=schema.names)
-
-    return rows.mapInArrow(assemble, schema)
+                for packed_text, own in zip(batch.column("z"), batch.column("own"), strict=True):
+                    known.own = {e["word"]: (e["coded"], e["plain"]) for e in own.as_py() or ()}
+                    es = list(map(known.__getitem__, chunks(z.decompress(packed_text.as_py()).decode())))
+                    ids = " ".join([e[0] for e in es if e[0]])
+                    n.append(ids.count(" ") + 1 if ids else 0)
+                    coded.append(hashlib.sha256(ids.encode()).hexdigest())
+                    plain.append(hashlib.sha256(" ".join([e[1] for e in es if e[0]]).encode()).hexdigest())
+                    if len(known) > REMEMBER:
+                        known.clear()
+                yield pa.RecordBatch.from_arrays([batch.column("__k"), pa.array(n, pa.int64()), pa.array(coded, pa.string()), pa.array(plain, pa.string())], names=["__k", *RESULTS])
+
+    done = packed(texts).join(own, "__k", "left").mapInArrow(assemble, "__k binary, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    done = done.groupBy("__k").agg(*[F.first(c).alias(c) for c in RESULTS])  # a text that several tasks have read
+    full = docs.where(F.col(text).isNotNull()).select(*keep, text_key(text).alias("__k")).join(done, "__k").drop("__k")
+    nothing = F.lit(hashlib.sha256(b"").hexdigest())
+    return full.unionByName(docs.where(F.col(text).isNull()).select(*keep, F.lit(0).cast("long").alias("n_tokens"), nothing.alias("ids_sha256"), nothing.alias("decoded_sha256")))
 
 
 def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,9 +6,13 @@ session names in ``spark.checkpoint.dir`` and are read back through Spark.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,14 +27,40 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Folders that ``workspace`` has given out and ``discard`` has not removed.
+_given: list[str] = []
+
+
 def workspace(spark: SparkSession, label: str) -> str:
-    """A new folder name that the driver and all executors see."""
+    """A new folder name that the driver and all executors see. Without a shared folder, only a
+    session on one machine gets one, which goes with the process."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        root = tempfile.mkdtemp(prefix="spark-checkpoint-")
-        spark.sparkContext.setCheckpointDir(root)
-        root = spark.sparkContext.getCheckpointDir()
-    return f"{root}/{label}-{uuid.uuid4().hex}"
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = _local_root()
+    _given.append(f"{root}/{label}-{uuid.uuid4().hex}")
+    return _given[-1]
+
+
+@lru_cache(maxsize=1)
+def _local_root() -> str:
+    root = tempfile.mkdtemp(prefix="spark-checkpoint-")
+    atexit.register(shutil.rmtree, root, ignore_errors=True)
+    return root
+
+
+@contextmanager
+def discarding(spark: SparkSession) -> Iterator[None]:
+    """Removes the folders that were given out within, once they aren't read any more."""
+    before = len(_given)
+    try:
+        yield
+    finally:
+        for path in _given[before:]:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        del _given[before:]
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -40,6 +70,11 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def kept(keep: list[str], results: tuple[str, ...] | list[str]) -> list[str]:
+    """The columns to keep, each once. One with the name of a result goes: the operator's own column stays."""
+    return [c for c in dict.fromkeys(keep) if c not in results]
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """A string column as (bytes, offsets); null counts as empty."""
     column = column.cast(pa.large_string()).fill_null("")

@@ -169,30 +169,47 @@ def test_token_counts_are_the_librarys(docs, none):
     assert token_counts.count_tokens(none, path, ["doc_id"]).count() == 0
 
 
-@pytest.mark.parametrize("table_rows", [1000, 20, 0])
-def test_bpe_codec_is_the_librarys(docs, none, table_rows):
+@pytest.mark.parametrize("table_bytes", [1 << 20, 4000, 0])
+def test_bpe_codec_is_the_librarys(docs, none, table_bytes):
     path = public_tokenizers.path("word_bpe_49k.json")
     tok = token_counts.load(path)
-    rows = {r.doc_id: r for r in bpe_codec.encode_decode(docs, path, ["doc_id"], table_rows=table_rows).where("doc_id is not null").collect()}
+    got = bpe_codec.encode_decode(docs, path, ["doc_id", "n_tokens", "score"], table_bytes=table_bytes)
+    assert got.columns == ["doc_id", "score", "n_tokens", "ids_sha256", "decoded_sha256"]
+    rows = got.collect()
+    assert sorted(-1 if r.doc_id is None else r.doc_id for r in rows) == sorted([*range(len(TEXTS)), 5, -1])
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
-    for i, t in enumerate(TEXTS):
-        ids = tok.encode(t or "", add_special_tokens=False).ids
-        assert (rows[i].n_tokens, rows[i].ids_sha256, rows[i].decoded_sha256) == (len(ids), sha(" ".join(map(str, ids))), sha(tok.decode(ids, skip_special_tokens=False)))
+    for r in rows:
+        ids = tok.encode(TEXTS[11 if r.doc_id is None else r.doc_id] or "", add_special_tokens=False).ids
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), sha(" ".join(map(str, ids))), sha(tok.decode(ids, skip_special_tokens=False)))
     assert bpe_codec.encode_decode(none, path, ["doc_id"]).count() == 0
 
 
+def test_bpe_units_are_where_the_tokenizer_splits():
+    tok = token_counts.load(public_tokenizers.path("word_bpe_49k.json"))
+    rng = random.Random(1)
+    ranges = [(0x41, 0x5A), (0x61, 0x7A), (0xC0, 0x24F), (0x400, 0x45F), (0x3041, 0x3096), (0x30A1, 0x30FA), (0x4E00, 0x9FA5), (0xAC00, 0xD7A3)]
+    letter = lambda: chr(rng.randint(*rng.choice(ranges)))
+    for _ in range(5000):
+        draw = lambda: rng.choice([letter(), letter(), rng.choice('.,;:!?"()[]#&%*$+=@/_-、。「」！（），：；？'), rng.choice("'0129\u3099\u0301\u200dー’ \t")])
+        s = "".join(draw() for _ in range(rng.randrange(1, 12)))
+        own = [i for c in bpe_codec.chunks(s) for u in bpe_codec.units(c) for i in tok.encode(u, add_special_tokens=False).ids]
+        assert own == tok.encode(s, add_special_tokens=False).ids
+
+
 def test_bpe_table_is_bounded_in_bytes(spark, monkeypatch):
     path = public_tokenizers.path("word_bpe_49k.json")
     tok = token_counts.load(path)
     rng = random.Random(4)
     sentence = lambda: "".join(chr(rng.randrange(0x4E00, 0x9FA0)) for _ in range(400))
     often = sentence() * 4
-    texts = [f"{sentence()} {prose(n, 30)} {often}" for n in range(30)]
-    sizes, collect = [], bpe_codec._collect_table
-    monkeypatch.setattr(bpe_codec, "_collect_table", lambda *a: sizes.append(t := collect(*a)) or t)
+    texts = [f"{sentence()} {prose(n, 30)} {often}" for n in range(30)] + ["x" * 300_000, sentence() * 300]
+    tables, frequent = [], bpe_codec.frequent
+    monkeypatch.setattr(bpe_codec, "frequent", lambda *a: tables.append(t := frequent(*a)) or t)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    rows = {r.doc_id: r for r in bpe_codec.encode_decode(docs, path, ["doc_id"], table_bytes=4000).collect()}
-    assert 0 < len(sizes[0].h) and sizes[0].h.nbytes + sizes[0].ids.nbytes + sizes[0].starts.nbytes <= 4004
+    got = bpe_codec.encode_decode(docs, path, ["doc_id"], table_bytes=4000)
+    assert "FileScan" in got._jdf.queryExecution().toString()
+    rows = {r.doc_id: r for r in got.collect()}
+    assert 0 < len(tables[0]) and sum(len((w + a + b).encode()) + 200 for w, (a, b) in tables[0].items()) <= 4000
     for n, t in enumerate(texts):
         ids = tok.encode(t, add_special_tokens=False).ids
         assert (rows[n].n_tokens, rows[n].ids_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
