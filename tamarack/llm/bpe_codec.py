@@ -3,14 +3,15 @@
 One plan at every size:
 
 1. Texts are split into units and the distinct units are counted (``distinct_units``).
-2. Each distinct unit is encoded once by the tokenizers library, and its ids are decoded by
-   a join with the id-to-piece table (``word_table``).
-3. Ids go back to their texts by position (``encode_decode``). The most frequent units are
-   broadcast, as many as fit ``table_bytes`` (``frequent``); the size of the corpus doesn't
-   change that bound. Every other unit meets the word table in a join on the unit, as one
-   row for each distinct text that has it: frequent units are left out before the shuffle,
-   so no unit is a hot key. A text is sent, compressed, to where its units are, once a
-   task however often the task reads it, and its result is joined to all its documents.
+2. The table holds the most frequent units, as many as fit ``table_bytes``, whatever the size
+   of the corpus (``frequent``). Each is encoded once by the tokenizers library, and its ids are
+   decoded by a join with the id-to-piece table (``word_table``).
+3. The table is broadcast, and ids are joined back by position where the texts are
+   (``encode_decode``), so no text is shuffled and no unit is a hot key. A unit that the table
+   can't hold is encoded where it stands, once a task. Equal texts are done once a task.
+
+The other way, a join of every rare unit with a table of all units, was built and measured;
+the README has its figures.
 
 A unit is a run of letters or of marks of a white-space separated chunk, if the chunk has
 plain characters only (``_LETTERS``, ``_MARKS``); any other chunk is a unit whole. The
@@ -18,9 +19,9 @@ tokenizer drops white space and splits plain chunks at just these places, so the
 text are those of its units in order.
 
 Null text counts as empty: no tokens, digests of the empty string. Equal texts and repeated
-rows have equal results, a row each. An empty table gives no rows. Units of any length are
-whole, so a long text without white space, letters only, is one unit: it takes memory in
-proportion to itself. A kept column with the name of a result goes; the result stays.
+rows have equal results, a row each. An empty table gives no rows. A long text without white
+space, letters only, is one unit: it takes memory in proportion to itself, and isn't
+remembered. A kept column with the name of a result goes; the result stays.
 """
 
 from __future__ import annotations
@@ -33,17 +34,18 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import blocks, kept, materialize, read_table
 from .token_counts import load
 
-#: A unit of more characters is neither remembered nor broadcast.
+#: A chunk of more characters is neither counted for the table nor remembered.
 LONG = 256
-#: Chunks that a worker remembers at most (of up to LONG characters each).
+#: Chunks that a task remembers at most.
 REMEMBER = 250_000
+#: Texts whose results a task remembers at most, 300 bytes each.
+REMEMBER_TEXTS = 50_000
 #: Latin, Cyrillic, kana, Han and Hangul letters that stay as they are under the tokenizer's normaliser, but for case.
 _LETTERS = r"A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f\u0400-\u045f\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3"
 _MARKS = r'.,;:!?"()\[\]#&%*$+=@/_\-\u3001\u3002\u300c\u300d\uff01\uff08\uff09\uff0c\uff1a\uff1b\uff1f'
@@ -63,14 +65,8 @@ def units(chunk: str) -> list[str]:
     return [u.lower() for u in _UNIT.findall(chunk)] if _PLAIN.fullmatch(chunk) else [chunk]
 
 
-def text_key(text: str) -> Column:
-    """128 bits: no two texts of any corpus are taken for equal."""
-    return F.unhex(F.md5(F.col(text)))
-
-
-def distinct_units(docs: DataFrame, text: str = "text", long: bool = False) -> DataFrame:
-    """(word, n): every distinct unit of all texts and how often it occurs; of chunks of up to LONG
-    characters, or of the longer ones, which aren't remembered."""
+def distinct_units(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(word, n): every distinct unit of all texts and how often it occurs; chunks of over LONG characters have no part in it."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
@@ -89,19 +85,15 @@ def distinct_units(docs: DataFrame, text: str = "text", long: bool = False) -> D
             for batch in blocks(whole, "__text"):
                 for t in batch.column("__text").to_pylist():
                     cs = chunks(t)
-                    if long or (len(t) > LONG and max(map(len, cs), default=0) > LONG):
-                        cs = [c for c in cs if (len(c) > LONG) is long]
+                    if len(t) > LONG and max(map(len, cs), default=0) > LONG:
+                        cs = [c for c in cs if len(c) <= LONG]
                     seen.update(cs)
-                    if long:
-                        yield from out()
                 if len(seen) > REMEMBER:
                     yield from out()
         yield from out()
 
-    rows = docs.where(F.col(text).isNotNull()).select(F.col(text).alias("__text"))
-    if long:
-        rows = rows.where(F.col("__text").rlike(rf"\S{{{LONG + 1}}}"))
-    return rows.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    rows = docs.where(F.col(text).isNotNull()).select(F.col(text).alias("__text")).mapInArrow(count, "word string, n long")
+    return rows.groupBy("word").agg(F.sum("n").alias("n"))
 
 
 @lru_cache(maxsize=2)
@@ -113,145 +105,97 @@ def pieces_of(path: str) -> list[str]:
     return [table.get(i, "") for i in range(max(table) + 1)]
 
 
-def _coded(words: DataFrame, key: str, path: str) -> DataFrame:
-    """(key, n, coded, plain): each word's ids from one call of the library, joined by a space, and
+def frequent(words: DataFrame, table_bytes: int) -> DataFrame:
+    """The rows of (word, n) with the highest n, down to the n from which they fit ``table_bytes``
+    as a worker holds them. A word has at most an id a byte, of at most five digits."""
+    ranked = words.withColumn("level", F.floor(F.log2("n") * 8).cast("int"))  # at most some hundred levels
+    sizes = ranked.groupBy("level").agg(F.sum(F.octet_length("word") * 9 + 200).alias("size"))
+    least, total = None, 0
+    for r in sizes.orderBy(F.desc("level")).collect():
+        if (total := total + r["size"]) > table_bytes:
+            break
+        least = r["level"]
+    return ranked.where(F.col("level") >= F.lit(least).cast("int")).drop("level")
+
+
+def word_table(words: DataFrame, path: str) -> DataFrame:
+    """(word, coded, plain): each word's ids from one call of the library, joined by a space, and
     its decoded text, by a join of its ids with the id-to-piece table (as large as the vocabulary,
     so it is broadcast)."""
 
     @F.arrow_udf("array<int>")
     def encode(word: pa.Array) -> pa.Array:
-        tokenizer, ids = load(path), []
-        for a in range(0, len(word), 4096):
-            ids += [e.ids for e in tokenizer.encode_batch(word.slice(a, 4096).to_pylist(), add_special_tokens=False)]
-        return pa.array(ids, pa.list_(pa.int32()))
+        return pa.array(encoded(path, word.to_pylist()), pa.list_(pa.int32()))
 
     pieces = words.sparkSession.createDataFrame(list(enumerate(pieces_of(path))), "id int, piece string")
-    placed = words.withColumn("ids", encode("word")).select(key, "n", F.posexplode_outer("ids").alias("at", "id"))
+    placed = words.withColumn("ids", encode("word")).select("word", F.posexplode_outer("ids").alias("at", "id"))
     entry = F.array_sort(F.collect_list(F.when(F.col("id").isNotNull(), F.struct("at", "id", "piece"))))
-    rows = placed.join(F.broadcast(pieces), "id", "left").groupBy(key).agg(F.max("n").alias("n"), entry.alias("ids"))
-    return rows.select(key, "n", F.array_join(F.transform("ids", lambda e: e["id"].cast("string")), " ").alias("coded"), F.array_join("ids.piece", " ").alias("plain"))
-
-
-def word_table(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """(word, n, coded, plain) of all distinct units. Those of up to LONG characters stay where
-    ``distinct_units`` has dealt them; a longer one isn't repeated beside each of its ids."""
-    short = _coded(distinct_units(docs, text), "word", path)
-    rest = distinct_units(docs, text, long=True).withColumn("key", F.md5("word"))
-    return short.unionByName(rest.select("key", "word").join(_coded(rest, "key", path), "key").drop("key"))
-
-
-def frequent(words: DataFrame, table_bytes: int) -> dict[str, tuple[str, str]]:
-    """(coded, plain) of the most frequent words, down to the count from which they fit ``table_bytes``."""
-    level = F.floor(F.log2("n") * 8).cast("int")  # at most some hundred
-    fit = words.where(F.length("word") <= LONG).withColumn("level", level)
-    sizes = fit.groupBy("level").agg(F.sum(F.octet_length("word") + F.octet_length("coded") + F.octet_length("plain") + 200).alias("size"))
-    least, total = None, 0
-    for r in sizes.orderBy(F.desc("level")).collect():
-        if (total := total + r["size"]) > table_bytes:
-            break
-        least = r["level"]
-    if least is None:
-        return {}
-    t = fit.where(F.col("level") >= least).select("word", "coded", "plain").toArrow()
-    return dict(zip(t.column("word").to_pylist(), zip(t.column("coded").to_pylist(), t.column("plain").to_pylist(), strict=True), strict=True))
-
-
-def _each_once(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], list[str]]]:
-    """Keys and texts of a task in blocks, equal texts (nearly always) once."""
-    seen: set[bytes] = set()
-    for whole in batches:
-        for batch in blocks(whole, "__text"):
-            keys, texts = batch.column("__k").to_pylist(), batch.column("__text").to_pylist()
-            new = dict(zip(keys, texts, strict=True))
-            mine = [k for k in new if k not in seen]
-            if len(seen) > 1_000_000:
-                seen.clear()
-            seen.update(mine)
-            yield mine, [new[k] for k in mine]
-
-
-def rare_pairs(texts: DataFrame, table) -> DataFrame:
-    """(__k, word): each distinct text's distinct units that the (broadcast) table lacks."""
-
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, common = table.value, set()
-        for keys, block in _each_once(batches):
-            k, own = [], []
-            for key, t in zip(keys, block, strict=True):
-                rare = set()
-                for c in set(chunks(t)) - common:
-                    us = [u for u in units(c) if u not in held]
-                    if us:
-                        rare.update(us)
-                    elif len(c) <= LONG:
-                        common.add(c)
-                k += [key] * len(rare)
-                own += rare
-            if len(common) > REMEMBER:
-                common.clear()
-            yield pa.RecordBatch.from_pydict({"__k": pa.array(k, pa.binary()), "word": pa.array(own, pa.string())})
-
-    return texts.mapInArrow(split, "__k binary, word string")
-
-
-def packed(texts: DataFrame) -> DataFrame:
-    """(__k, z): the distinct texts of each task, compressed."""
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        z = zstandard.ZstdCompressor(level=1)
-        for keys, block in _each_once(batches):
-            yield pa.RecordBatch.from_pydict({"__k": pa.array(keys, pa.binary()), "z": pa.array([z.compress(t.encode()) for t in block], pa.binary())})
-
-    return texts.mapInArrow(pack, "__k binary, z binary")
-
-
-class _Entries(dict):
-    """(coded, plain) by chunk, made from its units' at first sight. ``own``: units that came with the text."""
-
-    def __init__(self, table: dict):
-        self.table, self.own = table, {}
-
-    def __missing__(self, chunk: str) -> tuple[str, str]:
-        es = [self.table.get(u) or self.own.get(u) for u in units(chunk)]
-        if None in es:
-            raise ValueError(f"the word table lacks a part of {chunk[:99]!r}; the texts have changed between its two passes")
-        e = es[0] if len(es) == 1 else (" ".join([e[0] for e in es if e[0]]), " ".join([e[1] for e in es if e[0]]))
-        if len(chunk) <= LONG:
-            self[chunk] = e
-        return e
+    rows = placed.join(F.broadcast(pieces), "id", "left").groupBy("word").agg(entry.alias("ids"))
+    return rows.select("word", F.array_join(F.transform("ids", lambda e: e["id"].cast("string")), " ").alias("coded"), F.array_join("ids.piece", " ").alias("plain"))
+
+
+def encoded(path: str, words: list[str]) -> list[list[int]]:
+    tokenizer, ids = load(path), []
+    for a in range(0, len(words), 4096):
+        ids += [e.ids for e in tokenizer.encode_batch(words[a : a + 4096], add_special_tokens=False)]
+    return ids
+
+
+class Codec:
+    """Results of texts from a table of (coded, plain) by word, and from the library for other words."""
+
+    def __init__(self, path: str, table: dict[str, tuple[str, str]]):
+        self.path, self.table, self.pieces = path, table, pieces_of(path)
+        self.chunks: dict[str, tuple[str, str]] = {}
+        self.texts: dict[bytes, tuple[int, str, str]] = {}
+
+    def learn(self, new: set[str]) -> dict[str, tuple[str, str]]:
+        """(coded, plain) of these chunks; those of up to LONG characters are remembered."""
+        cut = {c: units(c) for c in new}
+        rare = list({u for us in cut.values() for u in us} - self.table.keys())
+        entry = {u: (" ".join(map(str, ids)), " ".join([self.pieces[i] for i in ids])) for u, ids in zip(rare, encoded(self.path, rare), strict=True)}
+        made = {}
+        for c, us in cut.items():
+            es = [self.table.get(u) or entry[u] for u in us]
+            made[c] = es[0] if len(es) == 1 else (" ".join([e[0] for e in es if e[0]]), " ".join([e[1] for e in es if e[0]]))
+        self.chunks.update({c: e for c, e in made.items() if len(c) <= LONG})
+        return made
+
+    def results(self, texts: list[str]) -> list[tuple[int, str, str]]:
+        """(n_tokens, ids_sha256, decoded_sha256) of each text."""
+        keys = [hashlib.md5(t.encode(), usedforsecurity=False).digest() for t in texts]
+        if len(self.texts) > REMEMBER_TEXTS:
+            self.texts.clear()
+        if len(self.chunks) > REMEMBER:
+            self.chunks.clear()
+        todo = {k: chunks(t) for k, t in zip(keys, texts, strict=True) if k not in self.texts}
+        made = self.learn(set().union(*todo.values()) - self.chunks.keys())
+        for k, cs in todo.items():
+            es = [self.chunks.get(c) or made[c] for c in cs]
+            ids = " ".join([e[0] for e in es if e[0]])
+            plain = " ".join([e[1] for e in es if e[0]])
+            self.texts[k] = (ids.count(" ") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(plain.encode()).hexdigest())
+        return [self.texts[k] for k in keys]
 
 
 def encode_decode(docs: DataFrame, path: str, keep: list[str], text: str = "text", table_bytes: int = 64 << 20) -> DataFrame:
     """Columns ``keep`` of docs with n_tokens, ids_sha256 and decoded_sha256. ``table_bytes``
-    bounds the broadcast words, counted as a worker holds them."""
+    bounds what is broadcast; it doesn't change results."""
     keep = kept(keep, RESULTS)
-    words = materialize(word_table(docs, path, text), "bpe-words")
-    table = docs.sparkSession.sparkContext.broadcast(frequent(words, table_bytes))
-    texts = docs.where(F.col(text).isNotNull()).select(text_key(text).alias("__k"), F.col(text).alias("__text"))
-    met = rare_pairs(texts, table).join(words.select("word", "coded", "plain"), "word")
-    own = met.groupBy("__k").agg(F.collect_set(F.struct("word", "coded", "plain")).alias("own"))
+    words = materialize(distinct_units(docs, text), "bpe-words")
+    t = word_table(frequent(words, table_bytes), path).toArrow()
+    table = docs.sparkSession.sparkContext.broadcast(dict(zip(t["word"].to_pylist(), zip(t["coded"].to_pylist(), t["plain"].to_pylist(), strict=True), strict=True)))
+    rows = docs.select(*keep, F.coalesce(text, F.lit("")).alias("__text"))
+    schema = rows.select(*keep).schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, z = _Entries(table.value), zstandard.ZstdDecompressor()
+        codec = Codec(path, table.value)
         for whole in batches:
-            for batch in blocks(whole, "z"):
-                n, coded, plain = [], [], []
-                for packed_text, own in zip(batch.column("z"), batch.column("own"), strict=True):
-                    known.own = {e["word"]: (e["coded"], e["plain"]) for e in own.as_py() or ()}
-                    es = list(map(known.__getitem__, chunks(z.decompress(packed_text.as_py()).decode())))
-                    ids = " ".join([e[0] for e in es if e[0]])
-                    n.append(ids.count(" ") + 1 if ids else 0)
-                    coded.append(hashlib.sha256(ids.encode()).hexdigest())
-                    plain.append(hashlib.sha256(" ".join([e[1] for e in es if e[0]]).encode()).hexdigest())
-                    if len(known) > REMEMBER:
-                        known.clear()
-                yield pa.RecordBatch.from_arrays([batch.column("__k"), pa.array(n, pa.int64()), pa.array(coded, pa.string()), pa.array(plain, pa.string())], names=["__k", *RESULTS])
-
-    done = packed(texts).join(own, "__k", "left").mapInArrow(assemble, "__k binary, n_tokens long, ids_sha256 string, decoded_sha256 string")
-    done = done.groupBy("__k").agg(*[F.first(c).alias(c) for c in RESULTS])  # a text that several tasks have read
-    full = docs.where(F.col(text).isNotNull()).select(*keep, text_key(text).alias("__k")).join(done, "__k").drop("__k")
-    nothing = F.lit(hashlib.sha256(b"").hexdigest())
-    return full.unionByName(docs.where(F.col(text).isNull()).select(*keep, F.lit(0).cast("long").alias("n_tokens"), nothing.alias("ids_sha256"), nothing.alias("decoded_sha256")))
+            for batch in blocks(whole, "__text"):
+                n, coded, plain = zip(*codec.results(batch.column("__text").to_pylist()), strict=True)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(n, pa.int64()), pa.array(coded, pa.string()), pa.array(plain, pa.string())], names=schema.names)
+
+    return rows.mapInArrow(assemble, schema)
 
 
 def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:

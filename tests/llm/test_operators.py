@@ -196,20 +196,23 @@ def test_bpe_units_are_where_the_tokenizer_splits():
         assert own == tok.encode(s, add_special_tokens=False).ids
 
 
-def test_bpe_table_is_bounded_in_bytes(spark, monkeypatch):
+def test_bpe_table_is_bounded_in_bytes(spark):
     path = public_tokenizers.path("word_bpe_49k.json")
     tok = token_counts.load(path)
     rng = random.Random(4)
     sentence = lambda: "".join(chr(rng.randrange(0x4E00, 0x9FA0)) for _ in range(400))
     often = sentence() * 4
     texts = [f"{sentence()} {prose(n, 30)} {often}" for n in range(30)] + ["x" * 300_000, sentence() * 300]
-    tables, frequent = [], bpe_codec.frequent
-    monkeypatch.setattr(bpe_codec, "frequent", lambda *a: tables.append(t := frequent(*a)) or t)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = bpe_codec.encode_decode(docs, path, ["doc_id"], table_bytes=4000)
-    assert "FileScan" in got._jdf.queryExecution().toString()
-    rows = {r.doc_id: r for r in got.collect()}
-    assert 0 < len(tables[0]) and sum(len((w + a + b).encode()) + 200 for w, (a, b) in tables[0].items()) <= 4000
+    words = bpe_codec.distinct_units(docs)
+    held = bpe_codec.word_table(bpe_codec.frequent(words, 9000), path).collect()
+    assert 10 < len(held) < words.count() and sum(len((r.word + r.coded + r.plain).encode()) + 200 for r in held) <= 9000
+    n = {r.word: r.n for r in words.collect()}
+    assert min(n[r.word] for r in held) >= max(n[w] for w in n.keys() - {r.word for r in held})
+    for r in held:
+        ids = tok.encode(r.word, add_special_tokens=False).ids
+        assert (r.coded, r.plain) == (" ".join(map(str, ids)), tok.decode(ids, skip_special_tokens=False))
+    rows = {r.doc_id: r for r in bpe_codec.encode_decode(docs, path, ["doc_id"], table_bytes=9000).collect()}
     for n, t in enumerate(texts):
         ids = tok.encode(t, add_special_tokens=False).ids
         assert (rows[n].n_tokens, rows[n].ids_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
