@@ -1,16 +1,17 @@
 """Operator 1: language identification by prediction by partial matching (PPM).
 
-Each language has a context tree over bytes of up to ``order`` bytes. A context gives a
-byte it has seen ``n / (total + distinct)`` and escapes with ``distinct / (total +
-distinct)`` (method C); the escaped mass goes to the bytes it has not seen, in the
-proportions of the next shorter context, down to a uniform order -1. The statistics are
-frozen after training, so a text's exact code length under a language is a sum of table
-entries: all trees share one automaton over the union of their contexts, and a text's
-states come from ``order`` table look-ups, for all positions at once.
-
-Training takes at most ``per_language`` rows a language (chosen by hash, texts of up to
-``max_bytes`` bytes) and at most ``max_cells / languages`` contexts; these bounds are the
-only sampling. Prediction reads whole texts.
+Each language has a context tree over bytes, of orders 0 to 3. A context gives a byte it has
+seen ``n / (total + distinct)`` and escapes with ``distinct / (total + distinct)`` (method C);
+the escaped mass goes to the bytes it has not seen, in the proportions of the next shorter
+context, down to a uniform order -1. The statistics are frozen after training, so a text's
+exact code length under a language is a sum over its bytes of the entry of the longest
+context that has seen the byte and of the escapes of the longer ones, found for all
+positions at once in tables of the strings of four and three bytes (``Tree``).
+
+Training takes at most ``per_language`` rows a language (chosen by hash) and of each at most
+``span`` characters (from a place chosen by hash); these bounds are the only sampling. A tree
+keeps every context of its sample, however many languages there are: some megabytes a
+language. Prediction reads whole texts.
 """
 
 from __future__ import annotations
@@ -19,138 +20,173 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, read_table, utf8
+from .common import blocks, kept, read_table, utf8
 
 UNDETERMINED = "und"
+RESULTS = ("lang_pred", "score", "bits_per_byte")
+ORDER = 3
+_MULTIPLIER, _EMPTY = np.uint32(2654435769), np.uint32(0xFFFFFFFF)  # no UTF-8 text has four bytes of 255
+
+
+class HashTable:
+    """Values by 32-bit key, found for many keys at once: open addressing, at most half full."""
+
+    def __init__(self, keys: np.ndarray, *values: np.ndarray):
+        self.shift = np.uint32(32 - max(4, int(2 * len(keys)).bit_length()))
+        home = ((keys * _MULTIPLIER) >> self.shift).astype(np.int64)
+        order = np.argsort(home, kind="stable")
+        at = np.maximum.accumulate(home[order] - np.arange(len(keys))) + np.arange(len(keys)) if len(keys) else order
+        size = (1 << (32 - int(self.shift))) + (max(0, int(at[-1]) - (1 << (32 - int(self.shift))) + 1) if len(keys) else 0) + 1
+        self.keys = np.full(size, _EMPTY, np.uint32)
+        self.keys[at] = keys[order]
+        self.values = []
+        for v in values:
+            self.values.append(np.zeros(size, np.float32))
+            self.values[-1][at] = v[order]
+
+    def find(self, keys: np.ndarray, hashed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, found) of each key; ``hashed`` is the key times the multiplier."""
+        at = (hashed >> self.shift).astype(np.int32)
+        held = self.keys[at]
+        found = held == keys
+        left = np.flatnonzero(~found & (held != _EMPTY))
+        while len(left):
+            at[left] += 1
+            held = self.keys[at[left]]
+            hit = held == keys[left]
+            found[left[hit]] = True
+            left = left[~hit & (held != _EMPTY)]
+        return at, found
 
 
 @dataclass
-class Model:
-    """``step[state, byte]`` is the next state, ``cost[state, byte, language]`` bits."""
+class Tree:
+    """Bits by string of bytes. ``four`` and ``three`` have the cost of a string's last byte after
+    the others, where that context has seen it; ``three`` also has the escape of the string as a
+    context. Contexts of up to one byte have every byte (``two``, ``one``), those of two their
+    escape (``pair``), 0 for a context that was never seen."""
+
+    four: HashTable
+    three: HashTable
+    pair: np.ndarray
+    two: np.ndarray
+    one: np.ndarray
 
+
+@dataclass
+class Model:
     languages: list[str]
-    order: int
-    step: np.ndarray
-    cost: np.ndarray
-
-
-def _grams(texts: list[bytes], k: int) -> np.ndarray:
-    out = []
-    for t in texts:
-        b = np.frombuffer(t, np.uint8).astype(np.int64)
-        n = len(b) - k
-        if n > 0:
-            out.append(sum(b[i : n + i] << (8 * (k - i)) for i in range(k + 1)))
-    return np.concatenate(out) if out else np.zeros(0, np.int64)
-
-
-def count_grams(sample: DataFrame, order: int) -> DataFrame:
-    """(lang, k, gram, n): how often each string of k + 1 bytes occurs; k bytes are context."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            langs = np.array(batch.column("lang").to_pylist(), object)
-            texts = batch.column("text").cast(pa.binary()).to_pylist()
-            for lang in sorted(set(langs)):
-                own = [texts[i] for i in np.flatnonzero(langs == lang)]
-                for k in range(order + 1):
-                    gram, n = np.unique(_grams(own, k), return_counts=True)
-                    yield pa.RecordBatch.from_pydict({"lang": [lang] * len(gram), "k": np.full(len(gram), k, np.int32), "gram": gram, "n": n.astype(np.int64)})
-
-    rows = sample.select("lang", "text").mapInArrow(count, "lang string, k int, gram long, n long")
-    return rows.groupBy("lang", "k", "gram").agg(F.sum("n").alias("n"))
-
-
-def build(grams, languages: list[str], order: int, max_states: int) -> Model:
-    """The automaton and code lengths from gram counts (a pandas frame)."""
-    least = 0
-    while True:  # rarer strings go until the contexts fit; those of order 0 and 1 stay
-        least += 1
-        cut = grams[(grams.k < 2) | (grams.n >= least)]
-        packed = np.unique(np.append(cut.k.to_numpy(np.int64) << 56 | cut.gram.to_numpy() >> 8, 0))
-        if len(packed) <= max_states or (cut.k < 2).all():
-            break
-    contexts = [(c >> 56, c & ((1 << 56) - 1)) for c in packed.tolist()]
-    at = {c: i for i, c in enumerate(contexts)}
-    n = len(contexts)
-    shorter = np.array([at[(k - 1, c & ((1 << 8 * (k - 1)) - 1))] if k else 0 for k, c in contexts])
-    step = np.zeros((n, 256), np.int32)
-    for i, (k, _) in enumerate(contexts):  # sorted by depth: the shorter context is done
+    trees: list[Tree]
+
+
+def windows(data: np.ndarray, n: int) -> np.ndarray:
+    """The last ``n`` bytes up to each position, as a number (fewer at the beginning)."""
+    out = data.astype(np.uint32)
+    for i in range(1, min(n, len(data))):
+        out[i:] |= data[:-i].astype(np.uint32) << np.uint32(8 * i)
+    return out
+
+
+def build(texts: list[bytes]) -> Tree:
+    """The tree of one language's sample."""
+    strings, costs, escapes = [], [], []
+    for k in range(ORDER + 1):
+        seen = [windows(np.frombuffer(t, np.uint8), k + 1)[k:] for t in texts if len(t) > k]
+        gram, n = np.unique(np.concatenate(seen) if seen else np.zeros(0, np.uint32), return_counts=True)
+        first = np.flatnonzero(np.diff(gram >> np.uint32(8), prepend=np.int64(-1))) if k else np.zeros(min(1, len(gram)), np.int64)
+        total, kinds = np.add.reduceat(n, first) if len(gram) else n, np.diff(np.append(first, len(gram)))
         if k:
-            step[i] = step[shorter[i]]
-        if k < order:
-            base = contexts[i][1] << 8
-            for b in range(256):
-                if (child := at.get((k + 1, base | b))) is not None:
-                    step[i, b] = child
-    depth = np.array([k for k, _ in contexts])
-    cost = np.empty((n, 256, len(languages)), np.float32)
-    for j, lang in enumerate(languages):
-        own = cut[cut.lang == lang]
-        seen = np.zeros((n, 256), np.float32)
-        rows = [at[(k, g >> 8)] for k, g in zip(own.k.tolist(), own.gram.tolist(), strict=True)]
-        seen[rows, own.gram.to_numpy() & 255] = own.n.to_numpy()
-        p = np.empty((n, 256), np.float32)
-        for d in range(order + 1):
-            here = np.flatnonzero(depth == d)
-            lower = p[shorter[here]] if d else np.full((len(here), 256), 1 / 256)
-            c = seen[here]
-            total, kinds = c.sum(1, keepdims=True), (c > 0).sum(1, keepdims=True)
-            left = np.where(c > 0, 0, lower).sum(1, keepdims=True)
-            weight = np.where(left > 0, total + kinds, total)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                mixed = np.where(c > 0, c / weight, kinds / weight * lower / left)
-            p[here] = np.where(total > 0, mixed, lower)
-        cost[:, :, j] = -np.log2(p)
-    return Model(languages, order, step, cost)
-
-
-def train(docs: DataFrame, order: int = 3, per_language: int = 300, max_bytes: int = 30_000, max_cells: int = 16_000) -> Model | None:
-    """Fit on rows of (text, lang); rows without text or lang are passed over. None: nothing to learn from."""
-    usable = docs.select("text", "lang").where("lang is not null and octet_length(text) between 1 and %d" % max_bytes)
+            shorter = costs[-1][np.searchsorted(strings[-1], gram & np.uint32((1 << 8 * k) - 1))]
+            lower = np.exp2(-shorter)
+        else:
+            lower = np.full(len(gram), 1 / 256)
+        left = np.maximum(1 - np.add.reduceat(lower, first), 1e-12) if len(gram) else total
+        weight = np.where(kinds < 256, total + kinds, total)
+        with np.errstate(divide="ignore"):
+            escapes.append(np.where(kinds < 256, -np.log2(kinds / (weight * left)), 0.0))
+        strings.append(gram)
+        costs.append(-np.log2(n / np.repeat(weight, kinds)))
+    one = np.full(256, 8.0)
+    if len(strings[0]):
+        one += escapes[0][0]
+        one[strings[0]] = costs[0]
+    two = np.tile(one, (256, 1))
+    contexts = [np.unique(s >> np.uint32(8)) for s in strings]
+    two[contexts[1]] += escapes[1][:, None]
+    two.ravel()[strings[1]] = costs[1]
+    pair = np.zeros(1 << 16)
+    pair[contexts[2]] = escapes[2]
+    keys = np.union1d(strings[2], contexts[3]).astype(np.uint32)
+    cost, escape = np.full(len(keys), np.inf), np.zeros(len(keys))
+    cost[np.searchsorted(keys, strings[2])] = costs[2]
+    escape[np.searchsorted(keys, contexts[3])] = escapes[3]
+    return Tree(HashTable(strings[3], costs[3]), HashTable(keys, cost, escape), pair.astype(np.float32), two.ravel().astype(np.float32), one.astype(np.float32))
+
+
+def train(docs: DataFrame, per_language: int = 300, span: int = 30_000) -> Model | None:
+    """Fit on rows of (text, lang); rows without text or lang are passed over, repeated texts count once. None: nothing to learn from."""
+    usable = docs.select("text", "lang").where("lang is not null and octet_length(text) > 0")
     counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}  # a row a language
     if not counts:
         return None
     share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 1.5 * per_language / n + 0.001))])
     usable = usable.withColumn("h", F.xxhash64("text", "lang"))
     near = usable.where(F.pmod(F.col("h"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
-    few = near.dropDuplicates(["h"]).withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= per_language)
-    grams = count_grams(few, order).toPandas()
-    languages = sorted(set(grams.lang))
-    return build(grams, languages, order, max_cells // len(languages)) if languages else None
+    begin = F.pmod(F.xxhash64("h"), F.greatest(F.length("text") - span + 1, F.lit(1))).cast("int") + 1
+    cut = near.select("lang", "h", F.substring("text", begin, F.lit(span)).alias("text")).dropDuplicates(["h"])
+    few = cut.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= per_language)
+
+    def fit(rows: pd.DataFrame) -> pd.DataFrame:
+        import pickle
+
+        return pd.DataFrame({"lang": [rows.lang.iloc[0]], "tree": [pickle.dumps(build([t.encode() for t in rows.text]))]})
+
+    import pickle
+
+    fitted = sorted(few.groupBy("lang").applyInPandas(fit, "lang string, tree binary").collect())
+    return Model([r["lang"] for r in fitted], [pickle.loads(r["tree"]) for r in fitted])
 
 
 def code_lengths(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Bits of each text under each language."""
-    out = np.zeros((len(offsets) - 1, len(model.languages)))
-    step, cost = model.step.ravel(), model.cost.reshape(-1, len(model.languages))
-    for a in range(0, len(data), 1 << 20):
-        lo, b = max(0, a - model.order), min(len(data), a + (1 << 20))
-        part = data[lo:b].astype(np.int64)
-        starts = offsets[:-1][(offsets[:-1] >= lo) & (offsets[:-1] < b)] - lo
-        state = np.zeros(len(part), np.int64)  # before each byte; a text starts at the root
-        for _ in range(model.order):
-            state[1:] = step[state[:-1] * 256 + part[:-1]]
-            state[0] = 0
-            state[starts] = 0
-        bits = cost[(state * 256 + part)[a - lo :]]
-        cuts = np.concatenate([[a], offsets[1:-1][(offsets[1:-1] > a) & (offsets[1:-1] < b)]])
-        cuts = np.unique(cuts)
+    out = np.zeros((len(offsets) - 1, len(model.trees)))
+    for a in range(0, len(data), 1 << 19):
+        lo, b = max(0, a - ORDER), min(len(data), a + (1 << 19))
+        part = data[lo:b]
+        place = np.arange(lo, b) - offsets[np.searchsorted(offsets, np.arange(lo, b), "right") - 1]  # within the text
+        four, three = windows(part, 4), windows(part, 3)
+        four_hashed, three_hashed, two = four * _MULTIPLIER, three * _MULTIPLIER, three & np.uint32(0xFFFF)
+        cuts = np.unique(np.concatenate([[a], offsets[1:-1][(offsets[1:-1] > a) & (offsets[1:-1] < b)]]))
         rows = np.searchsorted(offsets, cuts, "right") - 1
-        out[rows] += np.add.reduceat(bits, cuts - a, axis=0, dtype=np.float64)
+        early = np.flatnonzero(place < ORDER)
+        for j, tree in enumerate(model.trees):
+            at, found = tree.four.find(four, four_hashed)
+            bits = tree.four.values[0][at]
+            found[early] = False
+            rest = np.flatnonzero(~found)
+            own, known = tree.three.find(three[rest], three_hashed[rest])
+            cost = tree.three.values[0][own]
+            known &= (cost < np.inf) & (place[rest] >= 2)
+            before, seen = tree.three.find(three[rest - 1], three_hashed[rest - 1])
+            escape = np.where(seen & (place[rest] >= 3), tree.three.values[1][before], 0)
+            shorter = np.where(place[rest] >= 1, tree.two[two[rest]], tree.one[part[rest]]) + np.where(place[rest] >= 2, tree.pair[two[rest - 1]], 0)
+            bits[rest] = escape + np.where(known, cost, shorter)
+            out[rows, j] += np.add.reduceat(bits[a - lo :], cuts - a, dtype=np.float64)
     return out
 
 
 def identify(docs: DataFrame, model: Model | None, keep: list[str] | None = None) -> DataFrame:
     """Columns ``keep`` of docs with lang_pred, score (posterior of the language under equal
     priors, 0 to 1) and bits_per_byte. Null text or a text without a letter: ``und``, 0, null.
-    Equal code lengths: the language that sorts first."""
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score", "bits_per_byte")]
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by max_cells
+    Equal code lengths: the language that sorts first. Repeated rows have equal results, a row
+    each; an empty table gives no rows. A kept column with the name of a result goes."""
+    keep = kept(docs.columns if keep is None else keep, RESULTS)
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the training sample
     rows = docs.select(*keep, F.col("text").alias("__text"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("__letter"))
     schema = rows.select(*keep).schema.add("lang_pred", "string").add("score", "double").add("bits_per_byte", "double")
 

@@ -53,24 +53,56 @@ def test_words_match_a_plain_split():
         assert [int(h) for h in w.hash[w.first[i] : w.first[i + 1]]] == [common.word_hash(p) for p in plain]
 
 
-def test_language_code_lengths(docs, none):
-    model = language_id.train(docs, order=2, per_language=10)
-    text = TEXTS[5].encode()
-    data = np.frombuffer(text * 2, np.uint8)
-    got = language_id.code_lengths(model, data, np.array([0, len(text), len(text), 2 * len(text)]))
-    assert np.allclose(got[0], got[2]) and (got[1] == 0).all()
-    p = np.exp2(-model.cost)
-    assert np.allclose(p.sum(1), 1, atol=1e-3)  # every context is a distribution under every language
-    state, plain = 0, np.zeros(len(model.languages))
-    for b in text:
-        plain += model.cost[state, b]
-        state = model.step[state, b]
-    assert np.allclose(got[0], plain, rtol=1e-4)
-    rows = {r.doc_id: r for r in language_id.identify(docs, model, ["doc_id"]).where("doc_id is not null").collect()}
-    assert rows[0].lang_pred == rows[1].lang_pred == rows[4].lang_pred == "und" and rows[0].score == 0
-    assert all(0 <= r.score <= 1 for r in rows.values()) and rows[5].lang_pred in ("de", "en")
-    assert language_id.train(none) is None
+def plain_ppm(sample, text, order=3):
+    """Bits of a text under counts of a sample: method C, escapes with exclusion, no tables."""
+    counts = {}
+    for t in sample:
+        for k in range(order + 1):
+            for i in range(k, len(t)):
+                own = counts.setdefault(t[i - k : i], {})
+                own[t[i]] = own.get(t[i], 0) + 1
+
+    def chances(context):
+        lower = chances(context[1:]) if context else [1 / 256] * 256
+        own = counts.get(context)
+        if not own:
+            return lower
+        total, left = sum(own.values()), 1 - sum(lower[b] for b in own)
+        return [own[b] / (total + len(own)) if b in own else len(own) / (total + len(own)) * lower[b] / left for b in range(256)]
+
+    return -sum(np.log2(chances(text[max(0, i - order) : i])[b]) for i, b in enumerate(text))
+
+
+def test_language_code_lengths_are_those_of_a_plain_ppm():
+    samples = [[prose(n, 30).encode() for n in range(9)] + [b"", b"a", "中文字 é".encode()], ["größe über fluß die der und ".encode() * 3, prose(3, 5).upper().encode()], []]
+    model = language_id.Model(["a", "b", "c"], [language_id.build(s) for s in samples])
+    texts = [t.encode() for t in (prose(50, 12), "", "x", "xy", "die größe der", "中文 ÿ", "qzx!", prose(51, 3).upper())]
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+    got = language_id.code_lengths(model, data, offsets)
+    assert np.allclose(got, [[plain_ppm(s, t) for s in samples] for t in texts], rtol=1e-4)
+    for tree in model.trees[:2]:  # every context of one byte is a distribution
+        assert np.allclose(np.exp2(-tree.two.reshape(256, 256)).sum(1), 1, atol=1e-3)
+    long = np.tile(np.frombuffer(texts[0], np.uint8), 20_000)  # over several parts
+    whole = language_id.code_lengths(model, long, np.array([0, len(long)]))
+    steady = language_id.code_lengths(model, long[: 4 * len(texts[0])], np.array([0, 4 * len(texts[0])])) - language_id.code_lengths(model, long[: 3 * len(texts[0])], np.array([0, 3 * len(texts[0])]))
+    assert np.allclose(whole, steady * 20_000, rtol=1e-3)
+
+
+def test_language_id_of_odd_rows(docs, none):
+    model = language_id.train(docs, per_language=10, span=500)
+    assert model.languages == ["de", "en"]
+    got = language_id.identify(docs, model, ["doc_id", "score"])
+    assert got.columns == ["doc_id", "lang_pred", "score", "bits_per_byte"]
+    rows = got.collect()
+    assert sorted(-1 if r.doc_id is None else r.doc_id for r in rows) == sorted([*range(len(TEXTS)), 5, -1])
+    by_id = {r.doc_id: r for r in rows}
+    assert by_id[0].lang_pred == by_id[1].lang_pred == by_id[4].lang_pred == "und" and by_id[0].score == 0 and by_id[0].bits_per_byte is None
+    assert all(0 <= r.score <= 1 for r in rows) and by_id[5].lang_pred in ("de", "en")
+    assert language_id.train(none) is None and language_id.train(docs.withColumn("lang", F.lit(None).cast("string"))) is None
     assert {r.lang_pred for r in language_id.identify(docs, None, ["doc_id"]).collect()} == {"und"}
+    assert language_id.identify(none, model, ["doc_id"]).count() == 0
+    long = docs.where("length(text) > 20000").withColumn("lang", F.lit("xx"))
+    assert language_id.train(long).languages == ["xx"]  # long texts train too
 
 
 def test_language_held_out_accuracy(spark, sf_dir):
