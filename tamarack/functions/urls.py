@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import col, first_match
+from .text import col, first_match, strip
 
+# The path of product pages and what a link looks like.
 PRODUCT_PATH = "/p/"
 HREF = r"""href=["']([^"']+)["']"""
 
@@ -66,3 +67,16 @@ def fallback_sku(url, prefix: str = "HP-") -> Column:
 
 def search_url(base: str, query) -> Column:
     return F.concat(F.lit(f"{base}/search?q="), F.url_encode(col(query)))
+
+
+def pasted_urls(text) -> Column:
+    """The lines of pasted text that aren't blank, trimmed, in order."""
+    lines = F.transform(F.split(F.coalesce(col(text), F.lit("")), "\n"), strip)
+    return F.filter(lines, lambda u: u != "")
+
+
+def preview(df: DataFrame, n: int = 10, column: str = "url") -> DataFrame:
+    """One row: the first ``n`` distinct addresses, space-joined, and how many more there are."""
+    distinct = df.select(column).where(F.col(column).isNotNull()).distinct()
+    first = distinct.orderBy(column).limit(n).agg(F.array_join(F.array_sort(F.collect_list(column)), " "))
+    return distinct.agg(F.greatest(F.count("*") - n, F.lit(0)).alias("remaining")).withColumn("preview", first.scalar())

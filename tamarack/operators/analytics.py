@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Bounds and labels of the price histogram; a bucket has its lower bound.
@@ -26,6 +26,17 @@ def daily_stats(jobs: DataFrame) -> DataFrame:
     )
 
 
+def daily_window(daily: DataFrame, days: int, as_of: str | None = None) -> DataFrame:
+    """The rows of the ``days`` calendar days up to ``as_of`` (default: the newest date); days without jobs have no row."""
+    newest = daily.agg(F.max("date")).scalar() if as_of is None else F.lit(as_of).cast("date")
+    return daily.where((F.col("date") > F.date_sub(newest, days)) & (F.col("date") <= newest))
+
+
+def empty_as_null(products: DataFrame, *columns: str) -> DataFrame:
+    """Missing brands and categories are stored as empty text, which counts as a value; here it doesn't."""
+    return products.withColumns({c: F.nullif(c, F.lit("")) for c in columns or ("brand", "category")})
+
+
 def distribution(products: DataFrame, column: str) -> DataFrame:
     return products.where(F.col(column).isNotNull() & (F.col(column) != "")).groupBy(column).agg(F.count("*").alias("count"))
 
@@ -51,9 +62,8 @@ def price_histogram(prices: DataFrame, price: str) -> DataFrame:
 def price_trends(products: DataFrame, history: DataFrame, as_of: str | None, days: int = 30, sign: int = 0) -> DataFrame:
     """History rows of the ``days`` before ``as_of`` (default: the newest row) with the change to the
     current price; sign 1 or -1 keeps increases or decreases."""
-    newest = history.agg(F.max("recorded_at").alias("as_of")) if as_of is None else history.sparkSession.sql("select timestamp_ntz :t as as_of", args={"t": as_of})
-    start = F.col("as_of") - F.make_dt_interval(F.lit(days))
-    recent = history.join(F.broadcast(newest), F.col("recorded_at") > start).drop("as_of")  # one row
+    newest = history.agg(F.max("recorded_at")).scalar() if as_of is None else F.lit(as_of).cast("timestamp_ntz")
+    recent = history.where(F.col("recorded_at") > newest - F.make_dt_interval(F.lit(days)))  # a bound that reaches the scan
     p = products.select("id", "name", "brand", F.col("current_price").cast("double").alias("current_price"))
     h = recent.select(F.col("product_id"), F.col("price").cast("double").alias("historical_price"), "recorded_at", *[c for c in recent.columns if c.startswith("tie")])
     change = F.col("current_price") - F.col("historical_price")
@@ -101,10 +111,19 @@ def batch_summary(outcomes: DataFrame, ok: str) -> DataFrame:
 
 def category_tree(categories: DataFrame) -> DataFrame:
     """(id, name, level, path) from the roots down, by recursive SQL."""
-    categories.createOrReplaceTempView("category_rows")
     return categories.sparkSession.sql("""
         WITH RECURSIVE tree AS (
-            SELECT id, name, 0 AS level, name AS path FROM category_rows WHERE parent_id IS NULL
+            SELECT id, name, 0 AS level, name AS path FROM {rows} WHERE parent_id IS NULL
             UNION ALL
-            SELECT c.id, c.name, t.level + 1, concat(t.path, '/', c.name) FROM category_rows c JOIN tree t ON c.parent_id = t.id
-        ) SELECT id, name, level, path FROM tree""")
+            SELECT c.id, c.name, t.level + 1, concat(t.path, '/', c.name) FROM {rows} c JOIN tree t ON c.parent_id = t.id
+        ) SELECT id, name, level, path FROM tree""", rows=categories)
+
+
+def history_lists(history: DataFrame, by: list[str], days: int = 30) -> DataFrame:
+    """(product_id, days, history): each product's newest ``days`` prices, newest first."""
+    if not 1 <= days <= 365:
+        raise ValueError("days must be 1 to 365")
+    newest = Window.partitionBy("product_id").orderBy(*[F.desc(c) for c in by])
+    few = history.withColumn("n", F.row_number().over(newest)).where(F.col("n") <= days)
+    lists = few.groupBy("product_id").agg(F.array_sort(F.collect_list(F.struct("n", "price", "recorded_at"))).alias("history"))
+    return lists.select("product_id", F.lit(days).alias("days"), F.transform("history", lambda h: F.struct(h["price"].alias("price"), h["recorded_at"].alias("recorded_at"))).alias("history"))

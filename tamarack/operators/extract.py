@@ -21,8 +21,8 @@ def _markdown_name(markdown: Column) -> Column:
     return F.when(heading(line), t.clean_text(F.substring(line, F.lit(3), F.length(line)))).otherwise(t.clean_text(F.get(F.split(line, ":"), F.lit(1))))
 
 
-def extract(pages: DataFrame) -> DataFrame:
-    """Rows of ``schemas.RAW_PAGE`` with the product's columns; name is null where a page shows none."""
+def extract(pages: DataFrame, *carried: str) -> DataFrame:
+    """Rows of ``schemas.RAW_PAGE`` with the product's columns and the ``carried`` ones; name is null where a page shows none."""
     description = F.coalesce("metadata.description", F.lit(""))
     fields = F.split(description, ",")
     name = F.coalesce(
@@ -43,7 +43,7 @@ def extract(pages: DataFrame) -> DataFrame:
         F.coalesce("features_arr", t.feature_list("features_str")).alias("features"),
         t.image_urls(F.coalesce(F.col("images_arr"), F.when(F.col("images_str") != "", F.array("images_str")), empty)).alias("images"),
         F.coalesce("specifications", F.create_map().cast("map<string,string>")).alias("specifications"),
-        t.availability(F.coalesce(t.missing_to_null("availability"), F.col("stock_status"))).alias("availability"), F.col("url"),
+        t.availability(F.coalesce(t.missing_to_null("availability"), F.col("stock_status"))).alias("availability"), F.col("url"), *carried,
     )
 
 

@@ -1,5 +1,5 @@
-"""Keyed snapshots and change capture, set-based. A batch folds to one row a key before it
-meets the snapshot, so either side is shuffled once by the key."""
+"""Keyed snapshots and change capture, set-based. A batch folds to one row a key, combined before
+its only shuffle, and meets the snapshot in one full outer join on the key."""
 
 from __future__ import annotations
 
@@ -7,21 +7,32 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def latest(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
-    """The first row of each key in this order; the order has to be total for a stable result."""
-    n = F.row_number().over(Window.partitionBy(*key).orderBy(*order))
-    return df.withColumn("__n", n).where("__n = 1").drop("__n")
+def latest(df: DataFrame, key: list[str], by: list[str]) -> DataFrame:
+    """The row of each key that is greatest by these columns, nulls least; they have to be a total order for a stable result."""
+    rest = [c for c in df.columns if c not in key]
+    return df.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct(*by)).alias("__row")).select(*[F.col(c) if c in key else F.col(f"__row.{c}").alias(c) for c in df.columns])
 
 
-def upsert(snapshot: DataFrame, batch: DataFrame, key: str = "sku", at: str = "scraped_at", ties: list[str] = ()) -> DataFrame:
+def upsert(snapshot: DataFrame, batch: DataFrame, key: str = "sku", at: str = "scraped_at", ties: list[str] = (), now: Column | None = None) -> DataFrame:
     """The new snapshot: every column, nulls included, of the newest row of a key in the batch,
-    else the stored row. The stored id and created_at of a key stay."""
-    new = latest(batch, [key], [F.desc(at), *map(F.desc, ties)])
-    kept = [c for c in ("id", "created_at") if c in snapshot.columns]
-    old = snapshot.select(F.col(key).alias("__key"), *[F.col(c).alias(f"__{c}") for c in kept])
-    joined = new.join(old, F.col(key) == F.col("__key"), "left")
-    updated = joined.select(*[F.coalesce(F.col(f"__{c}"), F.col(c)).alias(c) if c in kept else F.col(c) for c in snapshot.columns])
-    return snapshot.join(new.select(key), key, "left_anti").select(*snapshot.columns).unionByName(updated)
+    else the stored row. The stored id and created_at of a key stay; updated_at, where there is
+    one, is ``now`` (else the batch row's time) for stored keys that the batch has. Batch rows without a key go."""
+    newest = F.max_by(F.struct(*[c for c in batch.columns if c != key]), F.struct(at, *ties)).alias("__row")
+    first = F.min("created_at" if "created_at" in batch.columns else at).alias("__first")  # an inserted key was created when the batch first saw it
+    new = batch.where(F.col(key).isNotNull()).groupBy(F.col(key).alias(f"__{key}")).agg(newest, first)
+    new = new.select(f"__{key}", *[(F.col("__first") if c == "created_at" else F.col(f"__row.{c}")).alias(f"__{c}") for c in batch.columns if c != key])
+    joined = snapshot.join(new, F.col(key) == F.col(f"__{key}"), "full_outer")
+    came, stored = F.col(f"__{key}").isNotNull(), F.col(key).isNotNull()
+
+    def column(c: str) -> Column:
+        fresh = F.col(f"__{c}") if c in batch.columns else F.lit(None).cast(snapshot.schema[c].dataType)
+        if c == "updated_at":
+            return F.when(came & stored, F.col(f"__{at}") if now is None else now).otherwise(F.col(c))
+        if c in ("id", "created_at"):
+            return F.coalesce(F.col(c), fresh)
+        return F.when(came, fresh).otherwise(F.col(c))
+
+    return joined.select(*[column(c).alias(c) for c in snapshot.columns])
 
 
 def price_changes(log: DataFrame, key: str, price: str, order: list[Column]) -> DataFrame:

@@ -11,7 +11,8 @@ from .. import schemas
 from ..functions import text as t
 from ..functions import urls as u
 from ..operators import analytics as a
-from ..operators import checks, upsert
+from ..operators import checks, discovery, upsert
+from ..operators import jobs as j
 from ..operators.search import SearchSpec, matching, search, totals
 from ..sources import catalog as c
 
@@ -35,6 +36,7 @@ JOBS = """jobs AS (
         coalesce(n, 0) AS total_items, coalesce(n, 0) AS processed_items, coalesce(n, 0) - coalesce(bad, 0) AS success_items, coalesce(bad, 0) AS failed_items,
         CASE WHEN o_orderstatus = 'F' THEN o_orderdate + coalesce(n, 0) * INTERVAL 1 HOUR END AS completed_at
     FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n, count(*) FILTER (l_returnflag = 'R') AS bad FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey)"""
+BASE_URL = "https://shop.example.com"
 TIES = ["recorded_at", "tie_order", "tie_line", "tie_supplier", "price", "tie_quantity"]
 SHOWN = ["id", "sku", "name", "brand", "category", "current_price", "original_price", "discount_percentage", "availability"]
 
@@ -132,8 +134,7 @@ query("price_history_latest", f"WITH {HISTORY} SELECT product_id, CAST(price AS
 @query("price_history_window", f"WITH {HISTORY} SELECT product_id, CAST(price AS DOUBLE) AS price, recorded_at FROM history WHERE product_id = '42' AND recorded_at > (SELECT max(recorded_at) FROM history) - INTERVAL 365 DAY")
 def price_history_window(s, d):
     h = c.price_history(s, d)
-    newest = h.agg(F.max("recorded_at").alias("newest"))  # one row
-    return h.where("product_id = '42'").join(F.broadcast(newest), F.col("recorded_at") > F.col("newest") - F.make_dt_interval(F.lit(365))).select("product_id", F.col("price").cast("double").alias("price"), "recorded_at")
+    return h.where((F.col("product_id") == "42") & (F.col("recorded_at") > h.agg(F.max("recorded_at")).scalar() - F.make_dt_interval(F.lit(365)))).select("product_id", F.col("price").cast("double").alias("price"), "recorded_at")
 
 
 query("price_history_envelope", f"WITH {HISTORY} SELECT product_id, count(*) AS entries, CAST(max(price) AS DOUBLE) AS highest, CAST(min(price) AS DOUBLE) AS lowest FROM history GROUP BY 1")(
@@ -156,7 +157,7 @@ for _name, _sign in (("price_trends", 0), ("price_increases", 1), ("price_decrea
 @query("new_products", f"WITH {DATED} SELECT id, created_at FROM dated WHERE created_at > (SELECT max(created_at) FROM dated) - INTERVAL 30 DAY")
 def new_products(s, d):
     p = c.products(s, d, True)
-    return p.join(F.broadcast(p.agg(F.max("created_at").alias("newest"))), F.col("created_at") > F.col("newest") - F.make_dt_interval(F.lit(30))).select("id", "created_at")
+    return p.where(F.col("created_at") > p.agg(F.max("created_at")).scalar() - F.make_dt_interval(F.lit(30))).select("id", "created_at")
 
 
 query("out_of_stock", f"WITH {PRODUCTS} SELECT id, name FROM products WHERE availability = 'out_of_stock'")(lambda s, d: c.products(s, d).where("availability = 'out_of_stock'").select("id", "name"))
@@ -164,7 +165,7 @@ query("out_of_stock", f"WITH {PRODUCTS} SELECT id, name FROM products WHERE avai
 # --- upsert and change capture ----------------------------------------------------------
 ORDERED = "recorded_at, tie_order, tie_line, tie_supplier, price, tie_quantity"
 query("upsert_latest", f"WITH {HISTORY} SELECT product_id, CAST(price AS DOUBLE) AS price, recorded_at FROM history QUALIFY row_number() OVER (PARTITION BY product_id ORDER BY {NEWEST_FIRST}) = 1")(
-    lambda s, d: upsert.latest(c.price_history(s, d), ["product_id"], [F.desc(x) for x in TIES]).select("product_id", F.col("price").cast("double").alias("price"), "recorded_at")
+    lambda s, d: upsert.latest(c.price_history(s, d), ["product_id"], TIES).select("product_id", F.col("price").cast("double").alias("price"), "recorded_at")
 )
 query("price_change_log", f"""WITH {HISTORY}, marked AS (SELECT product_id, price, recorded_at, lag(price) OVER w AS previous_price, row_number() OVER w AS n FROM history WINDOW w AS (PARTITION BY product_id ORDER BY {ORDERED}))
     SELECT product_id, CAST(price AS DOUBLE) AS price, CAST(previous_price AS DOUBLE) AS previous_price, recorded_at FROM marked WHERE n > 1 AND price IS NOT NULL AND price IS DISTINCT FROM previous_price""")(
@@ -178,7 +179,7 @@ def snapshot_upsert(s, d):
     """The log before 2000 as the stored snapshot, the rest as one batch."""
     log = c.price_history(s, d).select(F.col("product_id").alias("sku"), F.col("price").alias("current_price"), F.col("recorded_at").alias("scraped_at"))
     new = F.col("scraped_at") >= F.lit("2000-01-01").cast("timestamp_ntz")
-    stored = upsert.latest(log.where(~new), ["sku"], [F.desc("scraped_at"), F.desc("current_price")])
+    stored = upsert.latest(log.where(~new), ["sku"], ["scraped_at", "current_price"])
     return upsert.upsert(stored, log.where(new), ties=["current_price"]).select("sku", F.col("current_price").cast("double").alias("current_price"), "scraped_at")
 
 
@@ -202,13 +203,21 @@ DAILY = f"""WITH {JOBS}, daily AS (SELECT CAST(created_at AS DATE) AS date, coun
 query("daily_scrape_stats", f"{DAILY} SELECT * FROM daily")(lambda s, d: a.daily_stats(c.jobs(s, d)))
 query("daily_stats_last_n", f"{DAILY} SELECT * FROM daily ORDER BY date DESC LIMIT 7")(lambda s, d: a.daily_stats(c.jobs(s, d)).orderBy(F.desc("date")).limit(7))
 JOB_COLUMNS = ["id", "status", "total_items", "processed_items", "success_items", "failed_items", "created_at", "started_at", "completed_at"]
-query("jobs_list", f"WITH {JOBS} SELECT {', '.join(JOB_COLUMNS)} FROM jobs ORDER BY created_at DESC, id LIMIT 20")(lambda s, d: c.jobs(s, d).orderBy(F.desc("created_at"), "id").limit(20).select(*JOB_COLUMNS))
+
+
+def newest_jobs(s, d, where="true", columns=JOB_COLUMNS):
+    """The 20 newest jobs; only their items are counted."""
+    few = c.orders_as_jobs(s, d).where(where).orderBy(F.desc("created_at"), "id").limit(20)
+    return c.jobs(s, d, few).orderBy(F.desc("created_at"), "id").select(*columns)
+
+
+query("jobs_list", f"WITH {JOBS} SELECT {', '.join(JOB_COLUMNS)} FROM jobs ORDER BY created_at DESC, id LIMIT 20")(lambda s, d: newest_jobs(s, d))
 query("jobs_by_status", f"WITH {JOBS} SELECT {', '.join(JOB_COLUMNS)} FROM jobs WHERE status = 'running' ORDER BY created_at DESC, id LIMIT 20")(
-    lambda s, d: c.jobs(s, d).where("status = 'running'").orderBy(F.desc("created_at"), "id").limit(20).select(*JOB_COLUMNS)
+    lambda s, d: newest_jobs(s, d, "status = 'running'")
 )
 query("job_by_id", f"WITH {JOBS} SELECT {', '.join(JOB_COLUMNS)} FROM jobs WHERE id = 3")(lambda s, d: c.jobs(s, d).where("id = 3").select(*JOB_COLUMNS))
 query("job_tallies", f"WITH {JOBS} SELECT count(*) AS total, count(*) FILTER (status IN ('pending', 'running')) AS active, count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'failed') AS failed FROM (FROM jobs ORDER BY created_at DESC, id LIMIT 20)")(
-    lambda s, d: a.job_tallies(c.jobs(s, d).orderBy(F.desc("created_at"), "id").limit(20))
+    lambda s, d: a.job_tallies(c.orders_as_jobs(s, d).orderBy(F.desc("created_at"), "id").limit(20))
 )
 query("job_rates", f"""WITH {JOBS} SELECT id, coalesce(round(processed_items * 100.0::DOUBLE / nullif(total_items, 0), 4), 0) AS progress, coalesce(round(success_items * 100.0::DOUBLE / nullif(processed_items, 0), 4), 0) AS success_of_processed,
     coalesce(round(success_items * 100.0::DOUBLE / nullif(success_items + failed_items, 0), 4), 0) AS success_of_finished, status IN ('pending', 'running') AS is_running FROM jobs""")(lambda s, d: a.job_rates(c.jobs(s, d)))
@@ -236,7 +245,7 @@ query("category_tree", """WITH RECURSIVE cats AS (SELECT 'R' || r_regionkey AS i
 # --- pages ------------------------------------------------------------------------------
 SQL_HREF = "href=[\"'']([^\"'']+)[\"'']"
 PAGE_PATH = r"/(?:en|de|fr|es)/"
-BASE = "https://shop.example.com"
+BASE = BASE_URL
 query("discover_hrefs", f"SELECT DISTINCT unnest(regexp_extract_all(html, '{SQL_HREF}', 1)) AS href FROM pages")(lambda s, d: c.read(s, d, "pages").select(F.explode(u.hrefs("html")).alias("href")).distinct())
 query("absolute_urls", f"""SELECT DISTINCT CASE WHEN h LIKE 'http%' THEN h ELSE '{BASE}' || h END AS url FROM (SELECT unnest(regexp_extract_all(html, '{SQL_HREF}', 1)) AS h FROM pages) WHERE h LIKE 'http%' OR h LIKE '/%'""")(
     lambda s, d: c.read(s, d, "pages").select(F.explode(u.absolute(u.hrefs("html"), BASE)).alias("url")).distinct()
@@ -320,10 +329,219 @@ query("images", "SELECT page_id, ['https:' || regexp_replace(url, '^https?:', ''
 query("discount", f"WITH {PRODUCTS} SELECT id, CASE WHEN original_price > current_price THEN round((CAST(original_price AS DOUBLE) - CAST(current_price AS DOUBLE)) / CAST(original_price AS DOUBLE) * 100, 4) END AS discount FROM products")(
     lambda s, d: c.products(s, d).select("id", F.round(t.discount("current_price", "original_price"), 4).alias("discount"))
 )
-query("serialised_products")(lambda s, d: _serialised(s, d))
+@query("serialised_products", f"""WITH {PRODUCTS} SELECT sku, name, brand, CAST(current_price AS DOUBLE) AS current_price, CAST(original_price AS DOUBLE) AS original_price, '2024-03-01T12:30:00' AS scraped_at,
+    '[]' AS features, '{{}}' AS specifications, '[]' AS images, CASE WHEN original_price IS NULL THEN 'null' ELSE 'number' END AS original_kind, 13 AS keys FROM products""")
+def serialised_products(s, d):
+    """Products as JSON texts, and what a reader finds in them."""
+    from ..sources.sinks import serialised
 
+    full = c.products(s, d).withColumns({"scraped_at": F.lit("2024-03-01 12:30:00").cast("timestamp_ntz"), "created_at": F.lit("2024-03-01").cast("timestamp_ntz"), "features": F.lit(None).cast("array<string>"), "images": F.lit(None).cast("array<string>"), "specifications": F.lit(None).cast("map<string,string>"), "url": F.lit("u")})
+    text = serialised(full)
+    at = lambda k, kind="string": F.get_json_object("json", f"$.{k}").cast(kind).alias(k)
+    return text.select(
+        at("sku"), at("name"), at("brand"), at("current_price", "double"), at("original_price", "double"), at("scraped_at"), at("features"), at("specifications"), at("images"),
+        F.when(F.contains("json", F.lit('"original_price":null')), "null").otherwise("number").alias("original_kind"), F.size(F.json_object_keys("json")).alias("keys"),
+    )
 
-def _serialised(s, d):
-    from ..sources.sinks import serialised
 
-    return serialised(c.products(s, d))
+# --- full forms of products, jobs and histories -------------------------------------------
+@query("product_full_dto", f"""WITH {DATED} SELECT id, sku, name, brand, category, nullif(CAST(current_price AS DOUBLE), 0) AS current_price, nullif(CAST(original_price AS DOUBLE), 0) AS original_price, discount_percentage,
+    CASE WHEN CAST(id AS BIGINT) % 3 = 0 THEN name END AS description, CASE WHEN CAST(id AS BIGINT) % 2 = 0 THEN array_to_string(string_split(name, ' '), '|') ELSE '' END AS features, CASE WHEN CAST(id AS BIGINT) % 5 = 0 THEN brand END AS specification,
+    availability, '' AS images, '{BASE_URL}/p/' || id AS url, scraped_at AS last_scraped, created_at, CAST(NULL AS TIMESTAMP) AS updated_at FROM dated""")
+def product_full_dto(s, d):
+    n = F.col("id").cast("long")
+    p = c.products(s, d, True).withColumns({
+        "description": F.when(n % 3 == 0, F.col("name")), "features": F.when(n % 2 == 0, F.split("name", " ")), "images": F.lit(None).cast("array<string>"),
+        "specifications": F.when(n % 5 == 0, F.create_map(F.lit("brand"), "brand")), "url": F.concat(F.lit(f"{BASE_URL}/p/"), "id"), "updated_at": F.lit(None).cast("timestamp_ntz"),
+    })
+    dto = product_response(p)
+    return dto.withColumns({"features": F.array_join("features", "|"), "images": F.array_join("images", "|"), "specification": dto.specifications["brand"]}).drop("specifications")
+
+
+def product_response(p: DataFrame) -> DataFrame:
+    """The 17 columns that a reader of a product gets; collections are never null, prices of 0 are."""
+    plain = lambda x: F.nullif(F.col(x).cast("double"), F.lit(0.0)).alias(x)
+    listed = lambda x: F.coalesce(x, F.array().cast("array<string>")).alias(x)
+    return p.select(
+        "id", "sku", "name", "brand", "category", plain("current_price"), plain("original_price"), "discount_percentage", "description", listed("features"), F.coalesce("specifications", F.create_map().cast("map<string,string>")).alias("specifications"),
+        F.coalesce("availability", F.lit("unknown")).alias("availability"), listed("images"), "url", F.coalesce("scraped_at", "created_at").alias("last_scraped"), "created_at", "updated_at",
+    )
+
+
+query("jobs_full", f"WITH {JOBS} SELECT {', '.join(JOB_COLUMNS)}, 'product' AS job_type, CAST(NULL AS VARCHAR) AS target_url, CAST(NULL AS VARCHAR) AS error_message FROM jobs ORDER BY created_at DESC, id LIMIT 20")(
+    lambda s, d: newest_jobs(s, d, columns=[*JOB_COLUMNS, "job_type", "target_url", "error_message"])
+)
+
+
+@query("price_history_list", f"""WITH {HISTORY}, ranked AS (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY {NEWEST_FIRST}) AS n FROM history)
+    SELECT product_id, 7 AS days, string_agg(CAST(CAST(price * 100 AS BIGINT) AS VARCHAR), ' ' ORDER BY n) AS history FROM ranked WHERE n <= 7 GROUP BY 1""")
+def price_history_list(s, d):
+    lists = a.history_lists(c.price_history(s, d), TIES, 7)
+    return lists.select("product_id", "days", F.array_join(F.transform("history", lambda h: (h["price"] * 100).cast("long").cast("string")), " ").alias("history"))
+
+
+query("search_ui_defaults", f"WITH {PRODUCTS}, lines AS (SELECT l_orderkey * 10 + l_linenumber AS id, CASE WHEN l_linenumber % 5 <> 0 THEN CAST(l_extendedprice AS DECIMAL(12,2)) END AS current_price FROM lineitem) SELECT count(*) AS shown FROM lines WHERE current_price BETWEEN 0 AND 10000")(
+    lambda s, d: matching(c.read(s, d, "lineitem").select(F.when(F.col("l_linenumber") % 5 != 0, F.col("l_extendedprice").cast("decimal(12,2)")).alias("current_price")), SearchSpec(min_price=0, max_price=10000)).agg(F.count("*").alias("shown"))
+)
+query("search_literal", f"WITH {PRODUCTS} SELECT id, name FROM products WHERE contains(lower(name), 'in_') OR contains(lower(sku), 'in_') ORDER BY name, id LIMIT 20")(
+    lambda s, d: search(c.products(s, d), SearchSpec(query="IN_", literal=True)).select("id", "name")
+)
+query("brands_empty_as_null", f"WITH {PRODUCTS} SELECT count(DISTINCT brand) AS with_empty, count(DISTINCT nullif(brand, '')) AS total_brands FROM (SELECT CASE WHEN CAST(id AS BIGINT) % 4 = 0 THEN '' ELSE brand END AS brand FROM products)")(
+    lambda s, d: (p := c.products(s, d).select(F.when(F.col("id").cast("long") % 4 == 0, "").otherwise(F.col("brand")).alias("brand")).withColumn("stored", F.col("brand")))
+    and a.empty_as_null(p, "brand").agg(F.countDistinct("stored").alias("with_empty"), F.countDistinct("brand").alias("total_brands"))
+)
+query("daily_calendar_window", f"{DAILY} SELECT * FROM daily WHERE date > (SELECT max(date) FROM daily) - INTERVAL 30 DAY")(lambda s, d: a.daily_window(a.daily_stats(c.jobs(s, d)), 30))
+
+
+@query("scraping_stats", f"""{DAILY.replace('WITH ', f'WITH {PRODUCTS}, ', 1)} SELECT (SELECT count(*) FROM products) AS total_products, (SELECT round(avg(CAST(current_price AS DOUBLE)), 4) FROM products) AS avg_price,
+    (SELECT string_agg(CAST(date AS VARCHAR) || ':' || jobs_run, ' ' ORDER BY date DESC) FROM (FROM daily ORDER BY date DESC LIMIT 7)) AS recent_activity""")
+def scraping_stats(s, d):
+    """One row: the catalogue's statistics and the last days' runs."""
+    stats = a.product_stats(c.products(s, d)).select("total_products", "avg_price")
+    days = a.daily_stats(c.jobs(s, d)).orderBy(F.desc("date")).limit(7).agg(F.array_join(F.reverse(F.array_sort(F.collect_list(F.concat(F.col("date").cast("string"), F.lit(":"), "jobs_run")))), " ").alias("recent_activity"))
+    return stats.withColumn("recent_activity", days.scalar())
+
+
+query("url_preview", "SELECT (SELECT string_agg(url, ' ' ORDER BY url) FROM (SELECT DISTINCT url FROM pages ORDER BY url LIMIT 10)) AS preview, greatest(count(DISTINCT url) - 10, 0) AS remaining FROM pages")(
+    lambda s, d: u.preview(c.read(s, d, "pages"), 10)
+)
+query("pasted_urls", "SELECT page_id, trim(line, ' \t') AS url FROM (SELECT page_id, unnest(string_split(url || chr(10) || '  ' || chr(10) || chr(10) || ' ' || upper(url) || ' ', chr(10))) AS line FROM pages) WHERE trim(line, ' \t') <> ''")(
+    lambda s, d: c.read(s, d, "pages").select("page_id", F.explode(u.pasted_urls(F.concat("url", F.lit("\n  \n\n "), F.upper("url"), F.lit(" ")))).alias("url"))
+)
+
+# --- jobs: requests, runs, ends -------------------------------------------------------------
+#: Orders as requests: product, category and search jobs, with addresses or a target missing in some.
+REQUESTS = f"""requests AS (SELECT 'job-' || o_orderkey AS job_id, ['product', 'category', 'search', 'discovery'][o_orderkey % 4 + 1] AS job_type, CASE WHEN o_custkey % 3 <> 0 THEN '{BASE_URL}/c/' || o_custkey END AS target_url,
+    CASE WHEN o_orderkey % 5 <> 0 THEN '{BASE_URL}/p/' || o_custkey END AS first_url, o_orderdate AS asked_at FROM orders)"""
+REFUSED = f"CASE WHEN job_type = 'discovery' THEN '{j.BAD_JOB}' WHEN job_type = 'product' AND first_url IS NULL THEN '{j.NO_URLS}' WHEN job_type <> 'product' AND target_url IS NULL THEN '{j.NO_TARGET}' END"
+
+
+def requests(s, d):
+    o = c.read(s, d, "orders")
+    kinds = F.array(*map(F.lit, ["product", "category", "search", "discovery"]))
+    urls = F.when(F.col("o_orderkey") % 5 != 0, F.array(F.concat(F.lit(f"{BASE_URL}/p/"), "o_custkey"))).otherwise(F.array().cast("array<string>"))
+    return o.select(F.concat(F.lit("job-"), "o_orderkey").alias("job_id"), F.get(kinds, (F.col("o_orderkey") % 4).cast("int")).alias("job_type"), F.when(F.col("o_custkey") % 3 != 0, F.concat(F.lit(f"{BASE_URL}/c/"), "o_custkey")).alias("target_url"), urls.alias("urls"), F.col("o_orderdate").alias("at"))
+
+
+query("job_requests", f"WITH {REQUESTS} SELECT job_id, {REFUSED} AS error, coalesce(target_url, first_url) AS target_url FROM requests")(lambda s, d: j.requested(requests(s, d)).select("job_id", "error", "target_url"))
+query("job_creation", f"WITH {REQUESTS} SELECT job_type, 'pending' AS status, count(*) AS jobs, min(asked_at) AS first_at, 0 AS items FROM requests WHERE {REFUSED} IS NULL GROUP BY 1")(
+    lambda s, d: j.job_table(j.created(requests(s, d))).groupBy("job_type", "status").agg(F.count("*").alias("jobs"), F.min("created_at").alias("first_at"), F.sum("total_items").alias("items"))
+)
+
+
+@query("job_life_cycle", """WITH log AS (SELECT user_id, ts, event_id, CASE event_type WHEN 'view' THEN 'running' WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' ELSE 'pending' END AS status FROM events)
+    SELECT user_id, max(ts) FILTER (status = 'running') AS started_at, max(ts) FILTER (status IN ('completed', 'failed')) AS completed_at, min(ts) AS created_at, arg_max(CASE WHEN status = 'failed' THEN 'error ' || event_id END, (ts, event_id)) FILTER (status = 'failed') AS error_message FROM log GROUP BY 1""")
+def job_life_cycle(s, d):
+    """Events as a log of jobs' changes; the number of an event stands for the items done."""
+    kinds = F.create_map(*[F.lit(x) for kv in STATUS_OF.items() for x in kv])
+    e = c.read(s, d, "events").withColumn("status", kinds[F.col("event_type")])
+    none = lambda kind: F.lit(None).cast(kind)
+    log = e.select(
+        F.col("user_id").cast("string").alias("job_id"), F.col("ts").alias("at"), F.lit("product").alias("job_type"), "status", none("string").alias("target_url"), none("long").alias("total_items"), F.col("event_id").alias("processed_items"),
+        none("long").alias("success_items"), none("long").alias("failed_items"), F.when(F.col("status") == "failed", F.concat(F.lit("error "), "event_id")).alias("error_message"),
+    )
+    return j.job_table(log).select(F.col("job_id").cast("long").alias("user_id"), "started_at", "completed_at", "created_at", "error_message")
+
+
+@query("cancel_jobs", f"""WITH {JOBS}, asked AS (SELECT o_orderkey AS id FROM orders UNION ALL SELECT -o_orderkey - 1 FROM orders WHERE o_orderkey % 10 = 0)
+    SELECT asked.id, CASE WHEN status IN ('pending', 'running') THEN 'cancelled' END AS event, CASE WHEN status IS NULL THEN '{j.NO_JOB}' WHEN status IN ('pending', 'running') THEN '{j.CANCELLED}' ELSE 'Cannot cancel job with status: ' || status END AS message FROM asked LEFT JOIN jobs USING (id)""")
+def cancel_jobs(s, d):
+    jobs = c.orders_as_jobs(s, d).withColumnRenamed("id", "job_id")
+    asked = jobs.select("job_id").union(jobs.where("job_id % 10 = 0").select(-F.col("job_id") - 1))
+    return j.cancelled(jobs, asked).withColumnRenamed("job_id", "id")
+
+
+#: Parts as a shop: a listing of four pages a brand, and a page a product; some weren't landed, some have no price or too short a name or key.
+LANDED = "p_partkey % 7 <> 0"
+SAVED = f"{LANDED} AND p_partkey % 11 <> 0 AND p_partkey % 13 <> 0 AND p_partkey >= 100"
+
+
+def shop(s, d):
+    part = c.read(s, d, "part").select("p_partkey", "p_name", F.concat(F.lit(f"{BASE_URL}/c/"), F.replace("p_brand", F.lit("#"), F.lit("-"))).alias("listing"), "p_retailprice")
+    n = F.col("p_partkey") % 4 + 1
+    link = F.concat(F.lit('<a href="/p/'), "p_partkey", F.lit('?ref=list">x</a>'))
+    more = F.array_join(F.transform(F.array(*map(F.lit, "234")), lambda x: F.concat(F.lit('<a href="?page='), x, F.lit('">more</a>'))), "")
+    links = part.select("listing", n.alias("n"), link.alias("link")).union(part.select("listing", F.lit(1), F.lit("")))  # a brand has a first page, if without products
+    listings = links.groupBy("listing", "n").agg(F.array_join(F.collect_list("link"), " ").alias("links"))
+    at = F.lit("2024-01-01").cast("timestamp_ntz")
+    none = lambda kind: F.lit(None).cast(kind)
+    blank = {"linksOnPage": "array<string>", "originalPrice": "string", "original_price": "string", "current_price": "string", "brand": "string", "category": "string", "description": "string", "features_str": "string", "features_arr": "array<string>", "specifications": "map<string,string>", "images_str": "string", "images_arr": "array<string>", "availability": "string", "stock_status": "string", "markdown": "string"}
+    title = lambda t: F.struct(t.alias("title"), none("string").alias("description"), none("string").alias("sourceURL"), none("string").alias("url"))
+    pages = listings.select(F.when(F.col("n") == 1, F.col("listing")).otherwise(F.concat("listing", F.lit("?page="), "n")).alias("url"), F.concat("links", more).alias("html"), none("string").alias("price"), title(none("string")).alias("metadata"), at.alias("scraped_at"))
+    key = F.col("p_partkey")
+    price = F.when(key % 11 == 0, "0").otherwise(F.format_string("฿%.2f", "p_retailprice"))
+    name = F.when(key % 13 == 0, "xx").otherwise(F.col("p_name"))
+    products = part.where(LANDED).select(F.concat(F.lit(f"{BASE_URL}/p/"), "p_partkey").alias("url"), none("string").alias("html"), price.alias("price"), title(name).alias("metadata"), at.alias("scraped_at"))
+    return pages.union(products).select("*", *[none(k).alias(x) for x, k in blank.items()])
+
+
+def starts(s, d):
+    brands = c.read(s, d, "part").select(F.concat(F.lit(f"{BASE_URL}/c/"), F.replace("p_brand", F.lit("#"), F.lit("-"))).alias("start_url")).distinct()
+    return brands.union(s.range(1).select(F.lit(f"{BASE_URL}/c/none").alias("start_url")))
+
+
+START_SQL = f"'{BASE_URL}/c/' || replace(p_brand, '#', '-')"
+query("discover_category", f"SELECT {START_SQL} AS start_url, '{BASE_URL}/p/' || p_partkey AS url FROM part WHERE p_partkey % 4 < 3")(lambda s, d: discovery.discover(shop(s, d), starts(s, d), BASE_URL, 3))
+query("discover_envelope", f"SELECT {START_SQL} AS url, 2 AS max_pages, min('{BASE_URL}/p/' || p_partkey) AS first_url, count(*) AS total FROM part WHERE p_partkey % 4 < 2 GROUP BY 1 UNION ALL SELECT '{BASE_URL}/c/none', 2, NULL, 0")(
+    lambda s, d: discovery.envelope(discovery.discover(shop(s, d), starts(s, d), BASE_URL, 2), starts(s, d), 2).select("url", "max_pages", F.get("discovered_urls", F.lit(0)).alias("first_url"), "total")
+)
+
+
+@query("discover_search", f"""SELECT q.query, url FROM (SELECT DISTINCT p_brand AS query FROM part) q, LATERAL (SELECT '{BASE_URL}/p/' || p_partkey AS url FROM part WHERE p_brand = q.query AND p_partkey % 4 = 0 ORDER BY url LIMIT 5)""")
+def discover_search(s, d):
+    """The listings' first pages as search pages."""
+    own = F.regexp_extract("url", r"/c/(Brand-\d+)$", 1)
+    found = shop(s, d).where(own != "").withColumn("url", u.search_url(BASE_URL, F.replace(own, F.lit("-"), F.lit("#"))))
+    return discovery.discover_from_search(found, c.read(s, d, "part").select(F.col("p_brand").alias("query")).distinct(), BASE_URL, 5)
+
+
+def wanted(s, d):
+    """A job a brand, with its products' addresses in order of key."""
+    p = c.read(s, d, "part")
+    return p.select(F.col("p_brand").alias("job_id"), F.concat(F.lit(f"{BASE_URL}/p/"), "p_partkey").alias("url"), F.col("p_partkey").alias("position"))
+
+
+query("batch_run", f"SELECT p_brand AS job_id, count(*) AS total, count(*) FILTER ({SAVED}) AS success, count(*) FILTER (NOT ({SAVED})) AS failed, round(count(*) FILTER ({SAVED}) * 100.0::DOUBLE / count(*), 4) AS success_rate FROM part GROUP BY 1")(
+    lambda s, d: j.batch_summary(j.outcomes(wanted(s, d), shop(s, d), ["scraped_at"])[0]).withColumn("success_rate", F.col("success_rate").cast("double"))
+)
+query("batch_outcomes", f"SELECT CASE WHEN NOT ({LANDED}) THEN 'not fetched' WHEN p_partkey % 11 = 0 THEN 'price' WHEN p_partkey % 13 = 0 THEN 'name' WHEN p_partkey < 100 THEN 'sku' ELSE 'saved' END AS outcome, count(*) AS n FROM part GROUP BY 1")(
+    lambda s, d: j.outcomes(wanted(s, d), shop(s, d), ["scraped_at"])[0].groupBy("outcome").agg(F.count("*").alias("n"))
+)
+query("batch_progress", f"""WITH chunks AS (SELECT p_brand AS job_id, p_partkey // 50 AS chunk, count(*) AS n, count(*) FILTER ({SAVED}) AS good FROM part GROUP BY 1, 2)
+    SELECT job_id, chunk, CAST(sum(n) OVER w AS BIGINT) AS processed_items, CAST(sum(good) OVER w AS BIGINT) AS success_items, CAST(sum(n - good) OVER w AS BIGINT) AS failed_items FROM chunks WINDOW w AS (PARTITION BY job_id ORDER BY chunk)""")(
+    lambda s, d: j.chunk_progress(j.outcomes(wanted(s, d), shop(s, d), ["scraped_at"])[0], 50)
+)
+query("batch_products", f"SELECT CAST(p_partkey AS VARCHAR) AS sku, p_name AS name, p_retailprice AS current_price FROM part WHERE {SAVED}")(
+    lambda s, d: j.outcomes(wanted(s, d), shop(s, d), ["scraped_at"])[1].select("sku", "name", F.col("current_price").cast("double").alias("current_price"))
+)
+
+
+@query("run_jobs", f"""WITH found AS (SELECT 'c ' || {START_SQL} AS job_id, {SAVED} AS ok FROM part WHERE p_partkey % 4 < 3 UNION ALL SELECT 'p ' || p_partkey, {SAVED} FROM part WHERE p_partkey % 3 = 0)
+    SELECT job_id, 'completed' AS status, count(*) AS total_items, count(*) FILTER (ok) AS success_items, count(*) FILTER (NOT ok) AS failed_items, CAST(NULL AS VARCHAR) AS error_message FROM found GROUP BY 1
+    UNION ALL SELECT 'c {BASE_URL}/c/none', 'failed', NULL, NULL, NULL, '{j.NOTHING_FOUND}' UNION ALL SELECT DISTINCT 's ' || {START_SQL}, 'failed', NULL::BIGINT, NULL::BIGINT, NULL::BIGINT, '{j.BAD_JOB}' FROM part""")
+def run_jobs(s, d):
+    """A category job a brand (and one that leads nowhere), a product job for some parts, a search job a brand."""
+    none, at = F.array().cast("array<string>"), F.lit("2024-01-01").cast("timestamp_ntz")
+    listings = starts(s, d)
+    part = c.read(s, d, "part").where("p_partkey % 3 = 0")
+    asked = listings.select(F.concat(F.lit("c "), "start_url").alias("job_id"), F.lit("category").alias("job_type"), F.col("start_url").alias("target_url"), none.alias("urls"), at.alias("at"))
+    asked = asked.union(listings.where(~F.col("start_url").endswith("none")).select(F.concat(F.lit("s "), "start_url"), F.lit("search"), "start_url", none, at))
+    asked = asked.union(part.select(F.concat(F.lit("p "), "p_partkey"), F.lit("product"), F.lit(None).cast("string"), F.array(F.concat(F.lit(f"{BASE_URL}/p/"), "p_partkey")), at))
+    return j.run_jobs(asked, shop(s, d), ["scraped_at"], BASE_URL, 3)[0].select("job_id", "status", "total_items", "success_items", "failed_items", "error_message")
+
+
+query("rescrape", f"SELECT 'rescrape-' || p_partkey AS job_id, 'pending' AS status, '{BASE_URL}/p/' || p_partkey AS target_url FROM part WHERE p_partkey % 5 = 1 AND p_partkey % 2 = 0")(
+    lambda s, d: j.created(j.rescrape(c.products(s, d).withColumn("url", F.when(F.col("id").cast("long") % 2 == 0, F.concat(F.lit(f"{BASE_URL}/p/"), "id"))), c.read(s, d, "part").where("p_partkey % 5 = 1").select(F.col("p_partkey").cast("string").alias("id")), F.lit("2024-01-01").cast("timestamp_ntz"))).select("job_id", "status", "target_url")
+)
+
+
+@query("snapshot_touch", f"""WITH {HISTORY}, log AS (SELECT product_id AS sku, price AS current_price, recorded_at AS scraped_at FROM history), sides AS (SELECT sku, bool_or(scraped_at < TIMESTAMP '2000-01-01') AS stored, bool_or(scraped_at >= TIMESTAMP '2000-01-01') AS came, min(scraped_at) AS first_at FROM log GROUP BY 1)
+    SELECT count(*) FILTER (stored AND came) AS updated, count(*) FILTER (stored AND NOT came) AS untouched, count(*) FILTER (NOT stored) AS inserted FROM sides""")
+def snapshot_touch(s, d):
+    """updated_at is set on the rows that an upsert updates, and on no others."""
+    log = c.price_history(s, d).select(F.col("product_id").alias("sku"), F.col("price").alias("current_price"), F.col("recorded_at").alias("scraped_at"), F.lit(None).cast("timestamp_ntz").alias("updated_at"))
+    new = F.col("scraped_at") >= F.lit("2000-01-01").cast("timestamp_ntz")
+    stored = upsert.latest(log.where(~new), ["sku"], ["scraped_at", "current_price"])
+    after = upsert.upsert(stored, log.where(new), ties=["current_price"], now=F.lit("2024-01-01").cast("timestamp_ntz"))
+    was = F.col("scraped_at") < F.lit("2000-01-01").cast("timestamp_ntz")
+    return after.agg(F.count("updated_at").alias("updated"), F.count_if(F.col("updated_at").isNull() & was).alias("untouched"), F.count_if(F.col("updated_at").isNull() & ~was).alias("inserted"))

@@ -34,14 +34,24 @@ def price_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"), F.count_if(F.col("l_returnflag") == "R").alias("bad"))
-    orders = read(spark, sf_dir, "orders")
+def orders_as_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of a job that need no look at its items."""
     status = F.when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "O", "running").otherwise("pending")
+    return read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), status.alias("status"), F.col("o_orderdate").alias("created_at"))
+
+
+def jobs(spark: SparkSession, sf_dir: str, few: DataFrame | None = None) -> DataFrame:
+    """All jobs, or only ``few`` (a handful of rows of ``orders_as_jobs``), whose items alone are then counted."""
+    own = orders_as_jobs(spark, sf_dir) if few is None else few
+    lines = read(spark, sf_dir, "lineitem")
+    if few is not None:
+        lines = lines.join(F.broadcast(few.select("id")), F.col("l_orderkey") == F.col("id"), "left_semi")
+    items = lines.groupBy("l_orderkey").agg(F.count("*").alias("n"), F.count_if(F.col("l_returnflag") == "R").alias("bad"))
     n, bad = F.coalesce("n", F.lit(0)), F.coalesce("bad", F.lit(0))
-    return orders.join(items, F.col("o_orderkey") == F.col("l_orderkey"), "left").select(
-        F.col("o_orderkey").alias("id"), F.lit("product").alias("job_type"), status.alias("status"), n.alias("total_items"), n.alias("processed_items"), (n - bad).alias("success_items"), bad.alias("failed_items"),
-        F.col("o_orderdate").alias("created_at"), F.col("o_orderdate").alias("started_at"), F.when(status == "completed", F.col("o_orderdate") + F.make_dt_interval(F.lit(0), n.cast("int"))).alias("completed_at"),
+    return own.join(items, F.col("id") == F.col("l_orderkey"), "left").select(
+        "id", F.lit("product").alias("job_type"), "status", n.alias("total_items"), n.alias("processed_items"), (n - bad).alias("success_items"), bad.alias("failed_items"),
+        "created_at", F.col("created_at").alias("started_at"), F.when(F.col("status") == "completed", F.col("created_at") + F.make_dt_interval(F.lit(0), n.cast("int"))).alias("completed_at"),
+        F.lit(None).cast("string").alias("target_url"), F.lit(None).cast("string").alias("error_message"),
     )
 
 

@@ -17,12 +17,19 @@ def export_csv(df: DataFrame, path: str) -> None:
 
 
 def serialised(df: DataFrame, drop: tuple[str, ...] = ("id", "created_at", "updated_at")) -> DataFrame:
-    """One JSON text a row: decimals as numbers, times in ISO 8601, without generated columns."""
+    """One JSON text a row: decimals as numbers, times in ISO 8601, nulls kept, but empty collections
+    for null ones; without generated columns."""
     columns = []
     for c, t in df.drop(*drop).dtypes:
         v = F.col(c)
-        columns.append((v.cast("double") if t.startswith("decimal") else F.date_format(v, "yyyy-MM-dd'T'HH:mm:ss") if t.startswith("timestamp") else v).alias(c))
-    return df.select(F.to_json(F.struct(*columns)).alias("json"))
+        if t.startswith("decimal"):
+            v = v.cast("double")
+        elif t.startswith("timestamp"):
+            v = F.date_format(v, "yyyy-MM-dd'T'HH:mm:ss")
+        elif t.startswith(("array", "map")):
+            v = F.coalesce(v, (F.array() if t.startswith("array") else F.create_map()).cast(t))
+        columns.append(v.alias(c))
+    return df.select(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).alias("json"))
 
 
 def write_snapshot(df: DataFrame, path: str) -> None:

@@ -19,21 +19,35 @@ def windowed_counts(pages: DataFrame, window: str = "1 hour", late: str = "2 hou
     return pages.withWatermark("scraped_at", late).groupBy(F.window("scraped_at", window)).agg(F.count("*").alias("pages"))
 
 
-def ingest(pages: DataFrame, root: str, checkpoint: str):
+def fold(stored: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(new snapshot, history to append, rejected rows) of landed pages with scraped_at. Of pages of
+    one product and time that with the lowest price counts, then that with the first address."""
+    valid, rejected = split_valid(extract(pages, "scraped_at"))
+    one = F.min_by(F.struct(*[c for c in valid.columns if c not in ("sku", "scraped_at")]), F.struct(F.col("current_price").isNull(), "current_price", "url"))
+    rows = valid.groupBy("sku", "scraped_at").agg(one.alias("r")).select("sku", "scraped_at", "r.*").withColumn("created_at", F.col("scraped_at")).select(*stored.columns)
+    return upsert(stored, rows), history_delta(stored, rows), rejected
+
+
+def ingest(pages: DataFrame, root: str, checkpoint: str, keep: int = 2):
     """Start a query that folds each micro-batch into ``root/snapshot/<n>`` and appends
     ``root/history`` and ``root/quarantine``. Snapshots are numbered by batch, so a batch that
-    runs again after a failure writes the same folders."""
+    runs again after a failure writes the same folders, from the snapshot before. Of the
+    snapshots the last ``keep`` (2 at least) stay."""
 
-    def fold(batch: DataFrame, number: int) -> None:
+    def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        times = batch.select("url", "scraped_at").withColumnRenamed("url", "__url")
-        valid, rejected = split_valid(extract(batch.drop("scraped_at")))
-        rows = valid.join(times, F.col("url").eqNullSafe(F.col("__url"))).drop("__url").dropDuplicates(["sku", "scraped_at"])
-        rows = rows.withColumn("created_at", F.col("scraped_at"))
+        kind = extract(batch, "scraped_at").withColumn("created_at", F.col("scraped_at")).schema
         before = f"{root}/snapshot/{number - 1}"
-        stored = spark.read.parquet(before) if number else spark.createDataFrame([], rows.schema)
-        upsert(stored, rows).write.mode("overwrite").parquet(f"{root}/snapshot/{number}")
-        history_delta(stored, rows).write.mode("overwrite").parquet(f"{root}/history/batch={number}")
-        rejected.write.mode("overwrite").parquet(f"{root}/quarantine/batch={number}")
-
-    return pages.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        stored = spark.read.schema(kind).parquet(before) if number else spark.createDataFrame([], kind)
+        landed = batch.persist()  # the three writes read the same rows
+        try:
+            snapshot, history, rejected = fold(stored, landed)
+            snapshot.write.mode("overwrite").parquet(f"{root}/snapshot/{number}")
+            history.write.mode("overwrite").parquet(f"{root}/history/batch={number}")
+            rejected.write.mode("overwrite").parquet(f"{root}/quarantine/batch={number}")
+        finally:
+            landed.unpersist()
+        if (old := number - max(2, keep)) >= 0:
+            spark.createDataFrame([], kind).limit(0).write.mode("overwrite").parquet(f"{root}/snapshot/{old}")  # emptied
+
+    return pages.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
