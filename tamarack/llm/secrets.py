@@ -1,23 +1,30 @@
 """Operator 7: secret scans with a random forest for false-positive removal.
 
-Candidates in whole texts are (1) the values assigned to a word that names a secret, quoted
-or up to white space, and the passwords of ``scheme://user:password@host``, whatever their
-length or characters (``named``), and (2) anywhere else maximal runs of ``[A-Za-z0-9_/+-]``
-of 24 bytes or more, or of 12 or more with two digits. A candidate's features are its length, character transitions and entropy, its
-coverage by dictionary words, its document's path (``source``) and the words beside it. The
-dictionary is the ``dictionary_words`` most frequent words of 3 to 8 ASCII letters, counted
-over all texts. A random forest, trained from labelled findings, votes; candidates with
-under half of the votes are dropped as false positives.
-
-Labelled findings are given as a table or, by default, follow from known formats and
-assignments (``weak_label``): those that neither rule decides are left to the forest.
-Training takes at most ``per_label`` findings of each label, chosen by hash; this bound is
-the only sampling. The forest (bounded by its number of trees and depth) goes to the
-executors as plain arrays, so texts are scored and redacted where they are read.
+Candidates in whole texts are (1) values that something names: those assigned to a word that
+names a secret, quoted or up to white space, passwords of ``scheme://user:password@host``,
+private keys in PEM and signed tokens of three parts, whatever their length or characters
+(``named``), and (2) anywhere else maximal runs of ``[A-Za-z0-9_/+-]`` of 24 bytes or more, or of
+12 or more with two digits (``runs``). A candidate's features (``describe``) are its length,
+characters and transitions, its coverage by dictionary words, what its document's path looks
+like and the words beside it. The dictionary is the ``dictionary_words`` most frequent words of
+3 to 16 bytes in any script, counted over all texts. A random forest, trained from labelled
+findings, votes; candidates with under half of the votes are dropped as false positives.
+
+Labelled findings come as a table or, where there is none, from planting: values that are
+secrets by construction, and values that only look like it (placeholders, numbers, digests,
+identifiers, words), are put into texts of the corpus and found again by the same search
+(``planted``), so no rule of this module decides a label. At most ``plant_texts`` texts, chosen
+by hash, ``findings`` plants and ``per_label`` findings of each label are used; these bounds are the only sampling.
+``held_out`` gives precision and recall on findings that took no part in training.
+
+The forest (bounded by its number of trees and depth) goes to the executors as plain arrays,
+read from its saved table of nodes, so texts are scored and redacted where they are read. Null
+and empty texts have no findings; repeated rows have theirs each; an empty table has none.
 """
 
 from __future__ import annotations
 
+import random
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -28,19 +35,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Words, ascii_lower, blocks, materialize, read_table, utf8
+from .common import Words, _powers, ascii_lower, blocks, materialize, read_table, utf8, workspace
 
-FEATURES = ["length", "digits", "upper", "transitions", "entropy", "dictionary", "hex", "known", "keyword", "assigned", "quoted", "linked", "prose", "path"]
-# Formats of access keys, words that name a secret, and what an assignment looks like.
-KNOWN = re.compile(rb"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|(?:sk|rk)_live_[A-Za-z0-9]{16,}|sk-[A-Za-z0-9]{20,}|AIza[A-Za-z0-9_-]{35}")
-KEYWORD = re.compile(rb"(?:password|passwd|pwd|token|secret|api[_-]?key|auth|credential|private[_-]?key|access[_-]?key)\W{0,5}$", re.I)
+FEATURES = ["length", "digits", "upper", "symbols", "transitions", "entropy", "dictionary", "hex", "known", "keyword", "assigned", "quoted", "linked", "stand_in", "prose", "test_path", "config_path"]
+# Formats of access keys, words that name a secret, what an assignment looks like, and parts of paths.
+KNOWN = re.compile(
+    rb"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|(?:sk|rk)_live_[A-Za-z0-9]{16,}|sk-[A-Za-z0-9]{20,}|AIza[A-Za-z0-9_-]{35}"
+    rb"|eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*|-----BEGIN [A-Z ]*PRIVATE KEY-----[^-]*(?:-----END [A-Z ]*PRIVATE KEY-----)?"
+)
+NAMES = rb"(?:password|passwd|pwd|token|secret|api[_-]?key|auth|credential|private[_-]?key|access[_-]?key)"
+KEYWORD = re.compile(NAMES + rb"\W{0,5}$", re.I)
 ASSIGNED = re.compile(rb"[=:]\s{0,2}[\"']?$")
-ASSIGNMENT = re.compile(rb"(?:password|passwd|pwd|token|secret|api[_-]?key|auth|credential|private[_-]?key|access[_-]?key)[\"'\])]{0,3}[ \t]{0,40}(?::=|=>|==|=|:)[ \t]{0,40}", re.I)
+NAMED_BEFORE = re.compile(NAMES + rb"[\"'\])]{0,3}[ \t]{0,40}$", re.I)
+OPERATOR = re.compile(rb"(?::=|=>|==|=|:)[ \t]{0,40}")
 QUOTED = re.compile(rb"\"((?:[^\"\\\n]|\\.)+)\"|'((?:[^'\\\n]|\\.)+)'")
 BARE = re.compile(rb"[^\s\"'][^\s]*")
 BARE_END = b".,;&)]}>\"'"
-USERINFO = re.compile(rb"(?<=[A-Za-z0-9+.-])://[^\s:/@\"'<>?#]*:([^\s/\"'<>?#]+)@")
+USERINFO = re.compile(rb"://[^\s:/@\"'<>?#]*:([^\s/\"'<>?#]+)@")
 LINKED = re.compile(rb"(?:://|@|www\.)[^\s]*$")
+TEST_PATH, CONFIG_PATH = re.compile("test|example|sample|mock|fixture|spec|demo|doc", re.I), re.compile(r"\.(?:env|ya?ml|json|ini|conf|cfg|properties|toml|pem|key|sh)$|config|settings|deploy", re.I)
+STAND_INS = ["changeme", "password", "example", "your_token_here", "YOUR_API_KEY", "xxxxxxxx", "********", "none", "null", "true", "false", "string", "todo", "placeholder", "insert_key_here", "os.environ", "getpass()", "undefined", "secret", "test"]
+STAND_IN = re.compile(b"|".join([rb"<.*>|\$\{.*\}|\$\w+|\{\{.*\}\}|(.)\1*", *(re.escape(x.encode()) for x in STAND_INS)]), re.I | re.S)
+LOOK_BACK = 64
 REDACTED = "[SECRET]"
 FINDINGS = "doc_id long, start_byte long, n_bytes int, kind string, secret_sha256 string, score double"
 
@@ -53,114 +69,236 @@ def _ranges(pairs) -> np.ndarray:
 
 
 TOKEN = _ranges([(48, 57), (65, 90), (97, 122), (95, 95), (45, 45), (43, 43), (47, 47)])
-DIGIT, LETTER = _ranges([(48, 57)]), _ranges([(65, 90), (97, 122)])
+DIGIT, LETTER = _ranges([(48, 57)]), _ranges([(65, 90), (97, 122), (128, 255)])
 _KIND = np.where(DIGIT, 0, np.where(_ranges([(65, 90)]), 1, np.where(_ranges([(97, 122)]), 2, 3)))
+_LOWER_HEX, _UPPER_HEX = DIGIT | _ranges([(97, 102)]), DIGIT | _ranges([(65, 70)])
 
 
-def candidates(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def runs(data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int]]:
     """(row, start, end) of runs of 12 bytes or more with two digits or more, and of 24 or more."""
     inside = TOKEN[data]
-    w = Words(data, offsets, inside, ascii_lower())
-    if not len(w.start):
-        return w.doc, w.start, w.end
-    size = w.end - w.start
-    digits = np.concatenate([[0], np.cumsum(DIGIT[data], dtype=np.int64)])
-    keep = ((size >= 12) & (digits[w.end] - digits[w.start] >= 2)) | (size >= 24)
-    return w.doc[keep], w.start[keep], w.end[keep]
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8)))
+    start, end = edges[::2], edges[1::2]
+    long = end - start >= 12
+    row_of = lambda at: np.searchsorted(offsets, at, "right") - 1
+    out = []
+    for a, z in zip(start[long].tolist(), end[long].tolist(), strict=True):
+        for row in range(int(row_of(a)), int(row_of(z - 1)) + 1):  # a run never spans two rows
+            lo, hi = max(a, int(offsets[row])), min(z, int(offsets[row + 1]))
+            if hi - lo >= 24 or (hi - lo >= 12 and DIGIT[data[lo:hi]].sum() >= 2):
+                out.append((row, lo, hi))
+    return out
+
+
+def _places(text: bytes, mark: bytes) -> Iterator[int]:
+    at = text.find(mark)
+    while at >= 0:
+        yield at
+        at = text.find(mark, at + 1)
 
 
 def named(data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int]]:
-    """(row, start, end) of assigned values and of passwords in addresses, whole. Where a bare value holds
-    further assignments, its parts between them are listed too, so no value hides another."""
+    """(row, start, end) of assigned values, passwords in addresses, private keys and signed tokens, whole.
+    Where a bare value holds further assignments, its parts between them are listed too, so no value hides another."""
     text, out, bare_end = data.tobytes(), set(), 0
 
-    def place(at: int) -> tuple[int, int]:
+    def place(at: int) -> tuple[int, int, int]:
         row = int(np.searchsorted(offsets, at, "right")) - 1
-        return row, int(offsets[row + 1])
+        return row, int(offsets[row]), int(offsets[row + 1])
 
     def bare(row: int, a: int, z: int) -> None:
         if size := len(text[a:z].rstrip(BARE_END)):
             out.add((row, a, a + size))
 
-    heads = [(m.start(), *place(m.start())) for m in ASSIGNMENT.finditer(text)]
-    for k, (at, row, end) in enumerate(heads):
-        if not (m := ASSIGNMENT.match(text, at, end)):  # it would span two rows
-            continue
-        a = m.end()
+    heads = []  # (where the name begins, row, where the value may begin, end of the row)
+    for at in np.flatnonzero((data == 61) | (data == 58)).tolist():
+        row, begin, end = place(at)
+        if (name := NAMED_BEFORE.search(text[max(begin, at - LOOK_BACK) : at])) and (m := OPERATOR.match(text, at, end)):
+            heads.append((max(begin, at - LOOK_BACK) + name.start(), row, m.end(), end))
+    for k, (_, row, a, end) in enumerate(heads):
+        following = heads[k + 1][0] if k + 1 < len(heads) else len(text)
         if v := QUOTED.match(text, a, end):
             out.add((row, *v.span(1 if v[1] else 2)))
         elif a < bare_end:  # inside the value before
-            bare(row, a, max(a, min(bare_end, heads[k + 1][0] if k + 1 < len(heads) else bare_end)))
+            bare(row, a, max(a, min(bare_end, following)))
         elif v := BARE.match(text, a, end):
             bare_end = v.end()
             bare(row, a, bare_end)
-            if k + 1 < len(heads) and a < heads[k + 1][0] < bare_end:
-                bare(row, a, heads[k + 1][0])
-    for m in USERINFO.finditer(text):
-        row, end = place(m.start())
-        if m.end() <= end:
+            if a < following < bare_end:
+                bare(row, a, following)
+    for at in _places(text, b"://"):
+        row, begin, end = place(at)
+        if at > begin and (m := USERINFO.match(text, at, end)):
             out.add((row, *m.span(1)))
+    for mark in (b"-----BEGIN ", b"eyJ"):
+        for at in _places(text, mark):
+            row, _, end = place(at)
+            if m := KNOWN.match(text, at, end):
+                out.add((row, *m.span()))
     return sorted(out)
 
 
-def _coverage(token: bytes, dictionary: frozenset) -> float:
-    low, covered = token.lower(), np.zeros(len(token), bool)
-    for i in range(len(low) - 2):
-        for n in range(8, 2, -1):
-            if low[i : i + n] in dictionary and i + n <= len(low):
-                covered[i : i + n] = True
-                break
-    return float(covered.mean())
-
-
-def describe(token: bytes, before: bytes, after: bytes, path: str | None, dictionary: frozenset, is_named: bool = False) -> list[float]:
-    """FEATURES of one candidate; ``before`` and ``after`` are its neighbouring bytes. A value in
-    ``named`` has a keyword and is assigned, and is not part of an address."""
-    b = np.frombuffer(token, np.uint8)
-    kinds = _KIND[b]
-    share = np.bincount(b) / len(b)
-    share = share[share > 0]
-    beside = re.findall(rb"[a-z]+", (before[-40:] + b" " + after[:40]).lower())
-    return [
-        float(np.log1p(len(b))), float((kinds == 0).mean()), float((kinds == 1).mean()), float((kinds[1:] != kinds[:-1]).mean()) if len(b) > 1 else 0.0,
-        float(-(share * np.log2(share)).sum()), _coverage(token, dictionary), float(re.fullmatch(rb"[0-9a-f]+|[0-9A-F]+", token) is not None), float(KNOWN.fullmatch(token) is not None),
-        float(is_named or KEYWORD.search(before) is not None), float(is_named or ASSIGNED.search(before) is not None), float(before[-1:] in (b'"', b"'") and after[:1] == before[-1:]),
-        float(not is_named and (LINKED.search(before) is not None or after[:1] in (b"@", b"."))), sum(x in dictionary for x in beside) / max(1, len(beside)),
-        (sum(map(ord, path)) % 16 if path else 0) / 16,
-    ]
-
-
-def weak_label(token: bytes, x: list[float]) -> int:
-    """1: a known format, or assigned to a word that names a secret (letters alone that are dictionary words throughout are
-    undecided there). 0: no digits, digits only, or in an address. -1: undecided."""
-    f = dict(zip(FEATURES, x, strict=True))
-    if f["known"] or (f["keyword"] and f["assigned"] and (0 < f["digits"] or f["dictionary"] < 1)):
-        return 1
-    if f["keyword"] and f["assigned"]:
-        return -1
-    return 0 if f["digits"] in (0, 1) or f["linked"] or not re.search(rb"[A-Za-z]", token) else -1
-
-
-def dictionary_of(docs: DataFrame, dictionary_words: int = 5000, text: str = "text") -> frozenset:
-    """The most frequent words of 3 to 8 ASCII letters (ties by the word), counted over all texts."""
+def _joined(data: np.ndarray, start: np.ndarray, end: np.ndarray, gap: int) -> tuple[np.ndarray, np.ndarray]:
+    """The slices end to end with ``gap`` zero bytes after each, and where each begins."""
+    size = end - start
+    first = np.cumsum(size + gap) - (size + gap)
+    out = np.zeros(int((size + gap).sum()), np.uint8)
+    inner = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    out[np.repeat(first, size) + inner] = data[np.repeat(start, size) + inner]
+    return out, first
+
+
+def describe(data: np.ndarray, offsets: np.ndarray, found: list[tuple[int, int, int, bool]], paths: list[str | None], dictionary: np.ndarray) -> np.ndarray:
+    """FEATURES of candidates (row, start, end, is named), a row each. ``dictionary``: sorted hashes
+    of words. A named value has a keyword and is assigned, and is not part of an address."""
+    row, start, end, is_named = (np.array(c) for c in zip(*found, strict=True))
+    size = end - start
+    x = np.zeros((len(row), len(FEATURES)))
+    f = {name: x[:, i] for i, name in enumerate(FEATURES)}
+    token, first = _joined(data, start, end, 1)
+    kinds, owner = _KIND[token], np.repeat(np.arange(len(row)), size + 1)
+    inner = np.ones(len(token), bool)
+    inner[first + size] = False
+    share = lambda mask: np.bincount(owner, mask & inner, len(row)) / size
+    f["length"][:] = np.log1p(size)
+    for i, name in ((0, "digits"), (1, "upper"), (3, "symbols")):
+        f[name][:] = share(kinds == i)
+    changes = np.concatenate([kinds[1:] != kinds[:-1], [False]]) & inner & np.concatenate([inner[1:], [False]])
+    f["transitions"][:] = np.bincount(owner, changes, len(row)) / np.maximum(size - 1, 1)
+    pair, n = np.unique(owner[inner] * 256 + token[inner], return_counts=True)
+    p = n / size[pair >> 8]
+    f["entropy"][:] = np.bincount(pair >> 8, -p * np.log2(p), len(row))
+    low = ascii_lower()[token].astype(np.uint64) + np.uint64(1)
+    letter, covered, h = LETTER[token], np.zeros(len(token) + 1, np.int32), np.zeros(len(token), np.uint64)
+    whole = np.ones(len(token), bool)  # the window at each place has letters only
+    for k, power in enumerate(_powers(16)[: min(16, len(token))]):
+        h = h[: len(token) - k] + low[k:] * power
+        whole = whole[: len(token) - k] & letter[k:]
+        if k >= 2 and len(dictionary):
+            at = np.flatnonzero(whole)
+            at = at[dictionary[np.minimum(np.searchsorted(dictionary, h[at]), len(dictionary) - 1)] == h[at]]
+            np.add.at(covered, at, 1)
+            np.add.at(covered, at + k + 1, -1)
+    f["dictionary"][:] = share(np.cumsum(covered[:-1]) > 0)
+    f["hex"][:] = (share(_LOWER_HEX[token]) == 1) | (share(_UPPER_HEX[token]) == 1)
+    lo, hi = np.maximum(start - 40, offsets[row]), np.minimum(end + 40, offsets[row + 1])
+    beside, at = _joined(data, np.stack([lo, end], 1).ravel(), np.stack([start, hi], 1).ravel(), 1)
+    w = Words(beside, np.append(at[::2], len(beside)), LETTER[beside], ascii_lower())
+    if len(dictionary) and len(w.start):
+        usual = dictionary[np.minimum(np.searchsorted(dictionary, w.hash), len(dictionary) - 1)] == w.hash
+        f["prose"][:] = np.bincount(w.doc, usual, len(row)) / np.maximum(np.bincount(w.doc, minlength=len(row)), 1)
+    for i, (r, a, z, own) in enumerate(found):
+        before, after = data[max(int(offsets[r]), a - LOOK_BACK) : a].tobytes(), data[z : min(int(offsets[r + 1]), z + 1)].tobytes()
+        f["known"][i] = KNOWN.fullmatch(data[a:z].tobytes()) is not None
+        f["stand_in"][i] = z - a > 1 and STAND_IN.fullmatch(data[a:z].tobytes()) is not None
+        f["keyword"][i] = own or KEYWORD.search(before) is not None
+        f["assigned"][i] = own or ASSIGNED.search(before) is not None
+        f["quoted"][i] = before[-1:] in (b'"', b"'") and after == before[-1:]
+        f["linked"][i] = not own and (LINKED.search(before) is not None or after in (b"@", b"."))
+        f["test_path"][i] = bool(paths[r]) and TEST_PATH.search(paths[r]) is not None
+        f["config_path"][i] = bool(paths[r]) and CONFIG_PATH.search(paths[r]) is not None
+    return x
+
+
+def dictionary_of(docs: DataFrame, dictionary_words: int = 5000, text: str = "text", least: int = 3) -> np.ndarray:
+    """Sorted 64-bit hashes of the most frequent words (ties by hash) of 3 to 16 bytes, counted over all texts; a rarer word than ``least`` may be a secret itself."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = (np.uint64(1) << (np.arange(8, dtype=np.uint64) * np.uint64(8)))[None]
         for whole in batches:
             for batch in blocks(whole, "__text"):
                 data, offsets = utf8(batch.column("__text"))
                 w = Words(data, offsets, LETTER[data], ascii_lower())
                 size = w.end - w.start
-                ok = (size >= 3) & (size <= 8)
-                start, size = w.start[ok], size[ok]
-                at = np.minimum(start[:, None] + np.arange(8), max(len(data) - 1, 0))
-                letters = np.where(np.arange(8) < size[:, None], ascii_lower()[data[at]] if len(data) else 0, 0).astype(np.uint64)
-                word, n = np.unique((letters * powers).sum(1, dtype=np.uint64), return_counts=True)
+                word, n = np.unique(w.hash[(size >= 3) & (size <= 16)], return_counts=True)
                 yield pa.RecordBatch.from_pydict({"word": word.view(np.int64), "n": n.astype(np.int64)})
 
     rows = docs.where(F.col(text).isNotNull()).select(F.col(text).alias("__text")).mapInArrow(count, "word long, n long")
-    top = rows.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(dictionary_words).collect()
-    return frozenset(r["word"].to_bytes(8, "little").rstrip(b"\0") for r in top)
+    top = rows.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(dictionary_words).collect()
+    return np.sort(np.array([r["word"] for r in top], np.int64).view(np.uint64))
+
+
+# --- labelled findings by planting ---------------------------------------------------------
+_ALNUM, _HEX = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "0123456789abcdef"
+# Names of assigned values and paths.
+_KEYS = ["password", "passwd", "pwd", "token", "secret", "api_key", "apikey", "auth", "credential", "private_key", "access_key", "client_secret", "DB_PASSWORD", "auth_token", "API-KEY"]
+_PLACEHOLDERS = [*STAND_INS, "<password>", "${TOKEN}", "$PASSWORD", "{{ secret }}"]
+_PATHS = ["src/app.py", "config/settings.yml", ".env", "deploy/run.sh", "lib/client.js", "web", "crawl-3", "notes.txt"]
+_TEST_PATHS = ["tests/test_auth.py", "docs/usage.md", "examples/demo.py", "spec/login_spec.rb"]
+
+
+def _pem(rng: random.Random, some) -> str:
+    kind, lines = rng.choice(["", "RSA ", "EC ", "OPENSSH "]), [some(_ALNUM + "+/", 10, 64) for _ in range(rng.randint(1, 20))]
+    return "\n".join([f"-----BEGIN {kind}PRIVATE KEY-----", *lines, f"-----END {kind}PRIVATE KEY-----"])
+
+
+def _plant(rng: random.Random, words: list[str]) -> tuple[str, str, int]:
+    """(text before the value and after it joined by a mark, value, label): a secret by construction, or a look-alike."""
+    some = lambda letters, a, b: "".join(rng.choice(letters) for _ in range(rng.randint(a, b)))
+    word = lambda: rng.choice(words)
+    key, quote = rng.choice(_KEYS), rng.choice(['"', "'", ""])
+    assigned = f"{key}{rng.choice(['=', ' = ', ': ', ':', ' := ', ' => '])}{quote}\0{quote}"
+    if rng.random() < 0.5:
+        known = ["AKIA" + some("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 16, 16), "ghp_" + some(_ALNUM, 36, 36), "sk_live_" + some(_ALNUM, 24, 24), "xoxb-" + some("0123456789", 11, 11) + "-" + some(_ALNUM, 24, 24), "AIza" + some(_ALNUM, 35, 35), "eyJ" + ".".join(some(_ALNUM, 16, 60) for _ in range(3)), _pem(rng, some)]
+        value = rng.choice([
+            some(_HEX, 16, 64), some(_ALNUM, 8, 48), some(_ALNUM + "+/", 20, 60), some(_ALNUM + "!#%^*?~", 6, 20), word()[:12] + some("0123456789", 1, 4), word().title() + rng.choice("!#*?") + some("0123456789", 2, 4), some("abcdefghijklmnopqrstuvwxyz", 1, 20), some(_ALNUM, 1, 7), some("abcdefghijklmnopqrstuvwxyz", 2, 6) + some("abcdefghijklmnopqrstuvwxyz", 6, 14), rng.choice(known),
+        ])
+        if quote and rng.random() < 0.15:  # a pass phrase
+            value = " ".join([*(some("abcdefghijklmnopqrstuvwxyzäéü", 1, 8) for _ in range(rng.randint(1, 4))), rng.choice(["", "!", '\\"é', "7"])]).strip()
+        if rng.random() < 0.15:
+            return f"{rng.choice(['https', 'redis', 'postgres', 'ftp'])}://{word()}:\0@{word()}.example.net/", re.sub(r"[/\"'<>?#@]", "x", value), 1
+        if rng.random() < 0.2:
+            return "\0", rng.choice([*known, some(_ALNUM, 32, 64)]), 1
+        return assigned, value, 1
+    value = rng.random()
+    if value < 0.35:
+        return assigned, rng.choice(_PLACEHOLDERS), 0
+    if value < 0.45:
+        return f"{key}: \0 {word()} {word()}", word(), 0
+    digest = f"{rng.choice(['commit', 'sha256', 'digest', 'checksum', 'revision', 'etag', 'id', 'uuid'])} \0"
+    number, names = some("0123456789", 12, 24), [word() for _ in range(4)]
+    return rng.choice([
+        (digest, some(_HEX, 32, 64), 0), (digest, "-".join(some(_HEX, k, k) for k in (8, 4, 4, 4, 12)), 0), ("\0", number, 0), ("\0", f"{number[:3]}-{number[3:7]}-{number[7:12]}", 0), ("mail \0@example.com", f"{names[0]}{number[:9]}", 0),
+        ("http://www.example.com/\0.html", f"{'-'.join(names)}-{number[:4]}", 0), ("\0", "".join(n.title() for n in names) + "Handler" + number[:2], 0), ("\0", "_".join(names) + f"_{number[:3]}", 0), ("\0", "".join(names) + "ungskeitschaft", 0), ("\0", f"img_{number[:8]}_{number[8:12]}", 0), ("\0", f"{'/'.join(names)}/{number[:6]}", 0),
+    ])
+
+
+def planted(docs: DataFrame, dictionary: np.ndarray, plant_texts: int = 1500, findings: int = 15_000, text: str = "text") -> DataFrame:
+    """(x, label, h): labelled findings. Values are put between words of texts chosen by hash and found again."""
+    shared = docs.sparkSession.sparkContext.broadcast(dictionary)
+    rows = docs.where(F.length(text) > 0).select(F.substring(text, 1, 4000).alias("__text"), F.xxhash64(text).alias("h"))
+    n = rows.count()
+    near = rows.where(F.pmod("h", F.lit(1 << 20)) < min(1.0, 2 * plant_texts / max(n, 1) + 0.001) * (1 << 20)).dropDuplicates(["h"])
+    few = near.orderBy("h").limit(plant_texts)
+    plants = -(-findings // max(1, min(n, plant_texts)))  # of each text
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, spans, labels, paths, hs = [], [], [], [], []
+            for t, h in zip(batch.column("__text").to_pylist(), batch.column("h").to_pylist(), strict=True):
+                rng = random.Random(h)
+                words = [x for x in re.findall(r"[^\W\d_]{3,12}", t)] or ["some", "words"]
+                for _ in range(plants):
+                    around, value, label = _plant(rng, words)
+                    at = rng.randint(0, len(t))
+                    before, after = around.split("\0")
+                    head = (t[max(0, at - 200) : at] + rng.choice([" ", "\n"]) + before).encode()
+                    texts.append(head + value.encode() + (after + " " + t[at : at + 200]).encode())
+                    spans.append((len(head), len(head) + len(value.encode())))
+                    labels.append(float(label))
+                    paths.append(rng.choice(_TEST_PATHS if rng.random() < (0.1 if label else 0.4) else _PATHS))
+                    hs.append(rng.getrandbits(62))
+            data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+            best = {}
+            for c in _candidates(data, offsets):  # of each text the candidate that overlaps its value most
+                a, z = spans[c[0]][0] + offsets[c[0]], spans[c[0]][1] + offsets[c[0]]
+                if (overlap := min(c[2], z) - max(c[1], a)) > 0 and overlap > best.get(c[0], (0,))[0]:
+                    best[c[0]] = overlap, c
+            rows = sorted(best)
+            if rows:
+                x = describe(data, offsets, [best[i][1] for i in rows], paths, shared.value)
+                yield pa.RecordBatch.from_pydict({"x": pa.array(list(x), pa.list_(pa.float64())), "label": pa.array([labels[i] for i in rows], pa.float64()), "h": pa.array([hs[i] for i in rows], pa.int64())})
+
+    return few.mapInArrow(run, "x array<double>, label double, h long")
 
 
 @dataclass
@@ -182,71 +320,25 @@ class Forest:
         return total / len(self.trees)
 
 
-def _parsed(text: str) -> Forest:
-    """A forest from Spark's description of it (``toDebugString``)."""
-    trees, nodes, open_nodes = [], [], []
-
-    def add(row):
-        nodes.append(row)
-        if open_nodes:
-            parent, side = open_nodes[-1]
-            nodes[parent][side] = len(nodes) - 1
-        return len(nodes) - 1
-
-    def close():
-        if nodes:
-            trees.append(tuple(np.array(c) for c in zip(*nodes, strict=True)))
-
-    for line in text.split("\n"):
-        line = line.strip()
-        if line.startswith("Tree "):
-            close()
-            nodes, open_nodes = [], []
-        elif m := re.match(r"If \(feature (\d+) <= ([^)]+)\)", line):
-            open_nodes.append([add([int(m[1]), float(m[2]), 0, 0, 0.0]), 2])
-        elif line.startswith("Else"):
-            open_nodes[-1][1] = 3
-        elif m := re.match(r"Predict: ([\d.]+)", line):
-            add([-1, 0.0, 0, 0, float(m[1])])
-            while open_nodes and open_nodes[-1][1] == 3:
-                open_nodes.pop()
-    close()
+def exported(model) -> Forest:
+    """A fitted Spark forest, from the table of nodes that saving it writes."""
+    spark = SparkSession.getActiveSession()
+    path = workspace(spark, "forest")
+    model.write().save(path)
+    node = "nodeData."
+    rows = spark.read.parquet(f"{path}/data").select("treeID", *[F.col(node + c).alias(c) for c in ("id", "prediction", "leftChild", "rightChild")], F.col(node + "split.featureIndex").alias("feature"), F.get(node + "split.leftCategoriesOrThreshold", F.lit(0)).alias("threshold"))
+    trees = []
+    for _, nodes in groupby(sorted(rows.collect(), key=lambda r: (r["treeID"], r["id"])), key=lambda r: r["treeID"]):  # bounded by trees and depth
+        nodes = list(nodes)
+        leaf = [r["leftChild"] < 0 for r in nodes]
+        trees.append((
+            np.array([-1 if end else r["feature"] for r, end in zip(nodes, leaf, strict=True)]), np.array([0.0 if end else r["threshold"] for r, end in zip(nodes, leaf, strict=True)]),
+            np.array([r["leftChild"] for r in nodes]), np.array([r["rightChild"] for r in nodes]), np.array([r["prediction"] for r in nodes]),
+        ))
     return Forest(trees)
 
 
-def _found(batch: pa.RecordBatch, dictionary: frozenset):
-    """(row, start in the row, token, features) of the candidates of a batch with __text and __path."""
-    data, offsets = utf8(batch.column("__text"))
-    paths = batch.column("__path").to_pylist()
-    own = set(named(data, offsets))
-    for row, a, z in sorted(own.union(zip(*(v.tolist() for v in candidates(data, offsets)), strict=True))):
-        lo, hi = int(offsets[row]), int(offsets[row + 1])
-        token = data[a:z].tobytes()
-        yield row, a - lo, token, describe(token, data[max(lo, a - 64) : a].tobytes(), data[z : min(hi, z + 64)].tobytes(), paths[row], dictionary, (row, a, z) in own)
-
-
-def _inputs(docs: DataFrame, keep: list[str]) -> DataFrame:
-    path = F.col("source").cast("string") if "source" in docs.columns else F.lit(None).cast("string")
-    return docs.select(*keep, F.coalesce("text", F.lit("")).alias("__text"), path.alias("__path"))
-
-
-def weakly_labelled(docs: DataFrame, dictionary: frozenset) -> DataFrame:
-    """(x, label, h) of the candidates that the rules decide."""
-    shared = docs.sparkSession.sparkContext.broadcast(dictionary)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in blocks(whole, "__text"):
-                rows = [(x, y, t) for _, _, t, x in _found(batch, shared.value) if (y := weak_label(t, x)) >= 0]
-                if rows:
-                    x, y, t = zip(*rows, strict=True)
-                    yield pa.RecordBatch.from_pydict({"x": pa.array(x, pa.list_(pa.float64())), "label": pa.array(y, pa.float64()), "token": pa.array(t, pa.binary())})
-
-    found = _inputs(docs, []).mapInArrow(run, "x array<double>, label double, token binary")
-    return found.select("x", "label", F.xxhash64("token").alias("h"))
-
-
-def train(findings: DataFrame, per_label: int = 5000, trees: int = 40, depth: int = 6) -> Forest | None:
+def train(findings: DataFrame, per_label: int = 5000, trees: int = 40, depth: int = 8) -> Forest | None:
     """Fit on rows of (x, label, h); None if there aren't findings of both labels."""
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.functions import array_to_vector
@@ -255,36 +347,62 @@ def train(findings: DataFrame, per_label: int = 5000, trees: int = 40, depth: in
     if len(counts) < 2:
         return None
     share = F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, min(1.0, 1.5 * per_label / n + 0.001))])
-    near = findings.where(F.pmod(F.col("h"), F.lit(1 << 20)) < share[F.col("label")] * (1 << 20)).dropDuplicates(["h"])
+    near = findings.where("label in (0, 1)").where(F.pmod(F.col("h"), F.lit(1 << 20)) < share[F.col("label")] * (1 << 20)).dropDuplicates(["h"])
     few = near.withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy("h"))).where(F.col("r") <= per_label)
-    few = materialize(few.select("x", "label"), "findings").select(array_to_vector("x").alias("features"), "label")
-    model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=7, featuresCol="features", labelCol="label").fit(few)
-    return _parsed(model.toDebugString)
+    few = materialize(few.select("x", "label").coalesce(1), "findings").select(array_to_vector("x").alias("features"), "label")
+    return exported(RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=7, featuresCol="features", labelCol="label").fit(few))
+
+
+def held_out(findings: DataFrame, forest: Forest) -> tuple[float, float]:
+    """(precision, recall) on labelled findings."""
+    rows = findings.select("x", "label").toArrow()
+    y = rows.column("label").to_numpy()
+    yes = forest.votes(np.array(rows.column("x").to_pylist())) >= 0.5
+    hit = (yes & (y == 1)).sum()
+    return hit / max(1, yes.sum()), hit / max(1, (y == 1).sum())
+
 
+#: A fifth of the labelled findings is held out of training.
+IS_HELD_OUT = "pmod(shiftright(h, 20), 5) = 0"
 
-def fit(docs: DataFrame, labelled: DataFrame | None = None) -> tuple[frozenset, Forest | None]:
+
+def fit(docs: DataFrame, labelled: DataFrame | None = None) -> tuple[np.ndarray, Forest | None]:
+    """(dictionary, forest) from labelled findings (x, label, h), or from planted ones."""
     dictionary = dictionary_of(docs)
     if labelled is None:
-        labelled = materialize(weakly_labelled(docs, dictionary), "labelled")
-    return dictionary, train(labelled)
+        labelled = materialize(planted(docs, dictionary), "labelled")
+    return dictionary, train(labelled.where(f"not ({IS_HELD_OUT})"))
+
 
+def _candidates(data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, bool]]:
+    """(row, start, end, is named) of all candidates, each place once."""
+    own = named(data, offsets)
+    return sorted([(*c, True) for c in own] + [(*c, False) for c in set(runs(data, offsets)).difference(own)])
 
-def _judged(batch: pa.RecordBatch, dictionary: frozenset, forest: Forest | None):
-    """(row, start, token, features, score) of the findings of a batch, in order; none lies within another.
-    Without a forest the rules alone decide."""
-    found = list(_found(batch, dictionary))
+
+def _judged(batch: pa.RecordBatch, dictionary: np.ndarray, forest: Forest | None):
+    """(row, start, token, features, score) of the findings of a batch, in order; none lies within
+    another. Without a forest the known formats and named values are the findings."""
+    data, offsets = utf8(batch.column("__text"))
+    found = _candidates(data, offsets)
     if not found:
         return []
-    scores = forest.votes(np.array([f[3] for f in found])) if forest else [float(weak_label(f[2], f[3]) == 1) for f in found]
+    x = describe(data, offsets, found, batch.column("__path").to_pylist(), dictionary)
+    scores = forest.votes(x) if forest else np.maximum(x[:, FEATURES.index("known")], [c[3] for c in found])
     kept, end = [], {}
-    for f, s in sorted(zip(found, scores, strict=True), key=lambda p: (p[0][0], p[0][1], -len(p[0][2]))):
-        if s >= 0.5 and f[1] + len(f[2]) > end.get(f[0], 0):
-            end[f[0]] = f[1] + len(f[2])
-            kept.append((*f, float(s)))
+    for (row, a, z, _), f, s in sorted(zip(found, x, scores.tolist(), strict=True), key=lambda p: (p[0][0], p[0][1], -p[0][2])):
+        if s >= 0.5 and z > end.get(row, 0):
+            end[row] = z
+            kept.append((row, a - int(offsets[row]), data[a:z].tobytes(), f, s))
     return kept
 
 
-def scan(docs: DataFrame, model: tuple[frozenset, Forest | None]) -> DataFrame:
+def _inputs(docs: DataFrame, keep: list[str]) -> DataFrame:
+    path = F.col("source").cast("string") if "source" in docs.columns else F.lit(None).cast("string")
+    return docs.select(*keep, F.coalesce("text", F.lit("")).alias("__text"), path.alias("__path"))
+
+
+def scan(docs: DataFrame, model: tuple[np.ndarray, Forest | None]) -> DataFrame:
     """A row a finding: doc_id, place in bytes of the text, kind (``key`` for known formats, else
     ``assigned`` or ``token``), digest of the secret and score. Null and empty texts have none;
     repeated rows have theirs each."""
@@ -297,7 +415,7 @@ def scan(docs: DataFrame, model: tuple[frozenset, Forest | None]) -> DataFrame:
             for batch in blocks(whole, "__text"):
                 if found := _judged(batch, *shared.value):
                     row, start, token, x, score = zip(*found, strict=True)
-                    kind = ["key" if f[7] else "assigned" if f[9] else "token" for f in x]
+                    kind = ["key" if f[FEATURES.index("known")] else "assigned" if f[FEATURES.index("assigned")] else "token" for f in x]
                     yield pa.RecordBatch.from_arrays(
                         [batch.column("doc_id").take(pa.array(row)), pa.array(start, pa.int64()), pa.array([len(t) for t in token], pa.int32()), pa.array(kind), pa.array([hashlib.sha256(t).hexdigest() for t in token]), pa.array(score)],
                         names=[c.split()[0] for c in FINDINGS.split(", ")],
@@ -306,7 +424,7 @@ def scan(docs: DataFrame, model: tuple[frozenset, Forest | None]) -> DataFrame:
     return _inputs(docs, ["doc_id"]).mapInArrow(run, FINDINGS)
 
 
-def redact(docs: DataFrame, model: tuple[frozenset, Forest | None]) -> DataFrame:
+def redact(docs: DataFrame, model: tuple[np.ndarray, Forest | None]) -> DataFrame:
     """docs with each finding in text replaced by ``[SECRET]``; n_chars, where there is one and the
     text changed, is that of the new text. All rows and columns stay; null text stays null."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -336,6 +454,13 @@ def redact(docs: DataFrame, model: tuple[frozenset, Forest | None]) -> DataFrame
     return _inputs(docs, names).mapInArrow(run, docs.schema)
 
 
+def precision_recall(docs: DataFrame) -> tuple[float, float]:
+    """On planted findings that took no part in training."""
+    dictionary = dictionary_of(docs)
+    findings = materialize(planted(docs, dictionary), "labelled")
+    return held_out(findings.where(IS_HELD_OUT), train(findings.where(f"not ({IS_HELD_OUT})")))
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return scan(docs, fit(docs))
