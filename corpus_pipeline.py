@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamarack.llm import bpe_codec, decontaminate, language_id, secrets, simhash
-from tamarack.llm.common import materialize, read_table
+from tamarack.llm.common import discard, discarding, materialize, read_table, workspace
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 LEAST_POSTERIOR = 0.5
@@ -67,7 +67,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
+    """The stages in order. Each one's result is kept until the next is written; what a stage has
+    written for itself goes with it."""
+    docs, before = read_table(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        path = workspace(spark, f"stage-{name}")
+        with discarding(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        discard(spark, before)
+        docs, before = spark.read.parquet(path), [path]
     return docs

@@ -57,10 +57,15 @@ def discarding(spark: SparkSession) -> Iterator[None]:
     try:
         yield
     finally:
-        for path in _given[before:]:
-            place = spark._jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-        del _given[before:]
+        discard(spark, _given[before:])
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Remove folders that ``workspace`` has given out."""
+    for path in list(paths):
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        _given.remove(path)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

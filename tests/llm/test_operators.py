@@ -192,15 +192,30 @@ def test_decontamination_of_short_items_and_unspaced_scripts(spark):
 def test_token_counts_are_the_librarys(docs, none):
     path = public_tokenizers.path("byte_bpe_50k.json")
     tok = token_counts.load(path)
-    got = token_counts.count_tokens(docs, path, ["doc_id", "score"], batch_bytes=200)
-    rows = {r.doc_id: r for r in got.where("doc_id is not null").collect()}
-    for i, t in enumerate(TEXTS):
-        n = len(tok.encode(t or "", add_special_tokens=False))
-        assert (rows[i].n_tokens, rows[i].n_bytes, rows[i].over_limit) == (n, len((t or "").encode()), n > 512)
-        assert "".join(token_counts.pieces(t or "")) == (t or "")
+    got = token_counts.count_tokens(docs, path, ["doc_id", "score", "n_tokens"], batch_bytes=200)
+    assert got.columns == ["doc_id", "score", "n_bytes", "n_tokens", "over_limit"]
+    rows = got.collect()
+    assert sorted(-1 if r.doc_id is None else r.doc_id for r in rows) == sorted([*range(len(TEXTS)), 5, -1])
+    for r in rows:
+        t = TEXTS[11 if r.doc_id is None else r.doc_id] or ""
+        n = len(tok.encode(t, add_special_tokens=False))
+        assert (r.n_tokens, r.n_bytes, r.over_limit) == (n, len(t.encode()), n > 512)
+        assert "".join(token_counts.pieces(t)) == t
     assert token_counts.count_tokens(none, path, ["doc_id"]).count() == 0
 
 
+def test_token_pieces_of_long_unspaced_texts():
+    tok = token_counts.load(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = random.Random(2)
+    han = lambda n: "".join(chr(rng.randrange(0x4E00, 0x9FA0)) for _ in range(n))
+    draw = lambda: rng.choice([han(rng.randrange(1, 40)), "，", "。", "！", "'s", "'", "\n", "\n\n ", "\t", " ", "  ", "x" * rng.randrange(90), "12", "\x1c", "\x85", "!?", "é", "<|endoftext|>", "ひらがな"])
+    for _ in range(400):
+        t = "".join(draw() for _ in range(40))
+        cut = token_counts.pieces(t)
+        assert "".join(cut) == t and sum(len(tok.encode(p, add_special_tokens=False)) for p in cut) == len(tok.encode(t, add_special_tokens=False)), t
+    assert max(map(len, token_counts.pieces("，".join(han(30) for _ in range(300))))) < 40
+
+
 @pytest.mark.parametrize("table_bytes", [1 << 20, 4000, 0])
 def test_bpe_codec_is_the_librarys(docs, none, table_bytes):
     path = public_tokenizers.path("word_bpe_49k.json")
@@ -503,16 +518,92 @@ def test_fingerprints(spark, docs, none):
     assert fingerprint.with_next(none).count() == 0
 
 
-def test_pipeline_against_its_parts(spark, sf_dir):
+def plain_pipeline(rows, items, language, dictionary_and_forest):
+    """The stages over plain rows {doc_id: text}: fingerprints and windows of all pairs, no tables, joins or LSH.
+    The fitted language model and forest are given; their own results have tests of their own."""
+    from xxhash import xxh64_intdigest
+
+    kept = {}
+    for i, t in rows.items():
+        data, bits = np.frombuffer((t or "").encode(), np.uint8), None
+        if any(c.isalpha() for c in t or ""):
+            bits = language_id.code_lengths(language, data, np.array([0, len(data)]))[0]
+            if 1 / np.exp2(np.maximum(bits.min() - bits, -1000)).sum() >= 0.5:
+                kept[i] = t
+    fps = {}
+    for i, t in kept.items():
+        words = t.encode().lower().split()
+        hs = [xxh64_intdigest(b" ".join(words[k : k + 4]), 42) for k in range(max(1, len(words) - 3))] if words else []
+        fps[i] = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
+    ids, gone = sorted(kept), set()
+    for n, i in enumerate(ids):  # components by flooding from each smallest id
+        if i in gone:
+            continue
+        group, todo = {i}, [i]
+        while todo:
+            f = fps[todo.pop()]
+            near = [j for j in ids[n + 1 :] if j not in group and (f ^ fps[j]).bit_count() <= 4]
+            group.update(near)
+            todo += near
+        gone |= group - {i}
+    texts = {i: kept[i] for i in ids if i not in gone}
+    import re
+
+    fold = lambda t: re.findall(r"[a-z0-9\u0080-\U0010ffff]+", t.lower())
+    for item in items:
+        d = fold(item or "")
+        for i in list(texts):
+            t = fold(texts[i])
+            if d and len(set(d) & set(t)) >= len(set(d)) * 0.7:  # else more than a fifth of its words is missing
+                row = [0] * (len(t) + 1)
+                for a, x in enumerate(d, 1):
+                    new = [a]
+                    for b, y in enumerate(t, 1):
+                        new.append(min(row[b] + 1, new[-1] + 1, row[b - 1] + (x != y)))
+                    row = new
+                if min(row) <= decontaminate.edits_allowed(len(d)):
+                    del texts[i]
+    tok = token_counts.load(public_tokenizers.path("word_bpe_49k.json"))
+    out, forest = {}, dictionary_and_forest
+    for i, t in texts.items():
+        raw, last, parts = t.encode(), 0, []
+        data, offsets = np.frombuffer(raw, np.uint8), np.array([0, len(raw)])
+        found = secrets._candidates(data, offsets)
+        scores = forest[1].votes(secrets.describe(data, offsets, found, ["x"], forest[0])) if found else []
+        for (_, a, z, _), s in sorted(zip(found, scores, strict=True), key=lambda c: (c[0][1], -c[0][2])):
+            if s >= 0.5 and z > last:
+                parts += [raw[last:a], b"[SECRET]"] if a >= last else []
+                last = z
+        clean = b"".join([*parts, raw[last:]]).decode()
+        ids = tok.encode(clean, add_special_tokens=False).ids
+        sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+        out[i] = (len(ids), sha(" ".join(map(str, ids))), sha(tok.decode(ids, skip_special_tokens=False)))
+    return out
+
+
+def test_pipeline_against_a_plain_one(spark, sf_dir):
     import corpus_pipeline
 
     assert len(corpus_pipeline.STAGES) == 5 and corpus_pipeline.ORACLE_SQL is None
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    kept = {r.doc_id for r in simhash.near_duplicates(docs).where("doc_id = component_id").collect()}
-    dirty = {r.doc_id for r in decontaminate.op3_decontaminate(spark, sf_dir).collect()}
-    und = {r.doc_id for r in language_id.op1_language_id(spark, sf_dir).where("lang_pred = 'und'").collect()}
-    got = corpus_pipeline.run(spark, sf_dir)
-    assert {r.doc_id for r in got.collect()} == kept - dirty - und
+    kept_rows, models = docs, {}
+    fit, train = secrets.fit, language_id.train
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(secrets, "fit", lambda d: models.setdefault("forest", fit(d)))
+        patch.setattr(language_id, "train", lambda d: models.setdefault("language", train(d)))
+        before = list(common._given)
+        got = {r.doc_id: tuple(r)[1:] for r in corpus_pipeline.run(spark, sf_dir).collect()}
+    assert len(common._given) == len(before) + 1  # only the last stage's folder stays
+    items = [r.text for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    plain = plain_pipeline({r.doc_id: r.text for r in kept_rows.collect()}, items, models["language"], models["forest"])
+    assert set(got) == set(plain)
+    assert got == plain
+
+
+def test_pipeline_dedup_of_repeated_rows(spark, sf_dir):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     twice = docs.limit(3).union(docs.limit(3)).union(docs.limit(1).withColumn("doc_id", F.lit(None).cast("long")))
     assert corpus_pipeline.dedup_stage(spark, twice, sf_dir).count() == docs.limit(3).select("text").distinct().count()
 
