@@ -43,9 +43,9 @@ from .token_counts import load
 #: A chunk of more characters is neither counted for the table nor remembered.
 LONG = 256
 #: Chunks that a task remembers at most.
-REMEMBER = 250_000
+REMEMBER = 150_000
 #: Texts whose results a task remembers at most, 300 bytes each.
-REMEMBER_TEXTS = 50_000
+REMEMBER_TEXTS = 20_000
 #: Latin, Cyrillic, kana, Han and Hangul letters that stay as they are under the tokenizer's normaliser, but for case.
 _LETTERS = r"A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f\u0400-\u045f\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3"
 _MARKS = r'.,;:!?"()\[\]#&%*$+=@/_\-\u3001\u3002\u300c\u300d\uff01\uff08\uff09\uff0c\uff1a\uff1b\uff1f'
@@ -178,7 +178,7 @@ class Codec:
         return [self.texts[k] for k in keys]
 
 
-def encode_decode(docs: DataFrame, path: str, keep: list[str], text: str = "text", table_bytes: int = 64 << 20) -> DataFrame:
+def encode_decode(docs: DataFrame, path: str, keep: list[str], text: str = "text", table_bytes: int = 32 << 20) -> DataFrame:
     """Columns ``keep`` of docs with n_tokens, ids_sha256 and decoded_sha256. ``table_bytes``
     bounds what is broadcast; it doesn't change results."""
     keep = kept(keep, RESULTS)

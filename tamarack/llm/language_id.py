@@ -20,7 +20,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -141,9 +140,11 @@ def train(docs: DataFrame, per_language: int = 300, span: int = 30_000) -> Model
     cut = near.select("lang", "h", F.substring("text", begin, F.lit(span)).alias("text")).dropDuplicates(["h"])
     few = cut.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= per_language)
 
-    def fit(rows: pd.DataFrame) -> pd.DataFrame:
+    def fit(rows):
         import pickle
 
+        import pandas as pd
+
         return pd.DataFrame({"lang": [rows.lang.iloc[0]], "tree": [pickle.dumps(build([t.encode() for t in rows.text]))]})
 
     import pickle
@@ -155,8 +156,8 @@ def train(docs: DataFrame, per_language: int = 300, span: int = 30_000) -> Model
 def code_lengths(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Bits of each text under each language."""
     out = np.zeros((len(offsets) - 1, len(model.trees)))
-    for a in range(0, len(data), 1 << 19):
-        lo, b = max(0, a - ORDER), min(len(data), a + (1 << 19))
+    for a in range(0, len(data), 1 << 18):
+        lo, b = max(0, a - ORDER), min(len(data), a + (1 << 18))
         part = data[lo:b]
         place = np.arange(lo, b) - offsets[np.searchsorted(offsets, np.arange(lo, b), "right") - 1]  # within the text
         four, three = windows(part, 4), windows(part, 3)
