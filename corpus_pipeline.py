@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamarack.llm import bpe_codec, decontaminate, language_id, secrets, simhash
-from tamarack.llm.common import discard, discarding, materialize, read_table, workspace
+from tamarack.llm.common import bounded_batches, discard, discarding, materialize, read_table, workspace
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 LEAST_POSTERIOR = 0.5
@@ -20,6 +20,7 @@ LEAST_POSTERIOR = 0.5
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or whose language isn't clear, go. Trained as op1 is."""
+    bounded_batches(spark)
     model = language_id.train(docs.where(F.crc32(F.col("doc_id").cast("string")) % 4 != 2))
     found = language_id.identify(docs, model, COLUMNS)
     return found.where((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= LEAST_POSTERIOR)).select(*COLUMNS)

@@ -191,7 +191,7 @@ def encode_decode(docs: DataFrame, path: str, keep: list[str], text: str = "text
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(path, table.value)
         for whole in batches:
-            for batch in blocks(whole, "__text"):
+            for batch in blocks(whole, "__text", 1 << 19):
                 n, coded, plain = zip(*codec.results(batch.column("__text").to_pylist()), strict=True)
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(n, pa.int64()), pa.array(coded, pa.string()), pa.array(plain, pa.string())], names=schema.names)
 

@@ -23,7 +23,20 @@ from pyspark.sql import DataFrame, SparkSession
 BLOCK_BYTES = 2 << 20
 
 
+#: Bytes of a batch of rows that goes to a Python worker; ten thousand long texts would not fit one.
+ARROW_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the session's bound on batches to ARROW_BATCH, unless it is lower already."""
+    key, most = ARROW_BATCH
+    held = spark.conf.get(key, "")
+    if not (held.isdigit() and 0 < int(held) <= most):
+        spark.conf.set(key, most)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -70,6 +83,7 @@ def discard(spark: SparkSession, paths: list[str]) -> None:
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write a table to the shared folder and read it again: cuts lineage, survives lost executors."""
+    bounded_batches(df.sparkSession)
     path = workspace(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
