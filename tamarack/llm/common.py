@@ -28,11 +28,11 @@ ARROW_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Lower the session's bound on batches to ARROW_BATCH, unless it is lower already."""
+    """Lower the session's bound on batches to ARROW_BATCH where it is Spark's default of 64 MB or more; one that was set in other units stays."""
     key, most = ARROW_BATCH
-    held = spark.conf.get(key, "")
-    if not (held.isdigit() and 0 < int(held) <= most):
-        spark.conf.set(key, most)
+    held = spark.conf.get(key).lower().removesuffix("b")
+    if held in ("", "-1", "64m") or (held.isdigit() and int(held) > most):
+        spark.conf.set(key, str(most))
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
