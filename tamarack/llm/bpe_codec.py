@@ -62,6 +62,8 @@ def chunks(text: str) -> list[str]:
 
 
 def units(chunk: str) -> list[str]:
+    if chunk.isascii() and chunk.isalpha():
+        return [chunk.lower()]
     return [u.lower() for u in _UNIT.findall(chunk)] if _PLAIN.fullmatch(chunk) else [chunk]
 
 
@@ -150,7 +152,7 @@ class Codec:
         self.texts: dict[bytes, tuple[int, str, str]] = {}
 
     def learn(self, new: set[str]) -> dict[str, tuple[str, str]]:
-        """(coded, plain) of these chunks; those of up to LONG characters are remembered."""
+        """(coded, plain) of these chunks; the first that a task meets are remembered, the frequent ones among them."""
         cut = {c: units(c) for c in new}
         rare = list({u for us in cut.values() for u in us} - self.table.keys())
         entry = {u: (" ".join(map(str, ids)), " ".join([self.pieces[i] for i in ids])) for u, ids in zip(rare, encoded(self.path, rare), strict=True)}
@@ -158,7 +160,8 @@ class Codec:
         for c, us in cut.items():
             es = [self.table.get(u) or entry[u] for u in us]
             made[c] = es[0] if len(es) == 1 else (" ".join([e[0] for e in es if e[0]]), " ".join([e[1] for e in es if e[0]]))
-        self.chunks.update({c: e for c, e in made.items() if len(c) <= LONG})
+        if len(self.chunks) < REMEMBER:
+            self.chunks.update({c: e for c, e in made.items() if len(c) <= LONG})
         return made
 
     def results(self, texts: list[str]) -> list[tuple[int, str, str]]:
@@ -166,8 +169,6 @@ class Codec:
         keys = [hashlib.md5(t.encode(), usedforsecurity=False).digest() for t in texts]
         if len(self.texts) > REMEMBER_TEXTS:
             self.texts.clear()
-        if len(self.chunks) > REMEMBER:
-            self.chunks.clear()
         todo = {k: chunks(t) for k, t in zip(keys, texts, strict=True) if k not in self.texts}
         made = self.learn(set().union(*todo.values()) - self.chunks.keys())
         for k, cs in todo.items():
