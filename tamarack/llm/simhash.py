@@ -8,14 +8,16 @@ all differences, and the pair meets in that table. No pair within the radius is
 
 Only distinct fingerprints are compared. A bucket of more than ``bucket_rows``
 fingerprints is dealt out again by covering masks over the bits that its own mask hides;
-after three such levels at most a few hundred distinct values can share a bucket. Within a
-bucket only a spanning forest of the links is emitted, never all pairs; components come
-from alternating large-star and small-star steps over tables in the shared folder.
+after three such levels, at radius 4, a mask hides 8 bits at most, so at most 256 distinct
+values share a bucket. Within a bucket only a spanning forest of the links is emitted,
+never all pairs; components come from alternating large-star and small-star steps over
+tables in the shared folder.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -72,11 +74,24 @@ def hexadecimal(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
+@lru_cache(maxsize=None)
+def spread_vectors(n: int, radius: int) -> tuple[int, ...]:
+    """A vector for each of n positions, chosen one by one so that no mask shows much fewer positions
+    than another: about half of them stay hidden under any mask, however few they are."""
+    vectors = range(1, 1 << (radius + 1))
+    shown = [0] * len(vectors)  # positions that the mask of each vector shows
+    out = []
+    for _ in range(n):
+        best = max(vectors, key=lambda g: sorted(s + (g & v).bit_count() % 2 for s, v in zip(shown, vectors, strict=True)))
+        shown = [s + (best & v).bit_count() % 2 for s, v in zip(shown, vectors, strict=True)]
+        out.append(best)
+    return tuple(out)
+
+
 def covering_masks(positions: list[int], radius: int) -> list[int]:
     """Masks over these bit positions such that any ``radius`` of them are hidden by one mask at least."""
-    vectors = range(1, 1 << (radius + 1))
-    given = {p: i % len(vectors) + 1 for i, p in enumerate(positions)}
-    return [sum(1 << p for p, g in given.items() if (g & v).bit_count() % 2) for v in vectors]
+    given = list(zip(positions, spread_vectors(len(positions), radius), strict=True))
+    return [sum(1 << p for p, g in given if (g & v).bit_count() % 2) for v in range(1, 1 << (radius + 1))]
 
 
 def _signed(mask: int) -> int:

@@ -273,6 +273,14 @@ def test_covering_masks_hide_any_four_bits():
         assert any(not m & d for m in masks)
 
 
+def test_covering_masks_hide_half_of_the_bits_at_each_level():
+    hidden = lambda m, among: [p for p in among if not m >> p & 1]
+    levels = [[list(range(64))]]
+    for most in (32, 16, 8):
+        levels.append([hidden(m, ps) for ps in levels[-1] for m in simhash.covering_masks(ps, 4)])
+        assert max(map(len, levels[-1])) <= most
+
+
 @pytest.mark.parametrize("bucket_rows", [2048, 3])
 def test_simhash_components_against_brute_force(spark, bucket_rows):
     rng = random.Random(bucket_rows)
