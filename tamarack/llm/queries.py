@@ -8,16 +8,19 @@ from .fingerprint import op10_fingerprint
 from .language_id import op1_language_id
 from .license_scan import op9_license_scan
 from .oracle import ORACLES
+from .prefix_trie import op12_prefix_trie
 from .quality import op8_quality
 from .secrets import op7_secrets
 from .simhash import op6_simhash
 from .token_counts import op4_token_counts
 from .warc import op2_warc
+from .whitening import op13_whitening
 
-QUERIES = {
-    f.__name__: f
-    for f in (op1_language_id, op2_warc, op3_decontaminate, op4_token_counts, op5_bpe_codec, op6_simhash, op7_secrets, op8_quality, op9_license_scan, op10_fingerprint)
-}
+_OPERATORS = (
+    op1_language_id, op2_warc, op3_decontaminate, op4_token_counts, op5_bpe_codec, op6_simhash, op7_secrets, op8_quality, op9_license_scan, op10_fingerprint,
+    op12_prefix_trie, op13_whitening,
+)
+QUERIES = {f.__name__: f for f in _OPERATORS}
 
 
 def queries():
