@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bpe_codec import op5_bpe_codec
 from .decontaminate import op3_decontaminate
 from .fingerprint import op10_fingerprint
+from .html_extraction import op11_html_extraction
 from .language_id import op1_language_id
 from .license_scan import op9_license_scan
 from .oracle import ORACLES
@@ -18,7 +19,7 @@ from .whitening import op13_whitening
 
 _OPERATORS = (
     op1_language_id, op2_warc, op3_decontaminate, op4_token_counts, op5_bpe_codec, op6_simhash, op7_secrets, op8_quality, op9_license_scan, op10_fingerprint,
-    op12_prefix_trie, op13_whitening,
+    op11_html_extraction, op12_prefix_trie, op13_whitening,
 )
 QUERIES = {f.__name__: f for f in _OPERATORS}
 
