@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SORT_COLUMNS = {"name": "name", "price": "current_price", "discount": "discount_percentage", "created_at": "created_at", "current_price": "current_price", "discount_percentage": "discount_percentage"}
@@ -35,18 +36,19 @@ class SearchSpec:
             raise ValueError("page must be 1 or more, page_size 1 to 100")
 
 
+def text_condition(columns: list[str], query: str, literal: bool) -> Column:
+    """Whether one of the columns has the query as a substring, in any case."""
+    if literal:
+        tests = [F.contains(F.lower(c), F.lit(query.lower())) for c in columns]
+    else:
+        tests = [F.col(c).ilike(f"%{query}%") for c in columns]
+    return reduce(lambda a, b: a | b, tests)
+
+
 def matching(products: DataFrame, spec: SearchSpec) -> DataFrame:
     out = products
     if spec.query:
-        columns = [c for c in ("name", "description", "sku") if c in out.columns]
-        if spec.literal:
-            tests = [F.contains(F.lower(c), F.lit(spec.query.lower())) for c in columns]
-        else:
-            tests = [F.col(c).ilike(f"%{spec.query}%") for c in columns]
-        any_of = tests[0]
-        for more in tests[1:]:
-            any_of = any_of | more
-        out = out.where(any_of)
+        out = out.where(text_condition([c for c in ("name", "description", "sku") if c in out.columns], spec.query, spec.literal))
     if spec.brands:
         out = out.where(F.col("brand").isin(spec.brands))
     if spec.categories:
@@ -69,6 +71,35 @@ def search(products: DataFrame, spec: SearchSpec) -> DataFrame:
     return matching(products, spec).orderBy(order, "id").offset((spec.page - 1) * spec.page_size).limit(spec.page_size)
 
 
+def cursor_of(row, spec: SearchSpec) -> tuple:
+    """Where a page ends: the sort value and id of its last row."""
+    return row[SORT_COLUMNS[spec.sort_by]], row["id"]
+
+
+def after(products: DataFrame, spec: SearchSpec, cursor: tuple) -> Column:
+    """Rows that come after the cursor in the search's order. The bound on the sort column stands
+    alone, so that a scan can skip what lies before it."""
+    by, (value, last) = F.col(SORT_COLUMNS[spec.sort_by]), cursor
+    kind = products.schema[SORT_COLUMNS[spec.sort_by]].dataType
+    v, later_id = F.lit(value).cast(kind), F.col("id") > F.lit(last)
+    if spec.sort_order == "asc":  # nulls are last
+        if value is None:
+            return by.isNull() & later_id
+        return (by.isNull() | (by >= v)) & (by.isNull() | (by > v) | later_id)
+    if value is None:  # nulls are first
+        return by.isNotNull() | later_id
+    return (by <= v) & ((by < v) | later_id)
+
+
+def search_after(products: DataFrame, spec: SearchSpec, cursor: tuple | None = None) -> DataFrame:
+    """The page of ``spec.page_size`` rows after a cursor (the first page without one), in the order
+    of ``search``. However deep the page, no task keeps more than a page of rows; ``spec.page`` is not looked at."""
+    by = F.col(SORT_COLUMNS[spec.sort_by])
+    order = by.asc_nulls_last() if spec.sort_order == "asc" else by.desc_nulls_first()
+    rows = products if cursor is None else products.where(after(products, spec, cursor))
+    return matching(rows, spec).orderBy(order, "id").limit(spec.page_size)
+
+
 def totals(products: DataFrame, spec: SearchSpec) -> DataFrame:
     """(total, page, page_size, total_pages) of a search."""
     n = F.count("*")

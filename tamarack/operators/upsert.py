@@ -13,26 +13,52 @@ def latest(df: DataFrame, key: list[str], by: list[str]) -> DataFrame:
     return df.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct(*by)).alias("__row")).select(*[F.col(c) if c in key else F.col(f"__row.{c}").alias(c) for c in df.columns])
 
 
-def upsert(snapshot: DataFrame, batch: DataFrame, key: str = "sku", at: str = "scraped_at", ties: list[str] = (), now: Column | None = None) -> DataFrame:
-    """The new snapshot: every column, nulls included, of the newest row of a key in the batch,
-    else the stored row. The stored id and created_at of a key stay; updated_at, where there is
-    one, is ``now`` (else the batch row's time) for stored keys that the batch has. Batch rows without a key go."""
-    newest = F.max_by(F.struct(*[c for c in batch.columns if c != key]), F.struct(at, *ties)).alias("__row")
-    first = F.min("created_at" if "created_at" in batch.columns else at).alias("__first")  # an inserted key was created when the batch first saw it
-    new = batch.where(F.col(key).isNotNull()).groupBy(F.col(key).alias(f"__{key}")).agg(newest, first)
-    new = new.select(f"__{key}", *[(F.col("__first") if c == "created_at" else F.col(f"__row.{c}")).alias(f"__{c}") for c in batch.columns if c != key])
-    joined = snapshot.join(new, F.col(key) == F.col(f"__{key}"), "full_outer")
-    came, stored = F.col(f"__{key}").isNotNull(), F.col(key).isNotNull()
-
-    def column(c: str) -> Column:
+def order_of(at: str, ties: list[str], prefix: str = "") -> Column:
+    """What tells which of two rows is the later: the time, then the ties, of which the largest wins
+    (of "-x" the smallest x); nulls are least."""
+    one = lambda t: -F.col(f"{prefix}{t[1:]}") if t.startswith("-") else F.col(f"{prefix}{t}")
+    return F.struct(F.col(f"{prefix}{at}").alias("at"), *[one(t).alias(f"t{i}") for i, t in enumerate(ties)])
+
+
+def fold(batch: DataFrame, key: str, at: str, ties: list[str] = ()) -> DataFrame:
+    """The latest row of each key, created when the batch first saw the key. Rows without a key go."""
+    rest = [c for c in batch.columns if c != key]
+    first = F.min("created_at" if "created_at" in rest else at).alias("__first")
+    grouped = batch.where(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(F.struct(*rest), order_of(at, ties)).alias("__row"), first)
+    return grouped.select(key, *[(F.col("__first") if c == "created_at" else F.col(f"__row.{c}")).alias(c) for c in rest])
+
+
+def merged(snapshot: DataFrame, batch: DataFrame, key: str, at: str, ties: list[str], now: Column | None) -> dict[str, Column]:
+    """The new value of each of the snapshot's columns, over a join of it with the folded batch,
+    whose columns are prefixed by two underscores. A batch row that is older than the stored one
+    changes nothing but created_at."""
+    stored = F.col(key).isNotNull()
+    wins = F.col(f"__{key}").isNotNull() & (~stored | (order_of(at, ties, "__") >= order_of(at, ties)))
+    out = {}
+    for c in snapshot.columns:
         fresh = F.col(f"__{c}") if c in batch.columns else F.lit(None).cast(snapshot.schema[c].dataType)
         if c == "updated_at":
-            return F.when(came & stored, F.col(f"__{at}") if now is None else now).otherwise(F.col(c))
-        if c in ("id", "created_at"):
-            return F.coalesce(F.col(c), fresh)
-        return F.when(came, fresh).otherwise(F.col(c))
+            out[c] = F.when(wins & stored, F.col(f"__{at}") if now is None else now).otherwise(F.col(c))
+        elif c == "id":
+            out[c] = F.coalesce(F.col(c), fresh)
+        elif c == "created_at":
+            out[c] = F.least(F.col(c), fresh)  # nulls don't count
+        else:
+            out[c] = F.when(wins, fresh).otherwise(F.col(c))
+    return out
 
-    return joined.select(*[column(c).alias(c) for c in snapshot.columns])
+
+def prefixed(batch: DataFrame) -> DataFrame:
+    return batch.select(*[F.col(c).alias(f"__{c}") for c in batch.columns])
+
+
+def upsert(snapshot: DataFrame, batch: DataFrame, key: str = "sku", at: str = "scraped_at", ties: list[str] = (), now: Column | None = None) -> DataFrame:
+    """The new snapshot: every column, nulls included, of the latest row of a key, stored or of the
+    batch, so that batches may come in any order. Rows that are as late as the stored one replace it.
+    The stored id of a key stays, created_at is the earliest; updated_at, where there is one, is
+    ``now`` (else the batch row's time) for stored keys whose row is replaced. Batch rows without a key go."""
+    joined = snapshot.join(prefixed(fold(batch, key, at, ties)), F.col(key) == F.col(f"__{key}"), "full_outer")
+    return joined.select(*[v.alias(c) for c, v in merged(snapshot, batch, key, at, ties, now).items()])
 
 
 def price_changes(log: DataFrame, key: str, price: str, order: list[Column]) -> DataFrame:
@@ -52,10 +78,10 @@ def history_delta(snapshot: DataFrame, batch: DataFrame, key: str = "sku", at: s
 
 
 def fold_jobs(events: DataFrame, key: str, status: str, at: str, ties: list[str] = ()) -> DataFrame:
-    """The state of each job from its status events: last status, first time of running, last terminal time."""
+    """The state of each job from its status events: last status, last time of running, last terminal time."""
     newest = F.struct(at, *ties, status)
     return events.groupBy(key).agg(
         F.max(newest)[status].alias("status"),
-        F.min(F.when(F.col(status) == "running", F.col(at))).alias("started_at"),
+        F.max(F.when(F.col(status) == "running", F.col(at))).alias("started_at"),
         F.max(F.when(F.col(status).isin("completed", "failed"), F.col(at))).alias("completed_at"),
     )

@@ -183,7 +183,7 @@ def snapshot_upsert(s, d):
     return upsert.upsert(stored, log.where(new), ties=["current_price"]).select("sku", F.col("current_price").cast("double").alias("current_price"), "scraped_at")
 
 
-query("job_fold", """SELECT user_id, arg_max(event_type, (ts, event_id)) AS status, min(ts) FILTER (event_type = 'view') AS started_at, max(ts) FILTER (event_type IN ('purchase', 'error')) AS completed_at FROM events GROUP BY 1""")(
+query("job_fold", """SELECT user_id, arg_max(event_type, (ts, event_id)) AS status, max(ts) FILTER (event_type = 'view') AS started_at, max(ts) FILTER (event_type IN ('purchase', 'error')) AS completed_at FROM events GROUP BY 1""")(
     lambda s, d: job_events(s, d)
 )
 STATUS_OF = {"signup": "pending", "click": "pending", "view": "running", "purchase": "completed", "error": "failed"}
@@ -545,3 +545,6 @@ def snapshot_touch(s, d):
     after = upsert.upsert(stored, log.where(new), ties=["current_price"], now=F.lit("2024-01-01").cast("timestamp_ntz"))
     was = F.col("scraped_at") < F.lit("2000-01-01").cast("timestamp_ntz")
     return after.agg(F.count("updated_at").alias("updated"), F.count_if(F.col("updated_at").isNull() & was).alias("untouched"), F.count_if(F.col("updated_at").isNull() & ~was).alias("inserted"))
+
+
+from . import stores, structures  # noqa: E402, F401  they register further queries

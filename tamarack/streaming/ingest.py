@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.bucketed import Snapshot
+from ..operators.changes import ChangeLog
 from ..operators.extract import extract, split_valid
-from ..operators.upsert import history_delta, upsert
 from ..schemas import RAW_PAGE
 
 
@@ -19,35 +20,34 @@ def windowed_counts(pages: DataFrame, window: str = "1 hour", late: str = "2 hou
     return pages.withWatermark("scraped_at", late).groupBy(F.window("scraped_at", window)).agg(F.count("*").alias("pages"))
 
 
-def fold(stored: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(new snapshot, history to append, rejected rows) of landed pages with scraped_at. Of pages of
-    one product and time that with the lowest price counts, then that with the first address."""
+def products_of(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(products, rejected rows) of landed pages with scraped_at."""
     valid, rejected = split_valid(extract(pages, "scraped_at"))
-    one = F.min_by(F.struct(*[c for c in valid.columns if c not in ("sku", "scraped_at")]), F.struct(F.col("current_price").isNull(), "current_price", "url"))
-    rows = valid.groupBy("sku", "scraped_at").agg(one.alias("r")).select("sku", "scraped_at", "r.*").withColumn("created_at", F.col("scraped_at")).select(*stored.columns)
-    return upsert(stored, rows), history_delta(stored, rows), rejected
+    return valid.withColumn("created_at", F.col("scraped_at")), rejected
 
 
-def ingest(pages: DataFrame, root: str, checkpoint: str, keep: int = 2):
-    """Start a query that folds each micro-batch into ``root/snapshot/<n>`` and appends
-    ``root/history`` and ``root/quarantine``. Snapshots are numbered by batch, so a batch that
-    runs again after a failure writes the same folders, from the snapshot before. Of the
-    snapshots the last ``keep`` (2 at least) stay."""
+def stores(spark: SparkSession, root: str, buckets: int = 64) -> tuple[Snapshot, ChangeLog]:
+    """The snapshot and the price history below ``root``. Of pages of one product and time that with
+    the lowest price counts, then that with the last address and name."""
+    return Snapshot(spark, f"{root}/snapshot", ties=["-current_price", "url", "name"], buckets=buckets), ChangeLog(spark, f"{root}/history", buckets=buckets)
+
+
+def ingest(pages: DataFrame, root: str, checkpoint: str, keep: int = 2, buckets: int = 64):
+    """Start a query that merges each micro-batch into the snapshot and the price history of
+    ``stores`` and writes ``root/quarantine``. Only buckets with a changed row are written, and of
+    the history only differences; pages may come in any order. A batch that runs again after a
+    failure has no further effect. Of the snapshot's versions the last ``keep`` stay."""
 
     def run(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        kind = extract(batch, "scraped_at").withColumn("created_at", F.col("scraped_at")).schema
-        before = f"{root}/snapshot/{number - 1}"
-        stored = spark.read.schema(kind).parquet(before) if number else spark.createDataFrame([], kind)
-        landed = batch.persist()  # the three writes read the same rows
+        snapshot, log = stores(batch.sparkSession, root, buckets)
+        landed = batch.persist()  # the writes read the same rows
         try:
-            snapshot, history, rejected = fold(stored, landed)
-            snapshot.write.mode("overwrite").parquet(f"{root}/snapshot/{number}")
-            history.write.mode("overwrite").parquet(f"{root}/history/batch={number}")
+            rows, rejected = products_of(landed)
+            log.append(rows.select(F.col("sku").alias("key"), F.col("scraped_at").alias("at"), F.col("current_price").alias("price")), number)
+            snapshot.merge(rows, number)
             rejected.write.mode("overwrite").parquet(f"{root}/quarantine/batch={number}")
         finally:
             landed.unpersist()
-        if (old := number - max(2, keep)) >= 0:
-            spark.createDataFrame([], kind).limit(0).write.mode("overwrite").parquet(f"{root}/snapshot/{old}")  # emptied
+        snapshot.expire(max(2, keep))
 
     return pages.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

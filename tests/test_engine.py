@@ -149,10 +149,9 @@ def ingested(spark, root, batches):
     (root / "in").mkdir(parents=True)
     for i, rows in enumerate(batches):
         (root / "in" / f"{i}.json").write_text("\n".join(map(json.dumps, landed(rows))))
-        ingest.ingest(ingest.page_stream(spark, str(root / "in")), str(root / "out"), str(root / "ck")).awaitTermination()
-    snapshot = spark.read.parquet(str(root / f"out/snapshot/{len(batches) - 1}"))
-    history = spark.read.parquet(str(root / "out/history"))
-    return {r.sku: (int(r.current_price), r.scraped_at.day, r.created_at.day) for r in snapshot.collect()}, sorted((r.sku, r.recorded_at.day, int(r.price)) for r in history.collect())
+        ingest.ingest(ingest.page_stream(spark, str(root / "in")), str(root / "out"), str(root / "ck"), buckets=4).awaitTermination()
+    snapshot, log = ingest.stores(spark, str(root / "out"), 4)
+    return {r.sku: (int(r.current_price), r.scraped_at.day, r.created_at.day) for r in snapshot.read().collect()}, sorted((r.key, r.recorded_at.day, int(r.price)) for r in log.history().collect())
 
 
 def test_stream_equals_batch(spark, tmp_path):
@@ -163,6 +162,7 @@ def test_stream_equals_batch(spark, tmp_path):
     whole = ingested(spark, tmp_path / "one", [rows])
     assert whole == (snapshot, changes)
     assert ingested(spark, tmp_path / "many", [rows[:6], rows[6:8], rows[8:]]) == whole
+    assert ingested(spark, tmp_path / "late", [rows[5:], rows[2:4], rows[4:5], rows[:2]]) == whole  # newest first
 
 
 @pytest.mark.parametrize("name", sorted(registry.QUERIES))
