@@ -347,11 +347,14 @@ def compose(texts: list[str], seed: int) -> tuple[str, str]:
 
 def labelled_pages(pages: DataFrame, most: int = MOST_PAGES) -> DataFrame:
     """At most ``most`` labelled pages (html, text), composed of the texts of as many of the given
-    pages as there are up to that number, picked by a hash of the html, whose length is at most
-    MOST_BYTES. Few pages are used several times. The texts come from all blocks of a page alike:
+    distinct pages as there are up to that number, picked by a hash of the html, whose length is
+    at most MOST_BYTES. Few pages are used several times. The texts come from all blocks of a page alike:
     how the page itself is laid out is not looked at."""
     usable = pages.select("html").where((F.octet_length("html") > 0) & (F.octet_length("html") <= MOST_BYTES))
-    sample = materialize(usable.orderBy(F.xxhash64("html"), "html").limit(most), "page-sample")
+    hashed = usable.select("html", F.xxhash64("html").alias("h"))
+    last = hashed.select("h").distinct().orderBy("h").limit(most).agg(F.max("h")).first()[0]  # only hashes are compared
+    few = hashed.where(F.col("h") <= F.lit(last)).groupBy("h").agg(F.min("html").alias("html"))
+    sample = materialize(few.select("html"), "page-sample")
     times = most // max(1, sample.count())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
