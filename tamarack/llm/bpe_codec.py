@@ -40,56 +40,54 @@ from pyspark.sql import functions as F
 from .common import blocks, kept, materialize, read_table
 from .token_counts import load
 
-#: A chunk of more characters is neither counted for the table nor remembered.
+#: A unit of more characters is neither counted for the table nor remembered.
 LONG = 256
-#: Chunks that a task remembers at most.
+#: Words beyond the table that a task remembers at most, and distinct units that it counts before it passes them on.
 REMEMBER = 150_000
 #: Texts whose results a task remembers at most, 300 bytes each.
 REMEMBER_TEXTS = 20_000
 #: Latin, Cyrillic, kana, Han and Hangul letters that stay as they are under the tokenizer's normaliser, but for case.
 _LETTERS = r"A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f\u0400-\u045f\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3"
 _MARKS = r'.,;:!?"()\[\]#&%*$+=@/_\-\u3001\u3002\u300c\u300d\uff01\uff08\uff09\uff0c\uff1a\uff1b\uff1f'
-_PLAIN = re.compile(f"[{_LETTERS}{_MARKS}]+")
-_UNIT = re.compile(f"[{_LETTERS}]+|[{_MARKS}]+")
+#: A chunk with any other character.
+_ODD = re.compile(rf"((?<!\S)[{_LETTERS}{_MARKS}]*+[^\s{_LETTERS}{_MARKS}]\S*+)")
+#: Of a plain stretch in lower case, some of whose letters then lie beyond _LETTERS.
+_UNIT = re.compile(rf"[^\s{_MARKS}]+|[{_MARKS}]+")
 #: str.split() also splits at these four, which are no white space to the tokenizer.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 _SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 RESULTS = ("n_tokens", "ids_sha256", "decoded_sha256")
 
 
-def chunks(text: str) -> list[str]:
-    return [c for c in _SPACE.split(text) if c] if _SEPARATORS.search(text) else text.split()
-
-
-def units(chunk: str) -> list[str]:
-    if chunk.isascii() and chunk.isalpha():
-        return [chunk.lower()]
-    return [u.lower() for u in _UNIT.findall(chunk)] if _PLAIN.fullmatch(chunk) else [chunk]
+def units(text: str) -> list[str]:
+    """A text's units in order. Plain stretches are cut at once, other chunks are units whole."""
+    if _SEPARATORS.search(text):
+        return [u for c in _SPACE.split(text) for u in units(c) if u] if _SPACE.search(text) else [text]
+    parts = _ODD.split(text)
+    out = _UNIT.findall(parts[0].lower())
+    for odd, plain in zip(parts[1::2], parts[2::2], strict=True):
+        out.append(odd)
+        if plain:
+            out += _UNIT.findall(plain.lower())
+    return out
 
 
 def distinct_units(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(word, n): every distinct unit of all texts and how often it occurs; chunks of over LONG characters have no part in it."""
+    """(word, n): every distinct unit of all texts and how often it occurs; units of over LONG characters have no part in it."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
 
         def out():
-            by_unit: Counter = Counter()
-            for chunk, n in seen.items():
-                for u in units(chunk):
-                    by_unit[u] += n
-            seen.clear()
-            words = list(by_unit)
+            words = [w for w in seen if len(w) <= LONG]
             for a in range(0, len(words), 50_000):
-                yield pa.RecordBatch.from_pydict({"word": words[a : a + 50_000], "n": [by_unit[w] for w in words[a : a + 50_000]]})
+                yield pa.RecordBatch.from_pydict({"word": words[a : a + 50_000], "n": [seen[w] for w in words[a : a + 50_000]]})
+            seen.clear()
 
         for whole in batches:
             for batch in blocks(whole, "__text"):
                 for t in batch.column("__text").to_pylist():
-                    cs = chunks(t)
-                    if len(t) > LONG and max(map(len, cs), default=0) > LONG:
-                        cs = [c for c in cs if len(c) <= LONG]
-                    seen.update(cs)
+                    seen.update(units(t))
                 if len(seen) > REMEMBER:
                     yield from out()
         yield from out()
@@ -147,35 +145,43 @@ class Codec:
     """Results of texts from a table of (coded, plain) by word, and from the library for other words."""
 
     def __init__(self, path: str, table: dict[str, tuple[str, str]]):
-        self.path, self.table, self.pieces = path, table, pieces_of(path)
-        self.chunks: dict[str, tuple[str, str]] = {}
+        self.path, self.pieces = path, pieces_of(path)
+        self.coded, self.plain = {w: e[0] for w, e in table.items()}, {w: e[1] for w, e in table.items()}
+        self.most = len(table) + REMEMBER
+        self.silent = {w for w, c in self.coded.items() if not c}
         self.texts: dict[bytes, tuple[int, str, str]] = {}
 
-    def learn(self, new: set[str]) -> dict[str, tuple[str, str]]:
-        """(coded, plain) of these chunks; the first that a task meets are remembered, the frequent ones among them."""
-        cut = {c: units(c) for c in new}
-        rare = list({u for us in cut.values() for u in us} - self.table.keys())
-        entry = {u: (" ".join(map(str, ids)), " ".join([self.pieces[i] for i in ids])) for u, ids in zip(rare, encoded(self.path, rare), strict=True)}
-        made = {}
-        for c, us in cut.items():
-            es = [self.table.get(u) or entry[u] for u in us]
-            made[c] = es[0] if len(es) == 1 else (" ".join([e[0] for e in es if e[0]]), " ".join([e[1] for e in es if e[0]]))
-        if len(self.chunks) < REMEMBER:
-            self.chunks.update({c: e for c, e in made.items() if len(c) <= LONG})
-        return made
+    def learn(self, new: list[str]) -> None:
+        for u, ids in zip(new, encoded(self.path, new), strict=True):
+            self.coded[u] = " ".join(map(str, ids))
+            self.plain[u] = " ".join([self.pieces[i] for i in ids])
+
+    def forget(self, new: list[str]) -> None:
+        """Of the words that the table lacks those that a task meets first stay, the frequent ones among them."""
+        spare = self.most - (len(self.coded) - len(new))
+        for u in new:
+            if spare <= 0 or len(u) > LONG:
+                del self.coded[u], self.plain[u]
+            else:
+                spare -= 1
 
     def results(self, texts: list[str]) -> list[tuple[int, str, str]]:
         """(n_tokens, ids_sha256, decoded_sha256) of each text."""
         keys = [hashlib.md5(t.encode(), usedforsecurity=False).digest() for t in texts]
         if len(self.texts) > REMEMBER_TEXTS:
             self.texts.clear()
-        todo = {k: chunks(t) for k, t in zip(keys, texts, strict=True) if k not in self.texts}
-        made = self.learn(set().union(*todo.values()) - self.chunks.keys())
-        for k, cs in todo.items():
-            es = [self.chunks.get(c) or made[c] for c in cs]
-            ids = " ".join([e[0] for e in es if e[0]])
-            plain = " ".join([e[1] for e in es if e[0]])
-            self.texts[k] = (ids.count(" ") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(plain.encode()).hexdigest())
+        todo = {k: units(t) for k, t in zip(keys, texts, strict=True) if k not in self.texts}
+        new = list(set().union(*todo.values()) - self.coded.keys())
+        self.learn(new)
+        coded, plain = self.coded.__getitem__, self.plain.__getitem__
+        silent = {u for u in new if not self.coded[u]} | self.silent  # without any token
+        for k, us in todo.items():
+            if silent and not silent.isdisjoint(us):
+                us = [u for u in us if u not in silent]
+            ids = " ".join(map(coded, us))
+            self.texts[k] = (ids.count(" ") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(" ".join(map(plain, us)).encode()).hexdigest())
+        self.forget(new)
+        self.silent = {u for u in silent if u in self.coded}
         return [self.texts[k] for k in keys]
 
 
