@@ -42,8 +42,10 @@ from .token_counts import load
 
 #: A unit of more characters is neither counted for the table nor remembered.
 LONG = 256
-#: Words beyond the table that a task remembers at most, and distinct units that it counts before it passes them on.
-REMEMBER = 150_000
+#: Words beyond the table that a task remembers at most.
+REMEMBER = 60_000
+#: Distinct units that a task counts before it passes them on.
+COUNTED = 150_000
 #: Texts whose results a task remembers at most, 300 bytes each.
 REMEMBER_TEXTS = 20_000
 #: Latin, Cyrillic, kana, Han and Hangul letters that stay as they are under the tokenizer's normaliser, but for case.
@@ -88,7 +90,7 @@ def distinct_units(docs: DataFrame, text: str = "text") -> DataFrame:
             for batch in blocks(whole, "__text"):
                 for t in batch.column("__text").to_pylist():
                     seen.update(units(t))
-                if len(seen) > REMEMBER:
+                if len(seen) > COUNTED:
                     yield from out()
         yield from out()
 
@@ -142,12 +144,12 @@ def encoded(path: str, words: list[str]) -> list[list[int]]:
 
 
 class Codec:
-    """Results of texts from a table of (coded, plain) by word, and from the library for other words."""
+    """Results of texts from a table of ids and decoded texts by word, and from the library for other words."""
 
-    def __init__(self, path: str, table: dict[str, tuple[str, str]]):
+    def __init__(self, path: str, coded: dict[str, str], plain: dict[str, str]):
         self.path, self.pieces = path, pieces_of(path)
-        self.coded, self.plain = {w: e[0] for w, e in table.items()}, {w: e[1] for w, e in table.items()}
-        self.most = len(table) + REMEMBER
+        self.coded, self.plain = dict(coded), dict(plain)
+        self.most = len(coded) + REMEMBER
         self.silent = {w for w, c in self.coded.items() if not c}
         self.texts: dict[bytes, tuple[int, str, str]] = {}
 
@@ -185,18 +187,19 @@ class Codec:
         return [self.texts[k] for k in keys]
 
 
-def encode_decode(docs: DataFrame, path: str, keep: list[str], text: str = "text", table_bytes: int = 32 << 20) -> DataFrame:
+def encode_decode(docs: DataFrame, path: str, keep: list[str], text: str = "text", table_bytes: int = 64 << 20) -> DataFrame:
     """Columns ``keep`` of docs with n_tokens, ids_sha256 and decoded_sha256. ``table_bytes``
     bounds what is broadcast; it doesn't change results."""
     keep = kept(keep, RESULTS)
     words = materialize(distinct_units(docs, text), "bpe-words")
     t = word_table(frequent(words, table_bytes), path).toArrow()
-    table = docs.sparkSession.sparkContext.broadcast(dict(zip(t["word"].to_pylist(), zip(t["coded"].to_pylist(), t["plain"].to_pylist(), strict=True), strict=True)))
+    word = t["word"].to_pylist()
+    table = docs.sparkSession.sparkContext.broadcast((dict(zip(word, t["coded"].to_pylist(), strict=True)), dict(zip(word, t["plain"].to_pylist(), strict=True))))
     rows = docs.select(*keep, F.coalesce(text, F.lit("")).alias("__text"))
     schema = rows.select(*keep).schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(path, table.value)
+        codec = Codec(path, *table.value)
         for whole in batches:
             for batch in blocks(whole, "__text", 1 << 19):
                 n, coded, plain = zip(*codec.results(batch.column("__text").to_pylist()), strict=True)
