@@ -1,10 +1,11 @@
 """Operator 7: secret scans with a random forest for false-positive removal.
 
 Candidates in whole texts are (1) values that something names: those assigned to a word that
-names a secret, quoted or up to white space, passwords of ``scheme://user:password@host``,
-private keys in PEM and signed tokens of three parts, whatever their length or characters
-(``named``), and (2) anywhere else maximal runs of ``[A-Za-z0-9_/+-]`` of 24 bytes or more, or of
-12 or more with two digits (``runs``). A candidate's features (``describe``) are its length,
+names a secret, quoted or up to white space, what an authorization header or a login option
+carries, passwords of ``scheme://user:password@host``, and every value of a known format
+(``KNOWN``: access keys, private keys in PEM, signed tokens of three parts), whatever their length
+or characters (``named``), and (2) anywhere else maximal runs of ``[A-Za-z0-9_/+-]`` of 24 bytes or
+more, or of 12 or more that are more than words: with a digit, or a capital within a word (``runs``). A candidate's features (``describe``) are its length,
 characters and transitions, its coverage by dictionary words, what its document's path looks
 like and the words beside it. The dictionary is the ``dictionary_words`` most frequent words of
 3 to 16 bytes in any script, counted over all texts. A random forest, trained from labelled
@@ -12,10 +13,12 @@ findings, votes; candidates with under half of the votes are dropped as false po
 
 Labelled findings come as a table or, where there is none, from planting: values that are
 secrets by construction, and values that only look like it (placeholders, numbers, digests,
-identifiers, words), are put into texts of the corpus and found again by the same search
-(``planted``), so no rule of this module decides a label. At most ``plant_texts`` texts, chosen
+identifiers, code, words of a sentence), are put into whole texts of the corpus and found again by
+the same search (``planted``), so no rule of this module decides a label; the lists that plants are
+drawn from have nothing in common with those that features know. At most ``plant_texts`` texts, chosen
 by hash, ``findings`` plants and ``per_label`` findings of each label are used; these bounds are the only sampling.
-``held_out`` gives precision and recall on findings that took no part in training.
+``held_out`` gives precision and recall on plants that took no part in training; a planted secret
+that the search doesn't meet counts against recall.
 
 The forest (bounded by its number of trees and depth) goes to the executors as plain arrays,
 read from its saved table of nodes, so texts are scored and redacted where they are read. Null
@@ -37,17 +40,21 @@ from pyspark.sql import functions as F
 
 from .common import Words, _powers, ascii_lower, blocks, materialize, read_table, utf8, workspace
 
-FEATURES = ["length", "digits", "upper", "symbols", "transitions", "entropy", "dictionary", "hex", "known", "keyword", "assigned", "quoted", "linked", "stand_in", "prose", "test_path", "config_path"]
+FEATURES = ["length", "digits", "upper", "symbols", "transitions", "entropy", "dictionary", "hex", "known", "keyword", "assigned", "quoted", "linked", "stand_in", "code", "prose", "test_path", "config_path"]
 # Formats of access keys, words that name a secret, what an assignment looks like, and parts of paths.
 KNOWN = re.compile(
     rb"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|(?:sk|rk)_live_[A-Za-z0-9]{16,}|sk-[A-Za-z0-9]{20,}|AIza[A-Za-z0-9_-]{35}"
     rb"|eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*|-----BEGIN [A-Z ]*PRIVATE KEY-----[^-]*(?:-----END [A-Z ]*PRIVATE KEY-----)?"
 )
-NAMES = rb"(?:password|passwd|pwd|token|secret|api[_-]?key|auth|credential|private[_-]?key|access[_-]?key)"
+#: How each of KNOWN's formats begins.
+MARKS = [b"AKIA", b"ASIA", b"ghp_", b"gho_", b"ghu_", b"ghs_", b"ghr_", b"xoxa-", b"xoxb-", b"xoxp-", b"xoxr-", b"xoxs-", b"sk_live_", b"rk_live_", b"sk-", b"AIza", b"eyJ", b"-----BEGIN "]
+NAMES = rb"(?:password|passwd|pwd|token|secret|api[_-]?key|auth(?:orization)?|credential|private[_-]?key|access[_-]?key)"
 KEYWORD = re.compile(NAMES + rb"\W{0,5}$", re.I)
 ASSIGNED = re.compile(rb"[=:]\s{0,2}[\"']?$")
 NAMED_BEFORE = re.compile(NAMES + rb"[\"'\])]{0,3}[ \t]{0,40}$", re.I)
-OPERATOR = re.compile(rb"(?::=|=>|==|=|:)[ \t]{0,40}")
+OPERATOR = re.compile(rb"(?::=|=>|==|=|:)[ \t]{0,40}(?:(?:bearer|basic|token)[ \t]{1,40})?", re.I)
+BEARER = re.compile(rb"(?<![A-Za-z0-9])bearer[ \t]{1,40}([A-Za-z0-9_.~+/=-]{8,})", re.I)
+LOGIN = re.compile(rb"(?:(?<=\s)|^)(?:-u|--user)[ =]{1,3}[\"']?[^\s:\"'/]{1,64}:([^\s\"']+)")
 QUOTED = re.compile(rb"\"((?:[^\"\\\n]|\\.)+)\"|'((?:[^'\\\n]|\\.)+)'")
 BARE = re.compile(rb"[^\s\"'][^\s]*")
 BARE_END = b".,;&)]}>\"'"
@@ -56,6 +63,8 @@ LINKED = re.compile(rb"(?:://|@|www\.)[^\s]*$")
 TEST_PATH, CONFIG_PATH = re.compile("test|example|sample|mock|fixture|spec|demo|doc", re.I), re.compile(r"\.(?:env|ya?ml|json|ini|conf|cfg|properties|toml|pem|key|sh)$|config|settings|deploy", re.I)
 STAND_INS = ["changeme", "password", "example", "your_token_here", "YOUR_API_KEY", "xxxxxxxx", "********", "none", "null", "true", "false", "string", "todo", "placeholder", "insert_key_here", "os.environ", "getpass()", "undefined", "secret", "test"]
 STAND_IN = re.compile(b"|".join([rb"<.*>|\$\{.*\}|\$\w+|\{\{.*\}\}|(.)\1*", *(re.escape(x.encode()) for x in STAND_INS)]), re.I | re.S)
+CODE = re.compile(rb"[A-Za-z_]\w*(?:\.\w+|->\w+|\[[^\]]*\]?|\([^()]*\)?)+")
+_RUN = re.compile(rb"[A-Za-z0-9_-]*")
 LOOK_BACK = 64
 REDACTED = "[SECRET]"
 FINDINGS = "doc_id long, start_byte long, n_bytes int, kind string, secret_sha256 string, score double"
@@ -75,8 +84,11 @@ _LOWER_HEX, _UPPER_HEX = DIGIT | _ranges([(97, 102)]), DIGIT | _ranges([(65, 70)
 
 
 def runs(data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int]]:
-    """(row, start, end) of runs of 12 bytes or more with two digits or more, and of 24 or more."""
+    """(row, start, end) of runs of 24 bytes or more, and of 12 or more with a digit, or with a
+    capital after a small letter."""
     inside = TOKEN[data]
+    odd = DIGIT[data]
+    odd[1:] |= (_KIND[data[1:]] == 1) & (_KIND[data[:-1]] == 2)
     edges = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8)))
     start, end = edges[::2], edges[1::2]
     long = end - start >= 12
@@ -85,7 +97,7 @@ def runs(data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int]]:
     for a, z in zip(start[long].tolist(), end[long].tolist(), strict=True):
         for row in range(int(row_of(a)), int(row_of(z - 1)) + 1):  # a run never spans two rows
             lo, hi = max(a, int(offsets[row])), min(z, int(offsets[row + 1]))
-            if hi - lo >= 24 or (hi - lo >= 12 and DIGIT[data[lo:hi]].sum() >= 2):
+            if hi - lo >= 24 or (hi - lo >= 12 and (DIGIT[data[lo]] or odd[lo + 1 : hi].any())):
                 out.append((row, lo, hi))
     return out
 
@@ -98,7 +110,7 @@ def _places(text: bytes, mark: bytes) -> Iterator[int]:
 
 
 def named(data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int]]:
-    """(row, start, end) of assigned values, passwords in addresses, private keys and signed tokens, whole.
+    """(row, start, end) of assigned values, what headers and logins carry, passwords in addresses and values of known formats, whole.
     Where a bare value holds further assignments, its parts between them are listed too, so no value hides another."""
     text, out, bare_end = data.tobytes(), set(), 0
 
@@ -130,11 +142,20 @@ def named(data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int]]:
         row, begin, end = place(at)
         if at > begin and (m := USERINFO.match(text, at, end)):
             out.add((row, *m.span(1)))
-    for mark in (b"-----BEGIN ", b"eyJ"):
+    for pattern in (BEARER, LOGIN):
+        for m in pattern.finditer(text):
+            row, begin, end = place(m.start(1))
+            if m.start() >= begin and m.end(1) <= end:
+                out.add((row, *m.span(1)))
+    for mark in MARKS:
+        passed = 0
         for at in _places(text, mark):
-            row, _, end = place(at)
+            row, begin, end = place(at)
+            if at < passed or (at > begin and mark[:1] != b"-" and (DIGIT | LETTER)[text[at - 1]]):
+                continue  # within a run that was tried whole, or within a word
             if m := KNOWN.match(text, at, end):
                 out.add((row, *m.span()))
+            passed = _RUN.match(text, at + 1).end()  # no later place of the run can do better
     return sorted(out)
 
 
@@ -191,6 +212,7 @@ def describe(data: np.ndarray, offsets: np.ndarray, found: list[tuple[int, int,
         before, after = data[max(int(offsets[r]), a - LOOK_BACK) : a].tobytes(), data[z : min(int(offsets[r + 1]), z + 1)].tobytes()
         f["known"][i] = KNOWN.fullmatch(data[a:z].tobytes()) is not None
         f["stand_in"][i] = z - a > 1 and STAND_IN.fullmatch(data[a:z].tobytes()) is not None
+        f["code"][i] = CODE.fullmatch(data[a:z].tobytes()[:256]) is not None
         f["keyword"][i] = own or KEYWORD.search(before) is not None
         f["assigned"][i] = own or ASSIGNED.search(before) is not None
         f["quoted"][i] = before[-1:] in (b'"', b"'") and after == before[-1:]
@@ -221,9 +243,10 @@ def dictionary_of(docs: DataFrame, dictionary_words: int = 5000, text: str = "te
 _ALNUM, _HEX = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "0123456789abcdef"
 # Names of assigned values and paths.
 _KEYS = ["password", "passwd", "pwd", "token", "secret", "api_key", "apikey", "auth", "credential", "private_key", "access_key", "client_secret", "DB_PASSWORD", "auth_token", "API-KEY"]
-_PLACEHOLDERS = [*STAND_INS, "<password>", "${TOKEN}", "$PASSWORD", "{{ secret }}"]
-_PATHS = ["src/app.py", "config/settings.yml", ".env", "deploy/run.sh", "lib/client.js", "web", "crawl-3", "notes.txt"]
-_TEST_PATHS = ["tests/test_auth.py", "docs/usage.md", "examples/demo.py", "spec/login_spec.rb"]
+_PLACEHOLDERS = ["changeit", "dummy", "foobar", "your-password", "my_token", "REPLACE_ME", "replace-with-yours", "not-set", "n/a", "empty", "optional", "required", "redacted", "hidden", "default", "disabled", "enabled", "unknown", "fill-me-in", "TBD", "none-yet", "goes_here", "abc123", "12345"]
+_HOLDERS = ["env", "cfg", "conf", "self", "args", "params", "kwargs", "vault", "request.form", "ctx.session", "process.env"]
+_PATHS = ["src/app.py", "setup/values.rc", "deep/run.rb", "lib/client.js", "web", "crawl-3", "notes.txt", "main.tf"]
+_TEST_PATHS = ["qa/check_login.py", "tutorial/part2.rst", "benchmarks/run.py", "README"]
 
 
 def _pem(rng: random.Random, some) -> str:
@@ -250,10 +273,15 @@ def _plant(rng: random.Random, words: list[str]) -> tuple[str, str, int]:
             return "\0", rng.choice([*known, some(_ALNUM, 32, 64)]), 1
         return assigned, value, 1
     value = rng.random()
-    if value < 0.35:
+    if value < 0.25:
         return assigned, rng.choice(_PLACEHOLDERS), 0
-    if value < 0.45:
-        return f"{key}: \0 {word()} {word()}", word(), 0
+    if value < 0.35:
+        holder, name = rng.choice(_HOLDERS), word()[:10]
+        return f"{key} = \0", rng.choice([f"{holder}['{name}']", f"{holder}.{name}", f"{holder}.get('{name}')", f"read_{name}()", f"{name}({holder})", f"{holder}[{name}]"]), 0
+    if value < 0.5:  # a sentence
+        return f"{rng.choice(['the ', 'a ', 'his ', '', 'its '])}{key.lower().replace('_', ' ')}: \0 {word()} {word()}", word(), 0
+    if value < 0.55:
+        return f"{key}: \0", word(), 0
     digest = f"{rng.choice(['commit', 'sha256', 'digest', 'checksum', 'revision', 'etag', 'id', 'uuid'])} \0"
     number, names = some("0123456789", 12, 24), [word() for _ in range(4)]
     return rng.choice([
@@ -263,9 +291,10 @@ def _plant(rng: random.Random, words: list[str]) -> tuple[str, str, int]:
 
 
 def planted(docs: DataFrame, dictionary: np.ndarray, plant_texts: int = 1500, findings: int = 15_000, text: str = "text") -> DataFrame:
-    """(x, label, h): labelled findings. Values are put between words of texts chosen by hash and found again."""
+    """(x, label, h): labelled findings. Values are put between words of texts chosen by hash and found
+    again; x is null for a secret that isn't."""
     shared = docs.sparkSession.sparkContext.broadcast(dictionary)
-    rows = docs.where(F.length(text) > 0).select(F.substring(text, 1, 4000).alias("__text"), F.xxhash64(text).alias("h"))
+    rows = docs.where(F.length(text) > 0).select(F.col(text).alias("__text"), F.xxhash64(text).alias("h"))
     n = rows.count()
     near = rows.where(F.pmod("h", F.lit(1 << 20)) < min(1.0, 2 * plant_texts / max(n, 1) + 0.001) * (1 << 20)).dropDuplicates(["h"])
     few = near.orderBy("h").limit(plant_texts)
@@ -294,9 +323,11 @@ def planted(docs: DataFrame, dictionary: np.ndarray, plant_texts: int = 1500, fi
                 if (overlap := min(c[2], z) - max(c[1], a)) > 0 and overlap > best.get(c[0], (0,))[0]:
                     best[c[0]] = overlap, c
             rows = sorted(best)
+            x = dict(zip(rows, describe(data, offsets, [best[i][1] for i in rows], paths, shared.value).tolist(), strict=True)) if rows else {}
+            missed = [i for i in range(len(texts)) if labels[i] and i not in best]  # no features: not found
+            rows += missed
             if rows:
-                x = describe(data, offsets, [best[i][1] for i in rows], paths, shared.value)
-                yield pa.RecordBatch.from_pydict({"x": pa.array(list(x), pa.list_(pa.float64())), "label": pa.array([labels[i] for i in rows], pa.float64()), "h": pa.array([hs[i] for i in rows], pa.int64())})
+                yield pa.RecordBatch.from_pydict({"x": pa.array([x.get(i) for i in rows], pa.list_(pa.float64())), "label": pa.array([labels[i] for i in rows], pa.float64()), "h": pa.array([hs[i] for i in rows], pa.int64())})
 
     return few.mapInArrow(run, "x array<double>, label double, h long")
 
@@ -339,10 +370,11 @@ def exported(model) -> Forest:
 
 
 def train(findings: DataFrame, per_label: int = 5000, trees: int = 40, depth: int = 8) -> Forest | None:
-    """Fit on rows of (x, label, h); None if there aren't findings of both labels."""
+    """Fit on rows of (x, label, h); None if there aren't findings of both labels. Rows without features take no part."""
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.functions import array_to_vector
 
+    findings = findings.where("x is not null")
     counts = {r["label"]: r["count"] for r in findings.where("label in (0, 1)").groupBy("label").count().collect()}
     if len(counts) < 2:
         return None
@@ -354,12 +386,13 @@ def train(findings: DataFrame, per_label: int = 5000, trees: int = 40, depth: in
 
 
 def held_out(findings: DataFrame, forest: Forest) -> tuple[float, float]:
-    """(precision, recall) on labelled findings."""
-    rows = findings.select("x", "label").toArrow()
+    """(precision, recall) on labelled findings, those without features being missed."""
+    secrets = findings.where("label = 1").count()
+    rows = findings.where("x is not null").select("x", "label").toArrow()
     y = rows.column("label").to_numpy()
     yes = forest.votes(np.array(rows.column("x").to_pylist())) >= 0.5
     hit = (yes & (y == 1)).sum()
-    return hit / max(1, yes.sum()), hit / max(1, (y == 1).sum())
+    return hit / max(1, yes.sum()), hit / max(1, secrets)
 
 
 #: A fifth of the labelled findings is held out of training.
