@@ -9,8 +9,12 @@ template and o = ceil(containment * t) of them needed: prefix filter - a block t
 it has one of the t - o + 1 rarest; length filter - it has at least o words of templates;
 positional filter - o can still be reached with what follows its first prefix word in
 either order (lines only). Survivors are counted exactly, so the join misses nothing.
+A short template is met by blocks that have the words which name its license (``NAMING``),
+or any sentence of its kind would do.
 
-Templates are few and fixed (a parameter); texts never leave their task.
+Templates are few and fixed (a parameter); texts never leave their task, whatever their length:
+long ones are taken whole, rows are cut into blocks of texts. Repeated rows have their results
+each, an empty table has none. A kept column with the name of a result goes.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, ascii_lower, blocks, read_table, utf8, word_hash
+from .common import Words, ascii_lower, blocks, kept, read_table, utf8, word_hash
 
 # Phrases and their labels.
 PHRASES = [("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl")]
@@ -41,6 +45,9 @@ TEMPLATES = [
     ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
 ]
 
+# The words that name the license of a template.
+NAMING = {"mit-notice": "mit", "apache-notice": "apache", "gpl-notice": "general public", "apache-header": "apache", "gpl-header": "general public", "mpl-notice": "mozilla", "cc-by": "creative commons"}
+
 
 def _inside(data: np.ndarray) -> np.ndarray:
     table = np.zeros(256, bool)
@@ -59,7 +66,7 @@ class Plan:
 
     hashes: np.ndarray
     ranks: np.ndarray
-    templates: list[tuple[str, np.ndarray, int, int, int]]  # label, sorted ranks, words needed, prefix, words of a window
+    templates: list[tuple[str, np.ndarray, int, int, int, list[int]]]  # label, sorted ranks, words needed, prefix, words of a window, ranks of naming words
     phrases: list[tuple[list[int], str]]
     words: list[bytes]
 
@@ -99,19 +106,23 @@ def make_plan(frequency: dict[str, int], templates=TEMPLATES, containment: float
     for label, t in templates:
         own = np.array(sorted({rank[w] for w in t.split()}), np.int64)
         need = -int(-containment * len(own) // 1)
-        made.append((label, own, need, len(own) - need + 1, -int(-len(t.split()) / containment // 1)))
+        made.append((label, own, need, len(own) - need + 1, -int(-len(t.split()) / containment // 1), [rank[w] for w in NAMING.get(label, "").split()]))
     return Plan(hashes[order], order, made, [([rank[w] for w in p.split()], label) for p, label in PHRASES], [w.encode() for w in vocabulary])
 
 
-def best_windows(rank: np.ndarray, doc: np.ndarray, own: np.ndarray, need: int, prefix: int, span: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, distinct words of the template ``own``) of each window of ``span`` words with ``need`` or more.
-    A window begins at a word of the template: an earlier start adds none."""
+def best_windows(rank: np.ndarray, doc: np.ndarray, own: np.ndarray, need: int, prefix: int, span: int, naming: list[int] = ()) -> tuple[np.ndarray, np.ndarray]:
+    """(row, distinct words of the template ``own``) of each window of ``span`` words with ``need`` or more,
+    all ``naming`` ones among them. A window begins at a word of the template: an earlier start adds none."""
     at = np.flatnonzero(np.isin(rank, own))
     place = at + doc[at] * span  # no window spans two rows
     end = np.searchsorted(place, place + span)
     lead = np.concatenate([[0], np.cumsum(np.isin(rank[at], own[:prefix]))])
     i = np.arange(len(at))
-    start = np.flatnonzero((end - i >= need) & (lead[end] > lead[i]))  # length and prefix filters
+    fit = (end - i >= need) & (lead[end] > lead[i])  # length and prefix filters
+    for r in naming:
+        named = np.concatenate([[0], np.cumsum(rank[at] == r)])
+        fit &= named[end] > named[i]
+    start = np.flatnonzero(fit)
     order = np.argsort(rank[at], kind="stable")
     same = np.flatnonzero(np.diff(rank[at][order]) == 0)
     before = np.full(len(at), -1, np.int64)  # where the word was last
@@ -157,8 +168,8 @@ def scan_words(plan: Plan, w: Words, lines: np.ndarray):
     size = np.diff(np.append(begin, len(line)))
     row_of_line = np.zeros(int(lines.max()) + 1 if len(lines) else 0, np.int64)
     row_of_line[lines] = w.doc
-    for label, own, need, prefix, span in plan.templates:
-        for doc, met in zip(*(v.tolist() for v in best_windows(rank, w.doc, own, need, prefix, span)), strict=True):
+    for label, own, need, prefix, span, naming in plan.templates:
+        for doc, met in zip(*(v.tolist() for v in best_windows(rank, w.doc, own, need, prefix, span, naming)), strict=True):
             more[doc].add(label)
             score[doc] = max(score[doc], met / len(own))
         lead = np.flatnonzero(np.isin(r, own[:prefix]))  # prefix filter
@@ -171,8 +182,9 @@ def scan_words(plan: Plan, w: Words, lines: np.ndarray):
         left = len(own) - np.searchsorted(own, r[lead]) - 1
         fit = (size[block] >= need) & (1 + np.minimum(rest, left) >= need)  # length and positional filters
         for b in block[fit].tolist():
-            met = int(np.isin(r[begin[b] : begin[b] + size[b]], own, assume_unique=True).sum())
-            if met >= need:
+            block_words = r[begin[b] : begin[b] + size[b]]
+            met = int(np.isin(block_words, own, assume_unique=True).sum())
+            if met >= need and np.isin(naming, block_words).all():
                 doc = int(row_of_line[line[begin[b]]])
                 more[doc].add(label)
                 score[doc] = max(score[doc], met / len(own))
@@ -190,9 +202,11 @@ def scan(docs: DataFrame, keep: list[str], plan: Plan, text: str = "text") -> Da
     """Columns ``keep`` with n_words, n_base, first_word, last_word, base_labels, labels and score
     (1 with a base phrase, else the largest containment among templates that are met, else 0).
     Null text counts as empty: no words, no labels, null places."""
+    results = (("n_words", "long"), ("n_base", "long"), ("first_word", "long"), ("last_word", "long"), ("base_labels", "string"), ("labels", "string"), ("score", "double"))
+    keep = kept(keep, [name for name, _ in results])
     rows = docs.select(*keep, F.coalesce(text, F.lit("")).alias("__text"))
     schema = rows.select(*keep).schema
-    for name, kind in (("n_words", "long"), ("n_base", "long"), ("first_word", "long"), ("last_word", "long"), ("base_labels", "string"), ("labels", "string"), ("score", "double")):
+    for name, kind in results:
         schema = schema.add(name, kind)
     shared = docs.sparkSession.sparkContext.broadcast(plan)
 

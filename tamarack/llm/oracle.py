@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .license_scan import PHRASES, TEMPLATES
+from .license_scan import NAMING, PHRASES, TEMPLATES
 
 _BITS = " + ".join(f"CAST(substr(bits, i * 5 + {k + 1}, 1) AS INTEGER) * {16 >> k}" for k in range(5))
 WARC = f"""WITH coded AS (SELECT page_id, coalesce(strlen(html), 0) AS payload_bytes, CAST(CAST(unhex(sha1(coalesce(html, ''))) AS BIT) AS VARCHAR) AS bits FROM pages),
@@ -12,7 +12,7 @@ WARC = f"""WITH coded AS (SELECT page_id, coalesce(strlen(html), 0) AS payload_b
         concat('<urn:uuid:', substr(m, 1, 8), '-', substr(m, 9, 4), '-', substr(m, 13, 4), '-', substr(m, 17, 4), '-', substr(m, 21, 12), '>') AS record_id, true AS digest_ok FROM grouped"""
 
 _WORDS = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
-_TEMPLATE_ROWS = ", ".join(f"('{label}', {sorted(set(text.split()))})" for label, text in TEMPLATES)
+_TEMPLATE_ROWS = ", ".join(f"('{label}', {sorted(set(text.split()))}, CAST({NAMING.get(label, '').split()} AS VARCHAR[]), {-int(-len(text.split()) / 0.8 // 1)})" for label, text in TEMPLATES)
 _HITS = " UNION ALL ".join(
     f"SELECT doc_id, i - 1 AS place, '{label}' AS label FROM words, LATERAL (SELECT unnest(range(1, len(w) + 1)) AS i) WHERE " + " AND ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(phrase.split())) for phrase, label in PHRASES
 )
@@ -20,9 +20,12 @@ LICENSES = f"""WITH lowered AS (SELECT doc_id, translate(coalesce(text, ''), 'AB
     words AS (SELECT doc_id, regexp_extract_all(t, {_WORDS}) AS w FROM lowered),
     hits AS ({_HITS}),
     base AS (SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, list(DISTINCT label) AS labels FROM hits GROUP BY 1),
-    templates(label, words) AS (VALUES {_TEMPLATE_ROWS}),
+    templates(label, words, naming, span) AS (VALUES {_TEMPLATE_ROWS}),
     blocks AS (SELECT doc_id, list_distinct(regexp_extract_all(unnest(string_split(t, chr(10))), {_WORDS})) AS w FROM lowered),
-    met AS (SELECT doc_id, label, len(list_intersect(b.w, t.words)) / CAST(len(t.words) AS DOUBLE) AS share FROM blocks b, templates t WHERE list_has_any(b.w, t.words) AND len(list_intersect(b.w, t.words)) >= 0.8 * len(t.words)),
+    places AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM words WHERE list_has_any(w, (SELECT list_distinct(flatten(list(words))) FROM templates))),
+    windows AS (SELECT doc_id, label, list_distinct(w[i:i + span - 1]) AS w, t.words, naming FROM places, templates t WHERE list_contains(t.words, w[i])),
+    tried AS (SELECT doc_id, label, b.w, t.words, naming FROM blocks b, templates t WHERE list_has_any(b.w, t.words) UNION ALL SELECT doc_id, label, w, words, naming FROM windows),
+    met AS (SELECT doc_id, label, len(list_intersect(w, words)) / CAST(len(words) AS DOUBLE) AS share FROM tried WHERE len(list_intersect(w, words)) >= 0.8 * len(words) AND list_has_all(w, naming)),
     more AS (SELECT doc_id, list(DISTINCT label) AS labels, max(share) AS share FROM met GROUP BY 1)
     SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, array_to_string(list_sort(coalesce(base.labels, [])), ',') AS base_labels,
         array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(more.labels, [])))), ',') AS labels, CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(share, 0.0::DOUBLE) END AS score
