@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Words, ascii_lower, blocks, materialize, read_table, utf8
+from .common import Words, ascii_lower, blocks, kept, materialize, read_table, utf8
 
 FEATURES = ["words", "word_length", "stops", "shouts", "symbols", "bars", "digits", "upper", "foreign", "distinct", "top_word", "repeats", "lines", "same_lines"]
 # The byte classes counted, from 1.
@@ -32,6 +32,11 @@ def _class_table() -> np.ndarray:
     return table
 
 
+def _spread(h: np.ndarray) -> np.ndarray:
+    """Hashes whose high bits tell short words apart too."""
+    return h * np.uint64(0x9E3779B97F4A7C15)
+
+
 def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """A row of FEATURES for each text of a block."""
     n, kinds, table = len(offsets) - 1, len(CLASSES) + 1, _class_table()
@@ -41,7 +46,7 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     w = Words(data, offsets, inside[data], ascii_lower())
     words = np.diff(w.first)
     some, many = np.maximum(words, 1), np.maximum(size, 1)
-    key = np.sort(w.doc.astype(np.uint64) << np.uint64(40) | w.hash >> np.uint64(24))
+    key = np.sort(w.doc.astype(np.uint64) << np.uint64(40) | _spread(w.hash) >> np.uint64(24))
     begin = np.flatnonzero(np.diff(key, prepend=np.uint64(0)) | (np.arange(len(key)) == 0)) if len(key) else np.zeros(0, np.int64)
     owner = (key[begin] >> np.uint64(40)).astype(np.int64)
     run = np.diff(np.append(begin, len(key)))
@@ -54,7 +59,7 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     first = np.flatnonzero(np.diff(line, prepend=-1))
     lines = np.bincount(w.doc[first], minlength=n) if len(key) else np.zeros(n, np.int64)
     if len(key):
-        mark = np.add.reduceat(w.hash * (w.hash >> np.uint64(7) | np.uint64(1)), first)
+        mark = np.add.reduceat(_spread(w.hash) * (w.hash >> np.uint64(7) | np.uint64(1)), first)
         kinds_of_line = np.unique(w.doc[first].astype(np.uint64) << np.uint64(40) | mark >> np.uint64(24))
         fresh = np.bincount((kinds_of_line >> np.uint64(40)).astype(np.int64), minlength=n)
     else:
@@ -70,7 +75,10 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def features(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
-    """Columns ``keep`` and x, the statistics of the whole text. Null text counts as empty."""
+    """Columns ``keep`` and x, the statistics of the whole text. Null text counts as empty; texts of
+    any length are taken whole; repeated rows have theirs each, an empty table has none. A kept
+    column called x goes."""
+    keep = kept(keep, ["x"])
     rows = docs.select(*keep, F.coalesce(text, F.lit("")).alias("__text"))
     schema = rows.select(*keep).schema.add("x", T.ArrayType(T.DoubleType()))
 
@@ -86,17 +94,21 @@ def features(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
 
 @dataclass
 class Model:
-    """By class (0, 1): mean, Cholesky factor of the covariance, log prior less half its log determinant."""
+    """By class (0, 1): mean, Cholesky factor of the covariance, log prior less half its log
+    determinant. The factors' inverses, triangular too, are made once and kept."""
 
     means: np.ndarray
     factors: np.ndarray
     offsets: np.ndarray
 
+    def __post_init__(self):
+        self.whiteners = np.array([np.tril(np.linalg.inv(f)) for f in self.factors])
+
     def score(self, x: np.ndarray) -> np.ndarray:
         logs = []
-        for m, f, o in zip(self.means, self.factors, self.offsets, strict=True):
-            y = np.linalg.solve(f, (x - m).T)
-            logs.append(o - 0.5 * (y * y).sum(0))
+        for m, f, o in zip(self.means, self.whiteners, self.offsets, strict=True):
+            y = (x - m) @ f.T
+            logs.append(o - 0.5 * (y * y).sum(1))
         return 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -700, 700)))
 
 
@@ -131,7 +143,9 @@ def train(labelled: DataFrame, pooled_share: float = 0.1, floor: float = 1e-3) -
 
 
 def score(rows: DataFrame, model: Model | float, keep: list[str], threshold: float = 0.3) -> DataFrame:
-    """Columns ``keep`` with score (0 to 1, higher: label 1 likelier) and predicted (1 from ``threshold`` on)."""
+    """Columns ``keep`` with score (0 to 1, higher: label 1 likelier) and predicted (1 from
+    ``threshold`` on, ties included). Kept columns of these names go."""
+    keep = kept(keep, ["score", "predicted"])
     schema = rows.select(*keep).schema.add("score", "double").add("predicted", "integer")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
