@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import strip
+
 
 def rejection(name="name", sku="sku", url="url", price="current_price") -> Column:
     """Why a product isn't valid, null if it is: sku, name and url present, price null or
@@ -18,6 +20,23 @@ def rejection(name="name", sku="sku", url="url", price="current_price") -> Colum
     )
 
 
+def model_errors(df: DataFrame) -> Column:
+    """The names of the columns that a stored record may not have like this, comma-joined, null if
+    there are none: sku, and a category's name, empty once trimmed; a negative price. Columns that
+    the table lacks aren't looked at."""
+    blank = lambda c: F.coalesce(strip(F.col(c)), F.lit("")) == ""
+    tests = {c: blank(c) for c in ("sku", "category_name")} | {c: F.col(c) < 0 for c in ("current_price", "original_price", "price")}
+    found = F.array_compact(F.array(*[F.when(t, F.lit(c)) for c, t in tests.items() if c in df.columns]))
+    return F.nullif(F.array_join(found, ","), F.lit(""))
+
+
+def modelled(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(records as they are stored, refused ones with ``errors``): sku and category_name are trimmed."""
+    judged_ = df.withColumn("errors", model_errors(df))
+    trimmed = {c: strip(F.col(c)) for c in ("sku", "category_name") if c in df.columns}
+    return judged_.where("errors is null").drop("errors").withColumns(trimmed), judged_.where("errors is not null")
+
+
 def enum_violations(df: DataFrame, column: str, allowed: list[str]) -> DataFrame:
     return df.where(F.col(column).isNull() | ~F.col(column).isin(allowed)).groupBy(column).agg(F.count("*").alias("n"))
 

@@ -12,6 +12,12 @@ LG_K, KLL_K = 12, 400
 DISTINCT_ERROR, RANK_ERROR = 3 * 1.04 / (1 << LG_K) ** 0.5, 0.012
 
 
+def _with_zeros(rows: DataFrame, kpis: list[str]) -> DataFrame:
+    """KPIs are there for an empty table too, of which grouping sets make no row at all."""
+    zeros = rows.sparkSession.createDataFrame([("kpi", k, 0, 0.0) for k in kpis], "section string, name string, n long, value double")
+    return rows.union(zeros).groupBy("section", "name").agg(F.max("n").alias("n"), F.max_by("value", "n").alias("value"))
+
+
 def product_sections(products: DataFrame) -> DataFrame:
     """(section, name, n, value) of one scan: the KPIs (value is their number), products by brand and
     by category, and by price bucket. Empty names and missing prices have no row of their own."""
@@ -25,8 +31,9 @@ def product_sections(products: DataFrame) -> DataFrame:
     row = lambda section, name, value: F.struct(F.lit(section).alias("section"), name.alias("name"), F.col("n").alias("n"), value.cast("double").alias("value"))
     whole = F.array(row("kpi", F.lit("total_products"), F.col("n")), row("kpi", F.lit("average_price"), F.col("average_price")), row("kpi", F.lit("products_on_sale"), F.col("on_sale")))
     one = lambda section, c: F.array(row(section, F.col(c), F.col("average_price")))
-    rows = F.when(F.col("g") == 7, whole).when(F.col("g") == 3, one("brand", "brand")).when(F.col("g") == 5, one("category", "category")).otherwise(one("price", "bucket"))
-    return sets.select(F.explode(rows).alias("r")).select("r.*").where("name is not null")
+    each = F.when(F.col("g") == 7, whole).when(F.col("g") == 3, one("brand", "brand")).when(F.col("g") == 5, one("category", "category")).otherwise(one("price", "bucket"))
+    rows = sets.select(F.explode(each).alias("r")).select("r.*").where("name is not null")
+    return _with_zeros(rows, ["total_products", "average_price", "products_on_sale"])
 
 
 def job_sections(jobs: DataFrame, days: int = 7) -> DataFrame:
@@ -38,7 +45,7 @@ def job_sections(jobs: DataFrame, days: int = 7) -> DataFrame:
     name = F.when(F.col("g") == 3, "total_jobs").when(F.col("g") == 1, F.col("status")).otherwise(F.col("day").cast("string"))
     section = F.when(F.col("g") == 3, "kpi").when(F.col("g") == 1, "status").otherwise("day")
     value = F.when(F.col("g") == 2, F.col("rate")).otherwise(F.col("n").cast("double"))
-    rows = sets.select(section.alias("section"), name.alias("name"), "n", value.alias("value")).where("name is not null")
+    rows = _with_zeros(sets.select(section.alias("section"), name.alias("name"), "n", value.alias("value")).where("name is not null"), ["total_jobs"])
     # As many rows as there are days with jobs are ordered.
     newest = rows.where("section = 'day'").orderBy(F.desc("name")).limit(days)
     return rows.where("section <> 'day'").union(newest)

@@ -33,11 +33,10 @@ def _step(near: DataFrame, far: DataFrame) -> DataFrame:
 
 def cycles(nodes: DataFrame, id: str = "id", parent: str = "parent_id") -> DataFrame:
     """(id, on_cycle) of the nodes that have no root above them: those on a cycle and those that lead
-    into one. Pointers are doubled until they reach over as many edges as there are nodes; whoever
-    still points somewhere is such a node, and what is pointed to lies on a cycle."""
+    into one. Pointers are doubled until they reach over more edges than there are; whoever still points somewhere is such a node, and what is pointed to lies on a cycle."""
     hop = _kept(links(nodes, id, parent))
     n, reach = hop.count(), 1
-    while reach < n and not hop.isEmpty():
+    while reach <= n and not hop.isEmpty():
         hop, reach = _kept(_step(hop, hop)), 2 * reach
     on = hop.select(F.col("ancestor").alias("__on")).distinct()
     return hop.select("id").distinct().join(on, F.col("id") == F.col("__on"), "left").select("id", F.col("__on").isNotNull().alias("on_cycle"))

@@ -35,6 +35,11 @@ class SearchSpec:
         if self.page < 1 or not 1 <= self.page_size <= 100:
             raise ValueError("page must be 1 or more, page_size 1 to 100")
 
+    @staticmethod
+    def fits(page: str, page_size: str) -> Column:
+        """The same rule for a table of requests."""
+        return (F.col(page) >= 1) & F.col(page_size).between(1, 100)
+
 
 def text_condition(columns: list[str], query: str, literal: bool) -> Column:
     """Whether one of the columns has the query as a substring, in any case."""
@@ -81,14 +86,11 @@ def after(products: DataFrame, spec: SearchSpec, cursor: tuple) -> Column:
     alone, so that a scan can skip what lies before it."""
     by, (value, last) = F.col(SORT_COLUMNS[spec.sort_by]), cursor
     kind = products.schema[SORT_COLUMNS[spec.sort_by]].dataType
-    v, later_id = F.lit(value).cast(kind), F.col("id") > F.lit(last)
-    if spec.sort_order == "asc":  # nulls are last
-        if value is None:
-            return by.isNull() & later_id
-        return (by.isNull() | (by >= v)) & (by.isNull() | (by > v) | later_id)
-    if value is None:  # nulls are first
-        return by.isNotNull() | later_id
-    return (by <= v) & ((by < v) | later_id)
+    v, seen = F.lit(value).cast(kind), F.col("id") <= F.lit(last)
+    if value is None:
+        return by.isNull() & ~seen if spec.sort_order == "asc" else by.isNotNull() | ~seen
+    bound = by.isNull() | (by >= v) if spec.sort_order == "asc" else by <= v  # nulls are last, or first
+    return bound & ~(by.eqNullSafe(v) & seen)
 
 
 def search_after(products: DataFrame, spec: SearchSpec, cursor: tuple | None = None) -> DataFrame:

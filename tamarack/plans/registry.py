@@ -520,6 +520,28 @@ query("batch_products", f"SELECT CAST(p_partkey AS VARCHAR) AS sku, p_name AS na
     SELECT job_id, 'completed' AS status, count(*) AS total_items, count(*) FILTER (ok) AS success_items, count(*) FILTER (NOT ok) AS failed_items, CAST(NULL AS VARCHAR) AS error_message FROM found GROUP BY 1
     UNION ALL SELECT 'c {BASE_URL}/c/none', 'failed', NULL, NULL, NULL, '{j.NOTHING_FOUND}' UNION ALL SELECT DISTINCT 's ' || {START_SQL}, 'failed', NULL::BIGINT, NULL::BIGINT, NULL::BIGINT, '{j.BAD_JOB}' FROM part""")
 def run_jobs(s, d):
+    """Jobs as their log folds."""
+    return j.job_table(ran(s, d)[0]).select("job_id", "status", "total_items", "success_items", "failed_items", "error_message")
+
+
+query("run_jobs_log", f"""WITH found AS (SELECT 'c ' || {START_SQL} AS job_id, {SAVED} AS ok FROM part WHERE p_partkey % 4 < 3 UNION ALL SELECT 'p ' || p_partkey, {SAVED} FROM part WHERE p_partkey % 3 = 0), sums AS (SELECT job_id, count(*) AS n, count(*) FILTER (ok) AS good FROM found GROUP BY 1)
+    SELECT job_id, 1 + CAST(ceil(n / 5.0) AS BIGINT) AS running, 1 AS ended, n AS processed, good AS saved FROM sums UNION ALL SELECT 'c {BASE_URL}/c/none', 0, 1, NULL, NULL UNION ALL SELECT DISTINCT 's ' || {START_SQL}, 0, 1, NULL::BIGINT, NULL::BIGINT FROM part""")(
+    lambda s, d: ran(s, d)[0].groupBy("job_id").agg(F.count_if(F.col("status") == "running").alias("running"), F.count_if(F.col("status").isin("completed", "failed")).alias("ended"), F.max("processed_items").alias("processed"), F.max("success_items").alias("saved"))
+)
+
+
+@query("run_jobs_products", f"SELECT CAST(p_partkey AS VARCHAR) AS sku, p_name AS name, p_retailprice AS current_price FROM part WHERE ({SAVED}) AND (p_partkey % 4 < 3 OR p_partkey % 3 = 0)")
+def run_jobs_products(s, d):
+    """What the jobs' products leave in a snapshot store."""
+    from ..operators.bucketed import Snapshot
+    from ..sources.storage import scratch
+
+    store = Snapshot(s, scratch(s, "snapshot"), buckets=16)
+    store.merge(ran(s, d)[1], 0)
+    return store.read().select("sku", "name", F.col("current_price").cast("double").alias("current_price"))
+
+
+def ran(s, d):
     """A category job a brand (and one that leads nowhere), a product job for some parts, a search job a brand."""
     none, at = F.array().cast("array<string>"), F.lit("2024-01-01").cast("timestamp_ntz")
     listings = starts(s, d)
@@ -527,7 +549,7 @@ def run_jobs(s, d):
     asked = listings.select(F.concat(F.lit("c "), "start_url").alias("job_id"), F.lit("category").alias("job_type"), F.col("start_url").alias("target_url"), none.alias("urls"), at.alias("at"))
     asked = asked.union(listings.where(~F.col("start_url").endswith("none")).select(F.concat(F.lit("s "), "start_url"), F.lit("search"), "start_url", none, at))
     asked = asked.union(part.select(F.concat(F.lit("p "), "p_partkey"), F.lit("product"), F.lit(None).cast("string"), F.array(F.concat(F.lit(f"{BASE_URL}/p/"), "p_partkey")), at))
-    return j.run_jobs(asked, shop(s, d), ["scraped_at"], BASE_URL, 3)[0].select("job_id", "status", "total_items", "success_items", "failed_items", "error_message")
+    return j.run_jobs(asked, shop(s, d), ["scraped_at"], BASE_URL, 3)
 
 
 query("rescrape", f"SELECT 'rescrape-' || p_partkey AS job_id, 'pending' AS status, '{BASE_URL}/p/' || p_partkey AS target_url FROM part WHERE p_partkey % 5 = 1 AND p_partkey % 2 = 0")(
@@ -547,4 +569,4 @@ def snapshot_touch(s, d):
     return after.agg(F.count("updated_at").alias("updated"), F.count_if(F.col("updated_at").isNull() & was).alias("untouched"), F.count_if(F.col("updated_at").isNull() & ~was).alias("inserted"))
 
 
-from . import stores, structures  # noqa: E402, F401  they register further queries
+from . import pages, stores, structures  # noqa: E402, F401  they register further queries

@@ -102,7 +102,7 @@ query("crawl_rejected", """SELECT page_id, unnest(CASE page_id % 6 WHEN 3 THEN [
 @query("attempt_sessions", """WITH log AS (SELECT user_id, ts, event_id, CASE event_type WHEN 'purchase' THEN 200 WHEN 'click' THEN 429 WHEN 'view' THEN 500 WHEN 'signup' THEN 200 END AS status, CASE WHEN event_id % 2 = 0 THEN 30 END AS retry_after FROM events),
     met AS (SELECT *, lag(status) OVER w AS before, lag(ts) OVER w AS before_at, lag(retry_after) OVER w AS asked, row_number() OVER w = 1 AS first FROM log WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
     gaps AS (SELECT *, CAST(floor(epoch(ts)) AS BIGINT) - CAST(floor(epoch(before_at)) AS BIGINT) AS gone FROM met),
-    runs AS (SELECT *, sum(CASE WHEN first OR coalesce(before = 200, false) OR gone > 86400 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM gaps),
+    runs AS (SELECT *, sum(CASE WHEN first OR coalesce(before = 200, false) OR gone > 43200 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM gaps),
     tries AS (SELECT *, row_number() OVER (PARTITION BY user_id, run ORDER BY ts, event_id) - 1 AS tried FROM runs),
     kept AS (SELECT *, tried // 3 AS number, tried % 3 = 0 OR gone >= CASE WHEN before IS NULL THEN CAST(2 ** (tried % 3 - 1) AS BIGINT) WHEN before = 429 THEN coalesce(asked, 60) ELSE 0 END AS waited FROM tries),
     grouped AS (SELECT user_id, run, number, min(ts) AS first_at, max(ts) AS last_at, count(*) AS attempts, last(status ORDER BY ts, event_id) AS status, bool_and(waited) AS waited FROM kept GROUP BY 1, 2, 3)
@@ -112,7 +112,7 @@ def attempt_sessions(s, d):
     e = c.read(s, d, "events")
     kinds = F.when(F.col("event_type").isin("purchase", "signup"), 200).when(F.col("event_type") == "click", 429).when(F.col("event_type") == "view", 500)
     log = e.select(F.col("user_id").alias("url"), F.col("ts").alias("at"), kinds.alias("status"), F.when(F.col("event_id") % 2 == 0, 30).alias("retry_after"), F.col("event_id").alias("attempt_id"))
-    return attempts.sessions(log, 86_400).withColumnRenamed("url", "user_id")
+    return attempts.sessions(log, 43_200).withColumnRenamed("url", "user_id")
 
 
 # --- dashboards ---------------------------------------------------------------------------------
