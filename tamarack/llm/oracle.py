@@ -31,4 +31,18 @@ LICENSES = f"""WITH lowered AS (SELECT doc_id, translate(coalesce(text, ''), 'AB
         array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(more.labels, [])))), ',') AS labels, CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(share, 0.0::DOUBLE) END AS score
     FROM words LEFT JOIN base USING (doc_id) LEFT JOIN more USING (doc_id)"""
 
-ORACLES: dict[str, str] = {"op2_warc": WARC, "op9_license_scan": LICENSES}
+_CRC_ROW = "list_reduce([x, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)"
+_CRC = "xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda c, b: xor(c >> 8, crc[CAST((xor(c, b) & 255) + 1 AS BIGINT)])), 4294967295)"
+TRIE = f"""WITH turns AS (SELECT conv_id, turn, substr(sha256(concat(length(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, ''))), 1, 32) AS digest, strlen(coalesce(text, '')) AS bytes FROM conversations WHERE conv_id IS NOT NULL),
+    own AS (SELECT conv_id, list(digest || ':' || bytes ORDER BY turn NULLS FIRST, digest) AS seq FROM turns GROUP BY 1),
+    crc_table AS (SELECT list_transform(range(256), lambda x: {_CRC_ROW}) AS crc),
+    headed AS (SELECT conv_id, seq, CAST({_CRC} % 9 AS BIGINT) AS h FROM own, crc_table),
+    rebuilt AS (SELECT o.conv_id, list_concat(coalesce(list_slice(b.seq, 1, h), []), list_slice(o.seq, h + 1, len(o.seq))) AS seq FROM headed o LEFT JOIN own b ON b.conv_id = o.conv_id - o.conv_id % 5),
+    prefixes AS (SELECT conv_id, d, array_to_string(list_slice(seq, 1, d), '|') AS key, array_to_string(list_slice(seq, 1, d - 1), '|') AS above, d = len(seq) AS ends, CASE WHEN d > 0 THEN CAST(split_part(seq[d], ':', 2) AS BIGINT) ELSE 0 END AS bytes FROM (SELECT conv_id, seq, unnest(range(0, len(seq) + 1)) AS d FROM rebuilt)),
+    nodes AS (SELECT d, key, min(above) AS above, min(conv_id) AS conv_id, count(*) AS n_convs, max(bytes) * (count(*) - 1) AS saved, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM prefixes GROUP BY 1, 2),
+    children AS (SELECT d - 1 AS d, above AS key, count(*) AS n FROM nodes WHERE d > 0 GROUP BY 1, 2),
+    valued AS (SELECT nodes.*, coalesce(n, 0) AS n_children FROM nodes LEFT JOIN children USING (d, key)),
+    totals AS (SELECT p.d, p.key, count(*) FILTER (v.n_children = 0) AS n_leaves, CAST(sum(v.saved) AS BIGINT) AS saved_tokens FROM valued v JOIN prefixes p ON p.conv_id = v.conv_id AND p.d <= v.d GROUP BY 1, 2)
+    SELECT v.conv_id, v.d AS depth, u.conv_id AS parent_conv_id, v.n_convs, v.n_children, n_leaves, saved_tokens, v.ends_sha256 FROM valued v JOIN totals t USING (d, key) LEFT JOIN nodes u ON v.d > 0 AND u.d = v.d - 1 AND u.key = v.above"""
+
+ORACLES: dict[str, str] = {"op2_warc": WARC, "op9_license_scan": LICENSES, "op12_prefix_trie": TRIE}

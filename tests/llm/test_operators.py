@@ -661,7 +661,7 @@ def test_pipeline_dedup_of_repeated_rows(spark, sf_dir):
     assert corpus_pipeline.dedup_stage(spark, twice, sf_dir).count() == docs.limit(3).select("text").distinct().count()
 
 
-@pytest.mark.parametrize("name", ["op2_warc", "op9_license_scan"])
+@pytest.mark.parametrize("name", ["op2_warc", "op9_license_scan", "op12_prefix_trie"])
 def test_query_matches_sql(spark, sf_dir, name):
     import duckdb
 
@@ -670,7 +670,7 @@ def test_query_matches_sql(spark, sf_dir, name):
     df = queries.queries()[name](spark, sf_dir)
     columns = sorted(df.columns)
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     cursor = con.execute(queries.oracle_sql()[name])
     names = [d[0] for d in cursor.description]
