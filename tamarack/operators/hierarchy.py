@@ -66,6 +66,15 @@ def roll_up(counts: DataFrame, closed: DataFrame, id: str = "id", value: str = "
     return met.groupBy(F.col("ancestor").alias("id")).agg(F.sum(F.when(F.col("distance") == 0, F.col("__n")).otherwise(0)).alias("own"), F.sum("__n").alias("total"))
 
 
+def paths(nodes: DataFrame, name: str = "name", id: str = "id", parent: str = "parent_id", separator: str = "/") -> DataFrame:
+    """(id, level, path) of every node that a root stands above: the names from the root down. As
+    deep as the tree is; a row holds a node's ancestors only."""
+    names = nodes.select(F.col(id).alias("__id"), F.col(name).alias("__name"))
+    met = closure(nodes, id, parent).join(names, F.col("ancestor") == F.col("__id"))
+    steps = F.array_sort(F.collect_list(F.struct((-F.col("distance")).alias("d"), F.col("__name").alias("n"))))
+    return met.groupBy("id").agg(F.max("distance").alias("level"), F.array_join(F.transform(steps, lambda x: x["n"]), separator).alias("path"))
+
+
 @dataclass(frozen=True)
 class Reference:
     """``child.column`` names a row of ``parent`` by its ``key``; what a delete of that row does."""

@@ -31,6 +31,9 @@ query("category_roll_up", f"""{LINKS}, counts AS (SELECT l_partkey AS id, count(
     SELECT ancestor AS id, CAST(coalesce(sum(n) FILTER (distance = 0), 0) AS BIGINT) AS own, CAST(coalesce(sum(n), 0) AS BIGINT) AS total FROM pairs LEFT JOIN counts USING (id) GROUP BY 1""")(
     lambda s, d: hierarchy.roll_up(c.read(s, d, "lineitem").groupBy("l_partkey").agg(F.count("*").alias("n")), hierarchy.closure(nodes(s, d)), "l_partkey")
 )
+query("category_paths", f"{LINKS} SELECT id, max(distance) AS level, string_agg(ancestor, '/' ORDER BY distance DESC) AS path FROM pairs GROUP BY 1")(
+    lambda s, d: hierarchy.paths(nodes(s, d).withColumn("name", F.col("id").cast("string")))
+)
 query("category_cycles", f"""{LINKS}, lost AS (SELECT id, parent_id FROM sound WHERE id NOT IN (SELECT id FROM rooted)),
     walk AS (SELECT id AS start, parent_id AS place, 1 AS steps FROM lost UNION ALL SELECT start, l.parent_id, steps + 1 FROM walk JOIN lost l ON walk.place = l.id WHERE steps < 100 AND walk.place <> walk.start)
     SELECT id, id IN (SELECT start FROM walk WHERE place = start) AS on_cycle FROM lost""")(lambda s, d: hierarchy.cycles(nodes(s, d)))

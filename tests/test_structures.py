@@ -186,3 +186,15 @@ def test_jobs_see_the_newest_page_only(spark):
 def test_a_run_reads_pages_once(spark, sf_dir):
     plan = registry.QUERIES["run_jobs"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan") <= 6 and plan.count("Exchange ") <= 8
+
+
+def test_landed_pages_and_counts_by_window(spark, tmp_path):
+    from tamarack.streaming import ingest
+
+    rows = [{"url": "u1", "html": "<p>", "scraped_at": "2024-01-01T00:10:00Z"}, {"url": "u2", "markdown": "x", "scraped_at": "2024-01-01T00:50:00Z"}, {"url": "u3", "scraped_at": "2024-01-01T05:00:00Z"}, {"html": "<p>", "scraped_at": "2024-01-01T09:00:00Z"}]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text("\n".join(map(json.dumps, rows)))
+    assert sorted(r.url for r in catalog.landed_pages(spark, str(tmp_path / "in")).collect()) == ["u1", "u2"]
+    counts = ingest.windowed_counts(ingest.page_stream(spark, str(tmp_path / "in")))
+    counts.writeStream.outputMode("complete").format("memory").queryName("hours").trigger(availableNow=True).start().awaitTermination(120)
+    assert sorted((r.window.start.hour, r.pages) for r in spark.table("hours").collect()) == [(0, 2), (5, 1), (9, 1)]
