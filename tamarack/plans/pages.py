@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import text as t
 from ..operators import checks
 from ..operators import jobs as j
 from ..operators.bucketed import Snapshot
@@ -127,3 +128,47 @@ def job_timeouts(s, d):
     log = job_log(s, d)
     newest = log.agg(F.max("at")).scalar()
     return j.timed_out(log, newest, 21_600).select(F.col("job_id").cast("long").alias("user_id"), F.col("at").alias("failed_at"), F.col("error_message").alias("message"))
+
+
+# --- rows that break a rule -----------------------------------------------------------------------
+query("duplicate_keys", "SELECT 'K' || p_partkey // 3 AS sku, count(*) AS n FROM part WHERE p_partkey % 7 <> 0 GROUP BY 1 HAVING count(*) > 1")(
+    lambda s, d: checks.duplicates(c.read(s, d, "part").where("p_partkey % 7 <> 0").select(F.concat(F.lit("K"), F.floor(F.col("p_partkey") / 3)).alias("sku")), "sku")
+)
+ODD_STATUS = ["pending", "paused", "completed", "queued", None]
+query("job_status_violations", "SELECT ['pending', 'paused', 'completed', 'queued', NULL][o_orderkey % 5 + 1] AS status, count(*) AS n FROM orders WHERE o_orderkey % 5 IN (1, 3, 4) GROUP BY 1")(
+    lambda s, d: checks.enum_violations(c.read(s, d, "orders").select(F.get(F.array(*[F.lit(x).cast("string") for x in ODD_STATUS]), (F.col("o_orderkey") % 5).cast("int")).alias("status")), "status", ["pending", "running", "completed", "failed", "cancelled"])
+)
+
+
+@query("quarantine_reasons", """WITH odd AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 11 = 0 THEN 'missing' WHEN p_partkey % 7 = 0 THEN 'price' WHEN p_partkey % 5 = 0 OR p_partkey % 13 = 0 THEN 'name' WHEN p_partkey % 3 = 0 THEN 'sku' ELSE 'valid' END AS outcome FROM part)
+    SELECT outcome, count(*) AS n FROM odd GROUP BY 1""")
+def quarantine_reasons(s, d):
+    """Products of which each breaks another rule, the first of those that it breaks."""
+    k = F.col("p_partkey")
+    odd = c.read(s, d, "part").select(
+        F.when(k % 11 == 0, F.lit(None).cast("string")).otherwise(F.lit("u")).alias("url"), F.when(k % 7 == 0, 0).otherwise(1).cast("decimal(12,2)").alias("current_price"),
+        F.when(k % 5 == 0, "ab").when(k % 13 == 0, F.repeat(F.lit("n"), 501)).otherwise("abc").alias("name"), F.when(k % 3 == 0, "x").otherwise("xyz").alias("sku"),
+    )
+    valid, rejected = split_valid(odd)
+    return rejected.select(F.col("reason").alias("outcome")).union(valid.select(F.lit("valid"))).groupBy("outcome").agg(F.count("*").alias("n"))
+
+
+#: What pages say of stock; in the plain order, and in the corrected one.
+STOCK = [("In Stock", "in_stock", "in_stock"), ("OUT OF STOCK", "out_of_stock", "out_of_stock"), ("ไม่มีสินค้า", "in_stock", "out_of_stock"), ("already sold out", "in_stock", "out_of_stock"), ("พร้อมส่ง 3 วัน", "in_stock", "in_stock"), ("หมด", "out_of_stock", "out_of_stock"), ("call us", "unknown", "unknown"), ("", "unknown", "unknown"), (None, "unknown", "unknown"), ("Unavailable", "in_stock", "out_of_stock")]
+query("stock_phrases", f"SELECT p_partkey, {[p for _, p, _ in STOCK]}[p_partkey % {len(STOCK)} + 1] AS plain, {[x for _, _, x in STOCK]}[p_partkey % {len(STOCK)} + 1] AS corrected FROM part")(
+    lambda s, d: c.read(s, d, "part")
+    .select("p_partkey", F.get(F.array(*[F.lit(x).cast("string") for x, _, _ in STOCK]), (F.col("p_partkey") % len(STOCK)).cast("int")).alias("said"))
+    .select("p_partkey", t.availability("said").alias("plain"), t.availability("said", True).alias("corrected"))
+)
+
+
+@query("serialised_full", f"""WITH {PRODUCTS} SELECT sku, strftime(DATE '2024-01-01' + CAST(CAST(id AS BIGINT) % 300 AS INTEGER), '%Y-%m-%dT00:00:00') AS scraped_at, CASE WHEN CAST(id AS BIGINT) % 2 = 0 THEN '["' || replace(name, ' ', '","') || '"]' ELSE '[]' END AS features,
+    CASE WHEN CAST(id AS BIGINT) % 3 = 0 THEN brand END AS brand_told, CAST(original_price AS DOUBLE) AS original_price FROM products""")
+def serialised_full(s, d):
+    """Products with times, lists and maps of their own as JSON, read back."""
+    n = F.col("id").cast("long")
+    p = c.products(s, d).withColumns({
+        "scraped_at": F.date_add(F.lit("2024-01-01").cast("date"), (n % 300).cast("int")).cast("timestamp_ntz"), "features": F.when(n % 2 == 0, F.split("name", " ")), "specifications": F.when(n % 3 == 0, F.create_map(F.lit("brand"), "brand")),
+    })
+    at = lambda path, name, kind="string": F.get_json_object("json", path).cast(kind).alias(name)
+    return sinks.serialised(p).select(at("$.sku", "sku"), at("$.scraped_at", "scraped_at"), at("$.features", "features"), at("$.specifications.brand", "brand_told"), at("$.original_price", "original_price", "double"))

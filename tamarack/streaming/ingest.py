@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.bucketed import Snapshot
@@ -34,7 +34,7 @@ def stores(spark: SparkSession, root: str, buckets: int = 64) -> tuple[Snapshot,
 
 def ingest(pages: DataFrame, root: str, checkpoint: str, keep: int = 2, buckets: int = 64):
     """Start a query that merges each micro-batch into the snapshot and the price history of
-    ``stores`` and writes ``root/quarantine``. Only buckets with a changed row are written, and of
+    ``stores`` and writes ``root/quarantine`` and a row of counters to ``root/runs``. Only buckets with a changed row are written, and of
     the history only differences; pages may come in any order. A batch that runs again after a
     failure has no further effect. Of the snapshot's versions the last ``keep`` stay."""
 
@@ -43,9 +43,13 @@ def ingest(pages: DataFrame, root: str, checkpoint: str, keep: int = 2, buckets:
         landed = batch.persist()  # the writes read the same rows
         try:
             rows, rejected = products_of(landed)
-            log.append(rows.select(F.col("sku").alias("key"), F.col("scraped_at").alias("at"), F.col("current_price").alias("price")), number)
+            good, bad = Observation("good"), Observation("bad")  # counted while they are written
+            seen = rows.observe(good, F.count("*").alias("n"))
+            log.append(seen.select(F.col("sku").alias("key"), F.col("scraped_at").alias("at"), F.col("current_price").alias("price")), number)
             snapshot.merge(rows, number)
-            rejected.write.mode("overwrite").parquet(f"{root}/quarantine/batch={number}")
+            rejected.observe(bad, F.count("*").alias("n")).write.mode("overwrite").parquet(f"{root}/quarantine/batch={number}")
+            done = [(number, good.get["n"] + bad.get["n"], good.get["n"], bad.get["n"])]
+            batch.sparkSession.createDataFrame(done, "batch long, processed_items long, success_items long, failed_items long").coalesce(1).write.mode("overwrite").parquet(f"{root}/runs/batch={number}")
         finally:
             landed.unpersist()
         snapshot.expire(max(2, keep))

@@ -151,6 +151,8 @@ def ingested(spark, root, batches):
         (root / "in" / f"{i}.json").write_text("\n".join(map(json.dumps, landed(rows))))
         ingest.ingest(ingest.page_stream(spark, str(root / "in")), str(root / "out"), str(root / "ck"), buckets=4).awaitTermination()
     snapshot, log = ingest.stores(spark, str(root / "out"), 4)
+    runs = spark.read.parquet(str(root / "out" / "runs")).select("batch", "processed_items", "success_items", "failed_items").orderBy("batch").collect()
+    assert [tuple(r) for r in runs] == [(n, len(b), len(b), 0) for n, b in enumerate(batches)]
     return {r.sku: (int(r.current_price), r.scraped_at.day, r.created_at.day) for r in snapshot.read().collect()}, sorted((r.key, r.recorded_at.day, int(r.price)) for r in log.history().collect())
 
 
