@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, materialize, read_table
+from .common import blocks, kept, materialize, read_table
 
 BITS = 64
 SHINGLE = 4
@@ -223,8 +223,9 @@ def components(links: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, keep: list[str] | None = None, radius: int = 4, bucket_rows: int = 2048) -> DataFrame:
     """(doc_id, columns ``keep``, fp, component_id) a row of docs: component_id is the smallest doc_id that links
     reach, its own included. Null ids come last (a component of null ids only has a null id);
-    repeated rows are linked like any others."""
-    keep = keep or []
+    repeated rows are linked like any others. Texts of any length are taken whole; an empty table has
+    no rows. A kept column with the name of a result goes."""
+    keep = kept(keep or [], ("doc_id", "fp", "component_id"))
     fps = materialize(fingerprints(docs, ["doc_id", *keep]), "fingerprints")
     distinct = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     roots = components(covering_links(distinct, radius, bucket_rows))

@@ -326,6 +326,8 @@ def test_simhash_fingerprints(docs, none):
     group = {r.doc_id: r.component_id for r in rows}
     assert group[0] == group[1] == group[2] == 0 and group[5] == group[6] == 5 and group[None] == 11
     assert simhash.near_duplicates(none).count() == 0
+    clash = simhash.near_duplicates(docs, ["fp", "score", "doc_id", "score"])
+    assert clash.columns == ["doc_id", "score", "fp", "component_id"] and dict(clash.dtypes)["fp"] == "bigint" and clash.count() == docs.count()
 
 
 def test_secrets(spark, none):
