@@ -51,10 +51,9 @@ REMEMBER_TEXTS = 20_000
 #: Latin, Cyrillic, kana, Han and Hangul letters that stay as they are under the tokenizer's normaliser, but for case.
 _LETTERS = r"A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f\u0400-\u045f\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3"
 _MARKS = r'.,;:!?"()\[\]#&%*$+=@/_\-\u3001\u3002\u300c\u300d\uff01\uff08\uff09\uff0c\uff1a\uff1b\uff1f'
-#: A chunk with any other character.
-_ODD = re.compile(rf"((?<!\S)[{_LETTERS}{_MARKS}]*+[^\s{_LETTERS}{_MARKS}]\S*+)")
-#: Of a plain stretch in lower case, some of whose letters then lie beyond _LETTERS.
-_UNIT = re.compile(rf"[^\s{_MARKS}]+|[{_MARKS}]+")
+_RUN = re.compile(f"[{_MARKS}]+")
+#: Any other character makes its chunk odd; what follows in the chunk.
+_ODD, _REST = re.compile(rf"[^\s{_LETTERS}{_MARKS}]"), re.compile(r"\S*")
 #: str.split() also splits at these four, which are no white space to the tokenizer.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 _SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
@@ -65,13 +64,20 @@ def units(text: str) -> list[str]:
     """A text's units in order. Plain stretches are cut at once, other chunks are units whole."""
     if _SEPARATORS.search(text):
         return [u for c in _SPACE.split(text) for u in units(c) if u] if _SPACE.search(text) else [text]
-    parts = _ODD.split(text)
-    out = _UNIT.findall(parts[0].lower())
-    for odd, plain in zip(parts[1::2], parts[2::2], strict=True):
-        out.append(odd)
-        if plain:
-            out += _UNIT.findall(plain.lower())
-    return out
+    out, last, odd = [], 0, _ODD.search(text)
+    while odd:
+        begin, end = odd.start(), _REST.match(text, odd.end()).end()
+        while begin > last and not text[begin - 1].isspace():
+            begin -= 1
+        out += _plain(text[last:begin])
+        out.append(text[begin:end])
+        last, odd = end, _ODD.search(text, end)
+    return out + _plain(text[last:]) if last else _plain(text)
+
+
+def _plain(text: str) -> list[str]:
+    """The runs of letters and of marks of a stretch without odd characters, in lower case."""
+    return _RUN.sub(r" \g<0> ", text.lower()).split()
 
 
 def distinct_units(docs: DataFrame, text: str = "text") -> DataFrame:
