@@ -127,7 +127,7 @@ class Snapshot:
         """A new version in which these rows are their buckets."""
         version = m.number + 1
         place = f"{self.root}/data/v={version:012d}-{uuid.uuid4().hex[:8]}"
-        rows.select(*schema.names).withColumn("b", self._bucket()).repartition("b").write.partitionBy("b").parquet(place)
+        rows.select(*schema.names).withColumn("b", self._bucket()).hint("rebalance", F.col("b")).write.partitionBy("b").parquet(place)
         folders, vectors = dict(m.folders), dict(m.vectors)
         for b in self._written(place):
             folders[b] = f"{place}/b={b}"

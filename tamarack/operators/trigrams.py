@@ -64,8 +64,10 @@ def candidates(spark: SparkSession, path: str, wanted: list[str]) -> DataFrame:
 
 def search_index(spark: SparkSession, path: str, query: str, literal: bool = False, columns: tuple[str, ...] = ("name", "description", "sku")) -> DataFrame:
     """The indexed products that match, with their own columns; rows as often as they were indexed.
-    A query without a trigram scans all of them."""
+    A query without a trigram scans all of them; an empty one is met by all."""
     docs = spark.read.parquet(f"{path}/documents")
+    if not query:
+        return docs.drop("__range", "__place")
     test = text_condition([c for c in columns if c in docs.columns], query, literal)
     if wanted := query_grams(query, literal):
         met = candidates(spark, path, wanted)
