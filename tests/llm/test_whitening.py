@@ -21,14 +21,19 @@ def plain(vectors, most=32):
 
 def compare(got, ids, vectors, most=32):
     deviation, z, explained = plain(vectors, most)
-    rows = sorted(got.collect(), key=lambda r: (r.vec_id, r.deviation, r.component))
-    k, order = z.shape[1], sorted(range(len(ids)), key=lambda i: (ids[i], deviation[i]))
+    rows, found, own = got.collect(), {}, {}
+    k = z.shape[1]
     assert len(rows) == len(ids) * k
-    own = np.array([r.whitened for r in rows]).reshape(-1, k)
-    signs = np.sign((own * z[order]).sum(0))
-    assert np.allclose(own, z[order] * signs, atol=1e-7)
-    assert [r.deviation for r in rows[::k]] == [int(deviation[i]) for i in order]
-    assert [r.component for r in rows[:k]] == list(range(1, k + 1)) and np.allclose([r.explained for r in rows[:k]], explained)
+    for r in rows:  # repeated rows have equal results
+        found.setdefault((r.vec_id, r.deviation), {}).setdefault(r.component, []).append(r.whitened)
+    for i, d, v in zip(ids, deviation.tolist(), z, strict=True):
+        own.setdefault((i, d), []).append(v)
+    assert found.keys() == own.keys()
+    keys = sorted(found)
+    assert all(sorted(found[x]) == list(range(1, k + 1)) and {len(v) for v in found[x].values()} == {len(own[x])} and np.ptp([found[x][c] for c in found[x]], axis=1).max() == 0 for x in keys)
+    mine, theirs = np.array([[found[x][c][0] for c in range(1, k + 1)] for x in keys]), np.array([own[x][0] for x in keys])
+    assert np.allclose(mine, theirs * np.sign((mine * theirs).sum(0)), atol=1e-7)
+    assert np.allclose([v for _, v in sorted({(r.component, r.explained) for r in rows})], explained)
     assert {r.n for r in rows} == {len(ids)} and len({r.identity_error for r in rows}) == 1 and rows[0].identity_error < 1e-9
 
 
