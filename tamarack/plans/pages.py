@@ -63,7 +63,7 @@ def page_to_snapshot(s, d):
     pages = full_pages(s, d).withColumn("scraped_at", F.lit("2024-01-02").cast("timestamp"))
     dear = F.regexp_replace(F.col("markdown"), "฿", "฿1")
     before = pages.withColumns({"scraped_at": F.lit("2024-01-01").cast("timestamp"), "markdown": dear, "current_price": F.concat(F.lit("1"), F.regexp_replace("current_price", "฿", ""))})
-    store, log = Snapshot(s, scratch(s, "snapshot"), buckets=16), ChangeLog(s, scratch(s, "changes"), buckets=16)
+    store, log = Snapshot(s, scratch(s, "snapshot"), buckets=4), ChangeLog(s, scratch(s, "changes"), buckets=4)
     for n, batch in enumerate((pages, before)):  # the newer ones first
         rows = split_valid(extract(batch, "scraped_at"))[0].withColumn("created_at", F.col("scraped_at"))
         store.merge(rows, n)

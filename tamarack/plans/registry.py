@@ -536,7 +536,7 @@ def run_jobs_products(s, d):
     from ..operators.bucketed import Snapshot
     from ..sources.storage import scratch
 
-    store = Snapshot(s, scratch(s, "snapshot"), buckets=16)
+    store = Snapshot(s, scratch(s, "snapshot"), buckets=4)
     store.merge(ran(s, d)[1], 0)
     return store.read().select("sku", "name", F.col("current_price").cast("double").alias("current_price"))
 

@@ -66,7 +66,7 @@ SEEN = HISTORY + ", seen AS (SELECT product_id AS sku, recorded_at AS scraped_at
     QUALIFY row_number() OVER (PARTITION BY sku ORDER BY scraped_at DESC) = 1""")
 def snapshot_merge(s, d):
     """The snapshot store after three batches with late rows, the last of them twice."""
-    store = Snapshot(s, scratch(s, "snapshot"), ties=["-current_price"], buckets=16)
+    store = Snapshot(s, scratch(s, "snapshot"), ties=["-current_price"], buckets=4)
     batches = late_batches(pages_seen(s, d))
     for n, b in enumerate([*batches, batches[-1]]):
         store.merge(b, n)
@@ -77,7 +77,7 @@ def snapshot_merge(s, d):
 @query("snapshot_rewrites", """WITH parts AS (SELECT DISTINCT CAST(l_partkey AS VARCHAR) AS sku FROM lineitem) SELECT count(*) AS keys, 1 AS buckets_of_one_key, 0 AS buckets_of_a_repeat FROM parts""")
 def snapshot_rewrites(s, d):
     """How many bucket folders a change of one key rewrites, and a batch that changes nothing."""
-    store = Snapshot(s, scratch(s, "snapshot"), ties=["-current_price"], buckets=16)
+    store = Snapshot(s, scratch(s, "snapshot"), ties=["-current_price"], buckets=4)
     rows = pages_seen(s, d).drop("tie_order")
     before = store.merge(rows, 0).folders
     newest = store.read().orderBy(F.desc("scraped_at"), "sku").limit(1)
@@ -94,7 +94,7 @@ CHANGED = f"""WITH {SEEN}, marked AS (SELECT *, lag(current_price) OVER w AS bef
 @query("change_capture", CHANGED)
 def change_capture(s, d):
     """The history that the differences of three batches with late rows add up to."""
-    log = ChangeLog(s, scratch(s, "changes"), buckets=16)
+    log = ChangeLog(s, scratch(s, "changes"), buckets=4)
     for n, b in enumerate(late_batches(pages_seen(s, d))):
         log.append(b.select(F.col("sku").alias("key"), F.col("scraped_at").alias("at"), F.col("current_price").alias("price")), n)
     return log.history().select(F.col("key").alias("sku"), F.col("price").cast("double").alias("price"), F.col("recorded_at").cast("timestamp_ntz").alias("recorded_at"))

@@ -66,7 +66,7 @@ def delete_vectors(s, d):
     """The same products out of the snapshot store, by vectors beside its buckets."""
     from ..operators.bucketed import Snapshot
 
-    store = Snapshot(s, scratch(s, "snapshot"), key="id", at="scraped_at", buckets=16)
+    store = Snapshot(s, scratch(s, "snapshot"), key="id", at="scraped_at", buckets=4)
     rows = c.products(s, d).select("id", "name", F.lit("2024-01-01").cast("timestamp").alias("scraped_at"))
     store.merge(rows, 0)
     store.delete(rows.where("id like '%3'").select("id"))
