@@ -57,19 +57,20 @@ query("record_ids", f"{FULL} SELECT sku, sha256(sku) AS id, count(*) AS n FROM e
 
 @query("page_to_snapshot", f"{FULL} SELECT sku, name, current_price, 1 AS changes FROM extracted")
 def page_to_snapshot(s, d):
-    """Pages through extraction, checks, snapshot and history: each product once at a higher price, then at its own."""
+    """Pages through extraction, checks, snapshot and history: each page once at a higher price, then at its own.
+    The key is the address: skus made of eight digits of its hash meet by chance from some 10,000 pages on."""
     from ..operators.changes import ChangeLog
 
     pages = full_pages(s, d).withColumn("scraped_at", F.lit("2024-01-02").cast("timestamp"))
     dear = F.regexp_replace(F.col("markdown"), "฿", "฿1")
     before = pages.withColumns({"scraped_at": F.lit("2024-01-01").cast("timestamp"), "markdown": dear, "current_price": F.concat(F.lit("1"), F.regexp_replace("current_price", "฿", ""))})
-    store, log = Snapshot(s, scratch(s, "snapshot"), buckets=4), ChangeLog(s, scratch(s, "changes"), buckets=4)
+    store, log = Snapshot(s, scratch(s, "snapshot"), key="url", buckets=4), ChangeLog(s, scratch(s, "changes"), buckets=4)
     for n, batch in enumerate((pages, before)):  # the newer ones first
         rows = split_valid(extract(batch, "scraped_at"))[0].withColumn("created_at", F.col("scraped_at"))
         store.merge(rows, n)
-        log.append(rows.select(F.col("sku").alias("key"), F.col("scraped_at").alias("at"), F.col("current_price").alias("price")), n)
-    changes = log.history().groupBy(F.col("key").alias("__sku")).agg(F.count("*").alias("changes"))
-    return store.read().join(changes, F.col("sku") == F.col("__sku"), "left").select("sku", "name", F.col("current_price").cast("double").alias("current_price"), F.coalesce("changes", F.lit(0)).alias("changes"))
+        log.append(rows.select(F.col("url").alias("key"), F.col("scraped_at").alias("at"), F.col("current_price").alias("price")), n)
+    changes = log.history().groupBy(F.col("key").alias("__url")).agg(F.count("*").alias("changes"))
+    return store.read().join(changes, F.col("url") == F.col("__url"), "left").select("sku", "name", F.col("current_price").cast("double").alias("current_price"), F.coalesce("changes", F.lit(0)).alias("changes"))
 
 
 # --- sinks --------------------------------------------------------------------------------------

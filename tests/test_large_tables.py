@@ -13,3 +13,9 @@ def test_half_percents_go_to_the_even_number(spark, tmp_path):
     spark.createDataFrame([(k, dt.datetime(2024, 1, 1)) for k in sizes], "l_partkey long, l_shipdate timestamp").write.parquet(f"{tmp_path}/lineitem.parquet")
     got = {r.id: (r.discount_percentage, r.discount_text) for r in registry.QUERIES["product_dto"](spark, str(tmp_path)).collect()}
     assert got == {"1": (2.5, "2%"), "2": (None, None), "3": (2.0101, "2%"), "4": (3.5, "4%"), "5": (6.7633, "7%")}
+
+
+def test_pages_whose_skus_meet_stay_apart(spark, tmp_path):
+    spark.createDataFrame([(k, "red anvil", "Brand#1", "SMALL", 4, 930.0) for k in (1730, 23030, 3)], PART).write.parquet(f"{tmp_path}/part.parquet")
+    got = sorted(map(tuple, registry.QUERIES["page_to_snapshot"](spark, str(tmp_path)).collect()))
+    assert got == [("HP-220981F8", "red anvil", 930.0, 1), ("HP-220981F8", "red anvil", 930.0, 1), ("X-3", "red anvil", 930.0, 1)]
