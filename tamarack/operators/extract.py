@@ -17,8 +17,8 @@ def _markdown_name(markdown: Column) -> Column:
     """From the first line that is a heading of an appliance or has a name label."""
     labelled = lambda line: F.contains(line, F.lit(NAME_LABELS[0])) | F.contains(line, F.lit(NAME_LABELS[1]))
     heading = lambda line: line.startswith("# ") & F.contains(line, F.lit(APPLIANCE))
-    line = F.get(F.filter(F.split(markdown, "\n"), lambda x: heading(x) | labelled(x)), F.lit(0))
-    return F.when(heading(line), t.clean_text(F.substring(line, F.lit(3), F.length(line)))).otherwise(t.clean_text(F.get(F.split(line, ":"), F.lit(1))))
+    name = lambda line: t.clean_text(F.when(heading(line), F.substring(line, F.lit(3), F.length(line))).otherwise(F.get(F.split(line, ":"), F.lit(1))))
+    return t.let(F.get(F.filter(F.split(markdown, "\n"), lambda x: heading(x) | labelled(x)), F.lit(0)), name)
 
 
 def extract(pages: DataFrame, *carried: str) -> DataFrame:

@@ -19,7 +19,7 @@ from .registry import BASE_URL, PRODUCTS, STATUS_OF, query
 # --- full pages -------------------------------------------------------------------------------
 def full_pages(s, d):
     """Parts as raw pages: each third says its prices, brand, and stock in another way."""
-    p = c.read(s, d, "part")
+    p = c.spread(c.read(s, d, "part"), "p_partkey")
     n, none = F.col("p_partkey"), lambda kind: F.lit(None).cast(kind)
     third = lambda a, b, z: F.when(n % 3 == 0, a).when(n % 3 == 1, b).otherwise(z)
     low, high = F.floor("p_retailprice"), F.floor("p_retailprice") + F.col("p_size")

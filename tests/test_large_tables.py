@@ -19,3 +19,11 @@ def test_pages_whose_skus_meet_stay_apart(spark, tmp_path):
     spark.createDataFrame([(k, "red anvil", "Brand#1", "SMALL", 4, 930.0) for k in (1730, 23030, 3)], PART).write.parquet(f"{tmp_path}/part.parquet")
     got = sorted(map(tuple, registry.QUERIES["page_to_snapshot"](spark, str(tmp_path)).collect()))
     assert got == [("HP-220981F8", "red anvil", 930.0, 1), ("HP-220981F8", "red anvil", 930.0, 1), ("X-3", "red anvil", 930.0, 1)]
+
+
+def test_pages_are_read_once_by_each_pattern_on_all_cores(spark, sf_dir):
+    spark.conf.set("spark.sql.debug.maxToStringFields", "1000")
+    plan = registry.QUERIES["extract_full"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.debug.maxToStringFields")
+    assert plan.count("regexp_extract_all(") == 1 and plan.count("/each") == 3  # twice read, once composed
+    assert "hashpartitioning(p_partkey" in plan
