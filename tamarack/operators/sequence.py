@@ -1,9 +1,9 @@
 """Order within keys, where one key may hold a third of all rows.
 
-A window over a key puts all its rows into one task. Here rows are dealt out by ranges of key and
-order, so that a hot key lies in many parts; each part is a window of its own, and what a part has
-to know of the parts before it is one row a part and key, of which only keys that reach over
-several parts matter.
+A window over a key puts all its rows into one task. Here the rows of a key that holds more than a
+task's share are dealt out by ranges of their order, so that a hot key lies in many parts; a key's
+part is a window of its own, and what a part has to know of the parts before it is one row a part
+of a hot key. All other keys are one part each, and rows move once.
 """
 
 from __future__ import annotations
@@ -16,36 +16,62 @@ from pyspark.sql import functions as F
 from ..sources.storage import scratch, written
 
 
+SAMPLE = 200_000  # rows that are looked at for hot keys and where to cut them; the cuts change no result
+
+
+def sliced(df: DataFrame, by: list[str]) -> DataFrame:
+    """The rows of a table that lies in files, with a number in ``__part``: null, but for keys (the
+    first column of ``by``) of more rows than a shuffled partition's share the range of the other
+    columns. Rows that are equal in ``by`` share a part."""
+    n, tasks = df.count(), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    some = df.select(F.col(by[0]).alias("__hot"), F.struct(*by[1:]).alias("o"))
+    picked = some.sample(SAMPLE / n, 7) if n > SAMPLE else some
+    step = max(1, min(n, SAMPLE) // (2 * tasks))  # rows of the sample that make a part
+    number = F.row_number().over(Window.partitionBy("__hot").orderBy("o"))
+    hot = picked.groupBy("__hot").agg(F.count("*").alias("n")).where(F.col("n") > 2 * step).select(F.col("__hot").alias("__of"))
+    ends = picked.join(F.broadcast(hot), F.col("__hot").eqNullSafe(F.col("__of"))).withColumn("n", number).where(F.col("n") % step == 0)
+    cuts = written(ends.groupBy("__hot").agg(F.sort_array(F.collect_set("o")).alias("__cuts")), scratch(df.sparkSession, "cuts"))
+    if cuts.isEmpty():
+        return df.withColumn("__part", F.lit(None).cast("int"))
+    met = df.join(F.broadcast(cuts), F.col(by[0]).eqNullSafe(F.col("__hot")), "left")
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range((8 * tasks).bit_length()))])  # halving: a key has fewer cuts than that
+    below = F.aggregate(steps, F.lit(0), lambda at, step: at + F.when(F.get("__cuts", at + step - 1) < F.struct(*by[1:]), step).otherwise(0))
+    part = F.when(F.col("__cuts").isNotNull(), below)
+    return met.select(*df.columns, part.alias("__part"))
+
+
 def parts(df: DataFrame, by: list[str]) -> DataFrame:
-    """The rows, written in ranges of ``by``, with the range's number in ``__part``. Rows that are
-    equal in ``by`` share a range."""
-    ranged = df.repartitionByRange(*by).withColumn("__part", F.spark_partition_id())
-    return written(ranged, scratch(df.sparkSession, "parts"))
+    """The rows, written, with the number of the part as in ``sliced``."""
+    return sliced(written(df, scratch(df.sparkSession, "parts")), by)
 
 
 def _carried(parted: DataFrame, key: list[str], ends: list[Column], carry: dict[str, Column]) -> DataFrame:
     """(part, key, carried values) of the parts to which an earlier one carries something."""
-    lasts = parted.groupBy("__part", *key).agg(*ends)
+    lasts = parted.where("__part is not null").groupBy("__part", *key).agg(*ends)
     carried = lasts.select(F.col("__part").alias("__p"), *[F.col(k).alias(f"__k{i}") for i, k in enumerate(key)], *[v.alias(f"__c_{n}") for n, v in carry.items()])
     return carried.where(reduce(lambda a, b: a | b, [F.col(f"__c_{n}").isNotNull() for n in carry]))
 
 
 def _met(marked: DataFrame, carried: DataFrame, key: list[str]) -> DataFrame:
     same = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(key)]
-    return marked.join(carried, reduce(lambda a, b: a & b, [F.col("__part") == F.col("__p"), *same]), "left")
+    return marked.join(F.broadcast(carried), reduce(lambda a, b: a & b, [F.col("__part") == F.col("__p"), *same]), "left")
 
 
 def previous(df: DataFrame, key: list[str], order: list[str], values: dict[str, Column]) -> DataFrame:
     """The rows with, for each of ``values``, the last one that isn't null before the row in its key.
     A value that may be null itself is wrapped in a struct. ``order`` has to be total; nulls come first."""
-    parted = parts(df.withColumns({f"__v_{n}": v for n, v in values.items()}), [*key, *order])
+    out = previous_in(parts(df.withColumns({f"__v_{n}": v for n, v in values.items()}), [*key, *order]), key, order, list(values))
+    return out.select(*df.columns, *values)
+
+
+def previous_in(parted: DataFrame, key: list[str], order: list[str], values: list[str]) -> DataFrame:
+    """``previous`` over parted rows, of the columns ``__v_`` and a value's name."""
     before = Window.partitionBy("__part", *key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     earlier = Window.partitionBy(*key).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     ends = [F.max_by(f"__v_{n}", F.when(F.col(f"__v_{n}").isNotNull(), F.struct(*order))).alias(f"__v_{n}") for n in values]
     carried = _carried(parted, key, ends, {n: F.last(f"__v_{n}", True).over(earlier) for n in values})
     marked = parted.withColumns({f"__l_{n}": F.last(f"__v_{n}", True).over(before) for n in values})
-    out = _met(marked, carried, key).withColumns({n: F.coalesce(f"__l_{n}", f"__c_{n}") for n in values})
-    return out.select(*df.columns, *values)
+    return _met(marked, carried, key).withColumns({n: F.coalesce(f"__l_{n}", f"__c_{n}") for n in values})
 
 
 def running_sum(df: DataFrame, key: list[str], order: list[str], values: dict[str, Column]) -> DataFrame:

@@ -1,7 +1,11 @@
 """Rows and plans of larger tables, in small."""
 
 import datetime as dt
+from decimal import Decimal
 
+from pyspark.sql import functions as F
+
+from tamarack.operators import changes, sequence
 from tamarack.plans import registry
 
 PART = "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double"
@@ -27,3 +31,24 @@ def test_pages_are_read_once_by_each_pattern_on_all_cores(spark, sf_dir):
     spark.conf.unset("spark.sql.debug.maxToStringFields")
     assert plan.count("regexp_extract_all(") == 1 and plan.count("/each") == 3  # twice read, once composed
     assert "hashpartitioning(p_partkey" in plan
+
+
+def test_a_large_batch_moves_once_and_hot_keys_are_cut(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(changes, "FEW", 0)
+    kind = "key string, at timestamp, price decimal(12,2)"
+    at = lambda n: dt.datetime(2024, 1, 1) + dt.timedelta(minutes=n)
+    seen = [("hot" if n % 2 else f"k{n % 16}", at(n * 7 % 400), Decimal(n % 3)) for n in range(400)]
+    log = changes.ChangeLog(spark, str(tmp_path / "log"), buckets=2)
+    for n in range(3):
+        log.append(spark.createDataFrame(seen[n::3], kind), n)
+    last, want = {}, []
+    for key, when, price in sorted(seen):
+        if key in last and last[key] != price:
+            want.append((key, price, when))
+        last[key] = price
+    assert sorted(map(tuple, log.history().collect())) == sorted(want)
+    cut = sequence.sliced(log.seen(), ["key", "at"]).groupBy("key").agg(F.count_distinct("__part").alias("n"))
+    assert {r.key: r.n for r in cut.collect()}["hot"] > 1 and cut.where("key <> 'hot' and n > 1").isEmpty()
+    cold = [spark.createDataFrame([(f"k{i}", at(n), Decimal(i % 3)) for i in range(50)], kind) for n in range(2)]
+    plan = changes.corrections(*cold)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "rangepartitioning" not in plan
